@@ -12,6 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from supportlake.llm.common import documents
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from supportlake.llm.records import record_digest
+
+    return record_digest(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from supportlake.llm.bpe import round_trip_digest
+
+    return round_trip_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.secrets import secret_digest
+
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from supportlake.llm.quality import quality
 
