@@ -28,6 +28,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.covertree import near_vectors
+
+    return near_vectors(documents(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from supportlake.llm.secrets import secret_digest
 
