@@ -120,20 +120,19 @@ def worker_bpe(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
 
         bpe, split, known = Bpe(load_ranks(path)), regex.compile(pattern).findall, {}
 
-        def encode_new(pieces: list[str]) -> Iterator[list[int]]:
+        def encode_piece(piece: str) -> list[int]:
             if len(known) > 200_000:
                 known.clear()
-            for p in pieces:
-                ids: list[int] = []
-                for t in split(p):
-                    if (found := known.get(t)) is None:
-                        found = bpe.encode_piece(t.encode())
-                        if len(t) < 64:
-                            known[t] = found
-                    ids += found
-                yield ids
-
-        _loaded[path, pattern] = bpe, PieceEncoder(encode_new)
+            ids: list[int] = []
+            for t in split(piece):
+                if (found := known.get(t)) is None:
+                    found = bpe.encode_piece(t.encode())
+                    if len(t) < 64:
+                        known[t] = found
+                ids += found
+            return ids
+
+        _loaded[path, pattern] = bpe, PieceEncoder(encode_piece)
     return _loaded[path, pattern]
 
 

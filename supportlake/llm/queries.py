@@ -34,6 +34,14 @@ def op4_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(documents(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from supportlake.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1).drop("ids")
+
+
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from supportlake.llm.minhash import near_duplicates
 

@@ -16,52 +16,69 @@ from collections.abc import Callable, Iterable, Sequence
 import numpy as np
 
 #: Distinct pieces kept by one worker, some 150 bytes each; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 _SAFE_SPACE = re.compile(r" (?=\S)")
+#: Marks that end words; the pattern always ends a piece where letters end, so these may be cut off.
+_MARKS = ".,;:!?"
+
+
+class _Pieces(dict):
+    """Packed ids by piece; `encode` makes those not seen before."""
+
+    def __init__(self, encode: Callable[[str], bytes | None]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes | None:
+        packed = self.encode(piece)
+        if len(piece) < 256:
+            self[piece] = packed
+        return packed
 
 
 class PieceEncoder:
-    """`encode_new` turns a list of pieces into a list of id lists; ids must be below 65,536."""
+    """`encode_piece` gives the ids of one piece of text; ids must be below 65,536."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = CACHE_PIECES):
-        self.encode_new, self.limit = encode_new, limit
-        self.spaced: dict[str, bytes | None] = {}  # by the piece without its leading space
-        self.plain: dict[str, bytes] = {}
+    def __init__(self, encode_piece: Callable[[str], Iterable[int]], limit: int = CACHE_PIECES):
+        self.encode_piece, self.limit = encode_piece, limit
+        self.plain = _Pieces(lambda p: array("H", encode_piece(p)).tobytes())
+        self.spaced = _Pieces(self._after_space)  # by the piece without its leading space
 
-    def _learn(self, into: dict, pieces: list[str], prefix: str) -> None:
-        for p, ids in zip(pieces, self.encode_new([prefix + p for p in pieces]), strict=True):
-            into[p] = array("H", ids).tobytes()
+    def _after_space(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace():
+            return None
+        stem = piece.rstrip(_MARKS)
+        if stem != piece and stem.isalpha():
+            return self.spaced[stem] + self.plain[piece[len(stem) :]]
+        return array("H", self.encode_piece(" " + piece)).tobytes()
 
     def _slow(self, text: str) -> bytes:
         first, *rest = _SAFE_SPACE.split(text)
-        pieces = [first, *(" " + r for r in rest)]
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.plain]:
-            self._learn(self.plain, new, "")
-        return b"".join(map(self.plain.__getitem__, pieces))
+        return b"".join(map(self.plain.__getitem__, (first, *(" " + r for r in rest))))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of each text as unsigned 16-bit arrays; a null text has none."""
-        rows = [(t or "").split(" ") for t in texts]
-        if len(self.spaced) + len(self.plain) > self.limit:
-            self.spaced.clear()
-            self.plain.clear()
-        heads = [r[0] for r in rows]
-        if new := [p for p in dict.fromkeys(heads) if p not in self.plain]:
-            self._learn(self.plain, new, "")
-        if new := list(set().union(*(r[1:] for r in rows)) - self.spaced.keys()):
-            self.spaced.update((p, None) for p in new if not p or p[0].isspace())
-            self._learn(self.spaced, [p for p in new if p and not p[0].isspace()], " ")
-        out = []
-        for r, head in zip(rows, heads, strict=True):
+        out, spaced, plain = [], self.spaced, self.plain
+        for t in texts:
+            if len(spaced) + len(plain) > self.limit:
+                spaced.clear()
+                plain.clear()
+            head, *rest = (t or "").split(" ")
             try:
-                packed = self.plain[head] + b"".join(map(self.spaced.__getitem__, r[1:]))
+                packed = plain[head] + b"".join(map(spaced.__getitem__, rest))
             except TypeError:  # a space before white space
-                packed = self._slow(" ".join(r))
+                packed = self._slow(t)
             out.append(np.frombuffer(packed, dtype="<u2"))
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the rest from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -73,5 +90,14 @@ def library_encoder(vocabulary: str) -> PieceEncoder:
 
         t = Tokenizer.from_file(vocabulary)
         t.encode_special_tokens = True
-        _encoders[vocabulary] = PieceEncoder(lambda new: (e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)))
+        model, letters = t.model, byte_letters()
+
+        def encode_piece(piece: str) -> list[int]:
+            word = piece[1:]
+            if piece[:1] == " " and word.isalpha():  # one piece of the split pattern: straight to the merges
+                raw = letters[32] + word if word.isascii() else piece.encode().decode("latin-1").translate(letters)
+                return [x.id for x in model.tokenize(raw)]
+            return t.encode(piece, add_special_tokens=False).ids
+
+        _encoders[vocabulary] = PieceEncoder(encode_piece)
     return _encoders[vocabulary]
