@@ -1,8 +1,8 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 Adjacent pairs that can merge wait in buckets, one bucket a merge rank, as positions in a linked
-list of tokens. A three-level bitmap over the ranks tells which buckets hold something; finding the
-first set bit gives the next rank. Entries whose pair has changed since are skipped when taken out.
+list of tokens. A bitmap of two levels, 256 bits a word, tells which buckets hold something; finding the
+first set bit of each level gives the next rank. Entries whose pair has changed since are skipped when taken out.
 A pre-token of n bytes costs O(n) merges of near-constant cost, however long it is.
 """
 
@@ -21,83 +21,74 @@ from supportlake.llm.common import batches
 from supportlake.llm.tokens import PieceEncoder
 
 
-class RankQueue:
-    """Positions by rank; `pop` gives the lowest rank's leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) when empty."""
-        if not self.top:
-            return -1, -1
-        t = (self.top & -self.top).bit_length() - 1
-        m = (t << 6) + (self.mid[t] & -self.mid[t]).bit_length() - 1
-        rank = (m << 6) + (self.low[m] & -self.low[m]).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[m] &= self.low[m] - 1
-            if not self.low[m]:
-                self.mid[t] &= self.mid[t] - 1
-                if not self.mid[t]:
-                    self.top &= self.top - 1
-        return rank, position
-
-
 class Bpe:
+    """Ranks are ids: merging a pair of rank r gives token r."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.tokens = {i: b for b, i in ranks.items()}
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # The rank queue, empty between calls: bit k of word w stands for rank 256 w + k, bit w of the top for word w.
+        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.buckets: dict[int, list[int]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. A piece that is itself a token stays whole."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        # Token i spans piece[i:end[i]]; end[i] is also the next token's position. pair[i]: rank of merging it with the next.
+        rank_of, words, buckets, n = self.ranks.get, self.words, self.buckets, len(piece)
+        top = 0
+        token = [self.single[b] for b in piece]
+        # Token i spans piece[i:end[i]], and end[i] is where the next one starts. pair[i]: the rank of merging both.
         end, back, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
+            r = rank_of(piece[i : i + 2])
+            if r is not None:
                 pair[i] = r
-                queue.push(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
-            if pair[i] != rank:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    words[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            rank = (w << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[w] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if pair[i] != rank:  # stale: one side was merged since
                 continue
+            token[i] = rank
             j = end[i]
             k = end[i] = end[j]
             pair[i] = pair[j] = -1
+            for at, stop in ((i, end[k] if k < n else 0), (back[i], k)):
+                if at < 0 or not stop:
+                    continue
+                r = rank_of(piece[at:stop])
+                if r is None:
+                    pair[at] = -1
+                    continue
+                pair[at] = r
+                if r in buckets:
+                    heappush(buckets[r], at)
+                else:
+                    buckets[r] = [at]
+                    words[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
             if k < n:
                 back[k] = i
-                if (r := ranks.get(piece[i : end[k]])) is not None:
-                    pair[i] = r
-                    queue.push(r, i)
-            if (h := back[i]) >= 0:
-                pair[h] = -1
-                if (r := ranks.get(piece[h:k])) is not None:
-                    pair[h] = r
-                    queue.push(r, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(token[i])
             i = end[i]
         return out
 
@@ -121,6 +112,8 @@ def worker_bpe(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
         bpe, split, known = Bpe(load_ranks(path)), regex.compile(pattern).findall, {}
 
         def encode_piece(piece: str) -> list[int]:
+            if piece[:1] == " " and piece[1:].isalpha():  # one pre-token, and cached by the caller
+                return bpe.encode_piece(piece.encode())
             if len(known) > 200_000:
                 known.clear()
             ids: list[int] = []
