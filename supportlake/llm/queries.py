@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from supportlake.llm.common import documents
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.pii import pii_digest
+
+    return pii_digest(documents(spark, sf_dir))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
