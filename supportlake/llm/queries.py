@@ -40,6 +40,12 @@ def op4_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(documents(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.lm import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
