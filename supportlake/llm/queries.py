@@ -46,6 +46,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.rollups import corpus_rollup
+
+    return corpus_rollup(spark, sf_dir)
+
+
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,5 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from supportlake.llm.quality import quality_sql
+    from supportlake.llm.rollups import ORACLE as ROLLUP_SQL
 
-    return {"op10_quality_rules": quality_sql()}
+    return {"op6_token_rollups": ROLLUP_SQL, "op10_quality_rules": quality_sql()}
