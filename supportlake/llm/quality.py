@@ -41,8 +41,8 @@ class Rule:
     low: int | None = None
     high: int | None = None
 
-    def passed(self) -> Column:
-        scaled, whole, ok = F.col(self.part) * 100, F.col(self.whole), F.lit(True)
+    def passed(self, m: Column) -> Column:
+        scaled, whole, ok = m[self.part] * 100, m[self.whole], F.lit(True)
         if self.low is not None:
             ok = ok & (scaled >= whole * self.low)
         if self.high is not None:
@@ -93,48 +93,52 @@ def repeated_words(words: Column, n: int = 3, few: int = 64) -> Column:
     return F.when(F.size(words) <= n, F.lit(0).cast("long")).otherwise(F.aggregate(let(hashes, marked), first, step, lambda a: a["n"]))
 
 
-def metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: the columns in `keep` and the metrics the rules read."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(
-        *keep,
-        F.array_remove(F.split(t, f"{SPACE}+"), "").alias("_w"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")).alias("_l"),
-        F.regexp_replace(t, f"[^{SYMBOLS}!A-ZÀ-ÖØ-Þ]+", "").alias("_s"),  # the few characters that are counted below
-    )
-    gone = lambda chars: (F.length("_s") - F.length(F.translate("_s", chars, ""))).cast("long")
-    return cut.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        gone(SYMBOLS).alias("n_symbols"),
-        gone("!").alias("n_exclaim"),
-        gone(CAPITALS).alias("n_upper"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+def measured(text: Column) -> Column:
+    """The metrics as a struct. Words, lines and counted characters are bound once, so a filter may evaluate this in place."""
+    t = F.coalesce(text, F.lit(""))
 
+    def metrics(w: Column, lines: Column, marks: Column) -> Column:
+        gone = lambda chars: (F.length(marks) - F.length(F.translate(marks, chars, ""))).cast("long")
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            gone(SYMBOLS).alias("n_symbols"),
+            gone("!").alias("n_exclaim"),
+            gone(CAPITALS).alias("n_upper"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        )
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Metrics, `base_failed`, `kept`, and `failed_rules`: names of the failed table rows, comma-joined."""
-    failed = F.array_join(F.array_compact(F.array(*(F.when(~r.passed(), F.lit(r.name)) for r in rules))), ",")
-    verdict = ~base_failed()
+    words = F.array_remove(F.split(t, f"{SPACE}+"), "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+    marks = F.regexp_replace(t, f"[^{SYMBOLS}!A-ZÀ-ÖØ-Þ]+", "")
+    return let(words, lambda w: let(lines, lambda x: let(marks, lambda m: metrics(w, x, m))))
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+
+
+def accepted(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    ok = ~base_failed(m)
     for r in rules:
-        verdict = verdict & r.passed()
-    return metrics(docs, text, keep).select("*", base_failed().alias("base_failed"), verdict.alias("kept"), failed.alias("failed_rules"))
+        ok = ok & r.passed(m)
+    return ok
+
+
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns of `keep`, the metrics, `base_failed`, `kept`, and `failed_rules`: names of the failed table rows, comma-joined."""
+    m = F.col("_m")
+    failed = F.array_join(F.array_compact(F.array(*(F.when(~r.passed(m), F.lit(r.name)) for r in rules))), ",")
+    found = docs.select(*keep, measured(F.col(text)).alias("_m"))
+    return found.select(*keep, "_m.*", base_failed(m).alias("base_failed"), accepted(m, rules).alias("kept"), failed.alias("failed_rules"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The input rows that pass, with the input's own columns."""
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    judged = quality(packed, rules, "_text", ("_row",))
-    return judged.filter("kept").select("_row.*")
+    return docs.filter(let(measured(F.col(text)), lambda m: accepted(m, rules)))
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES) -> str:
