@@ -1 +1 @@
-
+"""Column functions: built-in expressions only."""

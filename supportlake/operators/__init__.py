@@ -1 +1 @@
-
+"""Operators: DataFrames in, DataFrame out, lazy and without side effects."""
