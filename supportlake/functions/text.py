@@ -28,7 +28,10 @@ def tokens(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pairs of neighbouring characters, in time linear in the text."""
+    chars = F.split(c, "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(pairs, lambda p: F.length(p) == 2))
 
 
 def bigram_overlap(q: Column, t: Column) -> Column:
@@ -99,7 +102,7 @@ def normalise_space(c: Column) -> Column:
 
 def is_noise(c: Column) -> Column:
     """Blank, punctuation alone, or fewer than three word characters."""
-    marks = r"^[\s　-〿＀-￯ -⁯\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$"
+    marks = r"^[\s　-〿＀-￯ -⁯\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+$"
     return (F.trim(c) == "") | c.rlike(marks) | (F.length(F.regexp_replace(c, r"(?U)\W", "")) < 3)
 
 

@@ -40,9 +40,8 @@ def sentences(text: Column) -> Column:
 
 
 def hard_cut(text: Column, size: int) -> Column:
-    """Pieces of at most `size` characters."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array(text))
+    """Pieces of at most `size` characters, cut after white space where there is some."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}(?:(?<=\s)|$)|.{{1,{size}}}"), F.lit(0))
 
 
 def split_sentences(df: DataFrame, max_size: int = 1024) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from supportlake.plans import knowledge, retrieval, service
+
+MODULES = (retrieval, knowledge, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
