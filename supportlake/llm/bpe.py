@@ -112,8 +112,6 @@ def worker_bpe(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
         bpe, split, known = Bpe(load_ranks(path)), regex.compile(pattern).findall, {}
 
         def encode_piece(piece: str) -> list[int]:
-            if piece[:1] == " " and piece[1:].isalpha():  # one pre-token, and cached by the caller
-                return bpe.encode_piece(piece.encode())
             if len(known) > 200_000:
                 known.clear()
             ids: list[int] = []
@@ -125,7 +123,7 @@ def worker_bpe(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
                 ids += found
             return ids
 
-        _loaded[path, pattern] = bpe, PieceEncoder(encode_piece)
+        _loaded[path, pattern] = bpe, PieceEncoder(encode_piece, lambda word: bpe.encode_piece(b" " + word.encode()))
     return _loaded[path, pattern]
 
 

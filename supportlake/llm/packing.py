@@ -56,10 +56,13 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """For each token id, the number of documents that hold it."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << 16, dtype=np.int64)
+        df, held = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=bool)
         for b in frames:
             for x in b["ids"].to_pylist():
-                df[np.unique(np.frombuffer(x, dtype="<u2"))] += 1
+                held[np.frombuffer(x, dtype="<u2")] = True
+                at = np.flatnonzero(held)
+                df[at] += 1
+                held[at] = False
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["token", "df"])
 

@@ -37,14 +37,19 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """`encode_piece` gives the ids of one piece of text; ids must be below 65,536."""
+    """`encode_piece` gives the ids of one piece of text, `encode_word` those of a word of letters after a space.
 
-    def __init__(self, encode_piece: Callable[[str], Iterable[int]], limit: int = CACHE_PIECES):
-        self.encode_piece, self.limit = encode_piece, limit
+    Ids must be below 65,536.
+    """
+
+    def __init__(self, encode_piece: Callable[[str], Iterable[int]], encode_word: Callable[[str], Iterable[int]], limit: int = CACHE_PIECES):
+        self.encode_piece, self.encode_word, self.limit = encode_piece, encode_word, limit
         self.plain = _Pieces(lambda p: array("H", encode_piece(p)).tobytes())
         self.spaced = _Pieces(self._after_space)  # by the piece without its leading space
 
     def _after_space(self, piece: str) -> bytes | None:
+        if piece.isalpha():
+            return array("H", self.encode_word(piece)).tobytes()
         if not piece or piece[0].isspace():
             return None
         stem = piece.rstrip(_MARKS)
@@ -92,12 +97,11 @@ def library_encoder(vocabulary: str) -> PieceEncoder:
         t.encode_special_tokens = True
         model, letters = t.model, byte_letters()
 
-        def encode_piece(piece: str) -> list[int]:
-            word = piece[1:]
-            if piece[:1] == " " and word.isalpha():  # one piece of the split pattern: straight to the merges
-                raw = letters[32] + word if word.isascii() else piece.encode().decode("latin-1").translate(letters)
-                return [x.id for x in model.tokenize(raw)]
-            return t.encode(piece, add_special_tokens=False).ids
+        space = letters[32]
+
+        def encode_word(word: str) -> list[int]:  # one piece of the split pattern: straight to the merges
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+            return [x.id for x in model.tokenize(space + raw)]
 
-        _encoders[vocabulary] = PieceEncoder(encode_piece)
+        _encoders[vocabulary] = PieceEncoder(lambda piece: t.encode(piece, add_special_tokens=False).ids, encode_word)
     return _encoders[vocabulary]
