@@ -17,21 +17,35 @@ def choose_strategy(text: Column, doc_type: Column) -> Column:
     return F.when(faq_like(text, lex.FAQ_MARKS), "faq").when(has_headings(text), "markdown").otherwise(F.coalesce(kinds[doc_type], F.lit("recursive")))
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pack(units: Column, max_size: int, joiner: str = "") -> Column:
     """P: append a unit while buffer and unit stay within max_size estimated tokens, else begin a new chunk.
 
-    A unit that is too large by itself stands alone. Sizes are counted on characters of both classes,
-    so the fold carries the buffer's text once.
+    A unit that is too large by itself stands alone. The fold carries counts and chunk starts, not text,
+    and each chunk is cut out once, so the work is linear in the text.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
-
-    def step(a: Column, u: Column) -> Column:
-        both = F.when(a["buf"] == "", u).otherwise(F.concat(a["buf"], F.lit(joiner), u))
-        fits = (a["buf"] == "") | (est_tokens(both) <= max_size)
-        return F.struct(F.when(fits, a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))).alias("out"), F.when(fits, both).otherwise(u).alias("buf"))
-
-    done = lambda a: F.filter(F.concat(a["out"], F.array(a["buf"])), lambda x: F.trim(x) != "")
-    return F.aggregate(units, start, step, done)
+    han = lambda u: F.length(F.regexp_replace(u, "[^一-鿿]", ""))
+
+    def step(a: Column, x: Column) -> Column:
+        h, o = a["h"] + x["h"], a["o"] + x["n"] - x["h"] + len(joiner)
+        fits = (a["i"] > 0) & (F.floor(h / 1.5 + o / 3.5) <= max_size)
+        return F.struct(
+            F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["i"]))).alias("starts"), F.when(fits, h).otherwise(x["h"]).alias("h"),
+            F.when(fits, o).otherwise(x["n"] - x["h"]).alias("o"), (a["i"] + 1).alias("i"),
+        )
+
+    def packed(us: Column) -> Column:
+        sizes = F.transform(us, lambda u: F.struct(han(u).alias("h"), F.length(u).alias("n")))
+        zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("h"), F.lit(0).alias("o"), F.lit(0).alias("i"))
+        starts = F.aggregate(sizes, zero, step, lambda a: a["starts"])
+        part = lambda s: lambda p, j: F.array_join(F.slice(us, p + 1, F.coalesce(F.get(s, j + 1), F.size(us)) - p), joiner)
+        return _bind(starts, lambda s: F.transform(s, part(s)))
+
+    return F.filter(_bind(units, packed), lambda x: F.trim(x) != "")
 
 
 def sentences(text: Column) -> Column:
