@@ -31,6 +31,8 @@ from supportlake.llm.minhash import Forest
 
 #: Points a block may hold, and points a tree node may hold before it is split further.
 BLOCK, LEAF = 2048, 64
+#: Cells a label is cut into at most; larger cells are cut further by hash. It bounds the sample that one task sees.
+MAX_CELLS = 4096
 #: Widening of bounds against rounding; exact comparison decides within it.
 SLACK = 1e-9
 
@@ -110,16 +112,16 @@ def clean_vectors(table: DataFrame) -> DataFrame:
 def cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Points with their cell and part, and the cells (label, cell, center, radius, parts).
 
-    Centres: as many as the label has blocks, from a sample of at most 8 points a centre by hash order,
-    each the furthest from those before. Only speed depends on them.
+    Centres: as many as the label has blocks, MAX_CELLS at most, from a sample of about 8 points a centre
+    by hash, each the furthest from those before. Only speed depends on them.
     """
     sized = points.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    wanted = F.ceil(F.col("n") / block)
+    wanted = F.least(F.ceil(F.col("n") / block), F.lit(MAX_CELLS))
     sample = points.withColumn("dim", F.size("vector")).join(sized.select("label", "dim", "n"), ["label", "dim"])
     sample = sample.filter((wanted > 1) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.least(wanted * 8_000_000 / F.col("n"), F.lit(1_000_000))))
 
     def spread(g: pd.DataFrame) -> pd.DataFrame:
-        x, k = unit(np.stack(g.sort_values("id").vector.tolist())), math.ceil(g.n.iloc[0] / block)
+        x, k = unit(np.stack(g.sort_values("id").vector.tolist())), min(math.ceil(g.n.iloc[0] / block), MAX_CELLS)
         near, picked = np.full(len(x), np.inf), []
         while len(picked) < min(k, len(x)):
             picked.append(int(near.argmax()) if picked else 0)
