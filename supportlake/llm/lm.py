@@ -7,8 +7,8 @@ Scores then use the counts of all training folds.
 
 Documents are dealt into chunks by hash. A chunk sends its distinct unigrams and bigrams (64-bit
 hashes, counted) to count buckets, one packed row for each chunk and bucket; so a frequent word costs
-one entry a chunk. A bucket sums the counts of all chunks and returns to each chunk only the entries
-whose total differs from the chunk's own count. A second pass over the texts meets these totals.
+one entry a chunk. A bucket sums the counts of all chunks and returns to each chunk, entry by entry in the
+order it sent them, what the rest of the corpus adds. A second pass over the texts meets these sums.
 Chunks and buckets keep a fixed size, their number grows with the input.
 
 Defined results: a null text is an empty one (its end token alone); a null doc_id counts as the empty
@@ -19,6 +19,7 @@ the uniform part gives log10(1) for each token; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from supportlake.llm.common import store
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
 TOP_BUCKET = 40
 EM_STEPS = 40
@@ -69,16 +70,29 @@ def counted(keys: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, kept.astype(np.int64), gone.astype(np.int64)
 
 
-KINDS = ("uni", "bi")
-FIELDS = ", ".join(f"{k}_{f} binary" for k in KINDS for f in ("keys", "kept", "gone"))
+#: Bytes kept of a key. Its count bucket is told by the bits above, so 48 bits are compared within one bucket only.
+KINDS = {"uni": 8, "bi": 6}
+COUNTS = ", ".join(f"{k}_{f} binary" for k in KINDS for f in ("kept", "gone"))
+FIELDS = ", ".join(f"{k}_keys binary" for k in KINDS) + ", " + COUNTS
 
 
-def _load(row, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(getattr(row, f"{kind}_{f}"), dtype="<u8" if f == "keys" else "<u4") for f in ("keys", "kept", "gone"))
+def pack_keys(keys: np.ndarray, width: int) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _pack(keys, kept, gone) -> list[bytes]:
-    return [keys.astype("<u8").tobytes(), kept.astype("<u4").tobytes(), gone.astype("<u4").tobytes()]
+def load_keys(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Small numbers mostly: compressed before they are sent."""
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def load_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -101,13 +115,20 @@ class Chunk:
         self.fold = np.repeat(fold, self.sizes)
         self.counts = {"uni": counted(self.words, self.fold), "bi": counted(self.pairs, self.fold)}
 
-    def raise_to(self, returned: pd.DataFrame) -> None:
+    def dealt(self, kind: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys by count bucket, sorted within, and where each bucket begins."""
+        part = ((self.counts[kind][0] >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def raise_to(self, returned: pd.DataFrame, parts: int) -> None:
         for kind in KINDS:
-            keys, kept, gone = self.counts[kind]
+            _, kept, gone = self.counts[kind]
+            order, edges = self.dealt(kind, parts)
             for row in returned.itertuples():
-                k, a, b = _load(row, kind)
-                at = np.searchsorted(keys, k)
-                kept[at], gone[at] = a, b
+                at = order[edges[row.part] : edges[row.part + 1]]
+                kept[at] += load_counts(getattr(row, f"{kind}_kept"))
+                gone[at] += load_counts(getattr(row, f"{kind}_gone"))
 
     def look_up(self, kind: str, wanted: np.ndarray, deleted: bool) -> np.ndarray:
         keys, kept, gone = self.counts[kind]
@@ -124,36 +145,35 @@ class Chunk:
 
 
 def count_chunk(g: pd.DataFrame, parts: int) -> pd.DataFrame:
-    chunk, number = Chunk(g.text.tolist(), g.fold.to_numpy()), int(g.chunk.iloc[0])
-    columns = {}
-    for kind in KINDS:
+    chunk, columns = Chunk(g.text.tolist(), g.fold.to_numpy()), {"part": range(parts), "chunk": int(g.chunk.iloc[0])}
+    for kind, width in KINDS.items():
         keys, kept, gone = chunk.counts[kind]
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        columns[kind] = [_pack(*(x[order[a:b]] for x in (keys, kept, gone))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    rows = [(p, number, *columns["uni"][p], *columns["bi"][p]) for p in range(parts)]
-    return pd.DataFrame(rows, columns=["part", "chunk", *(f"{k}_{f}" for k in KINDS for f in ("keys", "kept", "gone"))])
+        order, edges = chunk.dealt(kind, parts)
+        slices = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        columns |= {f"{kind}_keys": [pack_keys(keys[x], width) for x in slices], f"{kind}_kept": [pack_counts(kept[x]) for x in slices], f"{kind}_gone": [pack_counts(gone[x]) for x in slices]}
+    return pd.DataFrame(columns)[["part", "chunk", *(f.split()[0] for f in FIELDS.split(", "))]]
 
 
 def sum_part(g: pd.DataFrame) -> pd.DataFrame:
-    rows, back, sums = list(g.itertuples()), [[] for _ in range(len(g))], [0, 0, 0, 0]
-    for kind in KINDS:
-        loaded = [_load(r, kind) for r in rows]
-        keys, kept, gone = (np.concatenate([x[i] for x in loaded]) for i in range(3))
-        distinct, place = np.unique(keys, return_inverse=True)
-        all_kept, all_gone = (np.bincount(place, weights=x, minlength=len(distinct)).astype(np.int64) for x in (kept, gone))
+    """For each chunk, what the other chunks add to its counts; the bucket's own totals stand in the first row."""
+    out = {"part": g.part.to_numpy(), "chunk": g.chunk.to_numpy()}
+    sums = [0, 0, 0, 0]
+    for kind, width in KINDS.items():
+        keys = [load_keys(x, width) for x in g[f"{kind}_keys"]]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        edges = np.cumsum([len(k) for k in keys])[:-1]
+        totals = []
+        for f in ("kept", "gone"):
+            own = [load_counts(x) for x in g[f"{kind}_{f}"]]
+            total = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
+            out[f"{kind}_{f}"] = [pack_counts(t - o) for t, o in zip(np.split(total[place], edges), own, strict=True)]
+            totals.append(total)
         if kind == "uni":
-            sums = [int(all_kept.sum()), int((all_kept > 0).sum()), int((all_kept + all_gone).sum()), int((all_kept + all_gone > 0).sum())]
-        at = 0
-        for r, (k, a, b) in enumerate(loaded):
-            here = place[at : at + len(k)]
-            at += len(k)
-            ta, tb = all_kept[here], all_gone[here]
-            differ = (ta != a) | (tb != b)
-            back[r] += _pack(k[differ], ta[differ], tb[differ])
-    out = [(r.chunk, *b, *(sums if i == 0 else [0] * 4)) for i, (r, b) in enumerate(zip(rows, back, strict=True))]
-    return pd.DataFrame(out, columns=["chunk", *(f"{k}_{f}" for k in KINDS for f in ("keys", "kept", "gone")), "n_kept", "v_kept", "n", "v"])
+            kept, every = totals[0], totals[0] + totals[1]
+            sums = [int(kept.sum()), int((kept > 0).sum()), int(every.sum()), int((every > 0).sum())]
+    for name, value in zip(("n_kept", "v_kept", "n", "v"), sums, strict=True):
+        out[name] = [value] + [0] * (len(g) - 1)
+    return pd.DataFrame(out)
 
 
 def learn_weights(cells: list, steps: int = EM_STEPS) -> np.ndarray:
@@ -178,13 +198,13 @@ def learn_weights(cells: list, steps: int = EM_STEPS) -> np.ndarray:
     return out
 
 
-def held_out_cells(left: pd.DataFrame, right: pd.DataFrame, totals: Totals) -> pd.DataFrame:
+def held_out_cells(left: pd.DataFrame, right: pd.DataFrame, totals: Totals, parts: int) -> pd.DataFrame:
     """Deleted tokens summed over cells: the context's bucket and half octaves of p2 and p1 (at most 41 * 82 * 82 cells)."""
     names = ["bucket", "q2", "q1", "n", "p2", "p1"]
     if not (left.fold == DELETED).any():
         return pd.DataFrame([], columns=names).astype({n: "float64" for n in names})
     chunk = Chunk(left.text.tolist(), left.fold.to_numpy())
-    chunk.raise_to(right)
+    chunk.raise_to(right, parts)
     _, p2, p1, _, bucket = chunk.estimates(totals, np.flatnonzero(chunk.fold == DELETED), True)
     octave = lambda p: np.where(p > 0, np.maximum(np.round(2 * np.log2(np.maximum(p, 1e-30))), -80), 1).astype(np.int64)
     cells = pd.DataFrame({"bucket": bucket, "q2": octave(p2), "q1": octave(p1), "n": 1, "p2": p2, "p1": p1})
@@ -194,11 +214,11 @@ def held_out_cells(left: pd.DataFrame, right: pd.DataFrame, totals: Totals) -> p
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunk(left: pd.DataFrame, right: pd.DataFrame, totals: Totals, weights: np.ndarray) -> pd.DataFrame:
+def score_chunk(left: pd.DataFrame, right: pd.DataFrame, totals: Totals, parts: int, weights: np.ndarray) -> pd.DataFrame:
     if not len(left):
         return pd.DataFrame([], columns=[c.split()[0] for c in SCORES.split(", ")])
     chunk = Chunk(left.text.tolist(), left.fold.to_numpy())
-    chunk.raise_to(right)
+    chunk.raise_to(right, parts)
     c_word, p2, p1, p0, bucket = chunk.estimates(totals, np.arange(len(chunk.words)), False)
     w = weights[bucket]
     starts = np.cumsum(chunk.sizes) - chunk.sizes
@@ -224,13 +244,12 @@ def lm_scores(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     dealt = docs.select(F.col("doc_id").cast("long"), "text", fold.alias("fold"), chunk.alias("chunk"))
 
     counts = dealt.groupBy("chunk").applyInPandas(lambda g: count_chunk(g, parts), f"part int, chunk int, {FIELDS}")
-    summed = counts.groupBy("part").applyInPandas(sum_part, f"chunk int, {FIELDS}, n_kept long, v_kept long, n long, v long")
+    summed = counts.groupBy("part").applyInPandas(sum_part, f"part int, chunk int, {COUNTS}, n_kept long, v_kept long, n long, v long")
     back = store(summed, "lm-counts")
     totals = Totals(*(x or 0 for x in back.agg(*(F.sum(c) for c in ("n_kept", "v_kept", "n", "v"))).first()))
-    fields = ["chunk", *(f"{k}_{f}" for k in KINDS for f in ("keys", "kept", "gone"))]
-    both = dealt.groupBy("chunk").cogroup(back.select(*fields).withColumnRenamed("chunk", "c").groupBy("c"))
+    both = dealt.groupBy("chunk").cogroup(back.drop("n_kept", "v_kept", "n", "v").withColumnRenamed("chunk", "c").groupBy("c"))
 
-    cells = both.applyInPandas(lambda a, b: held_out_cells(a, b, totals), "bucket int, q2 int, q1 int, n double, p2 double, p1 double")
+    cells = both.applyInPandas(lambda a, b: held_out_cells(a, b, totals, parts), "bucket int, q2 int, q1 int, n double, p2 double, p1 double")
     found = store(cells.groupBy("bucket", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))), "lm-cells").collect()
     weights = learn_weights([(r.bucket, r.n, r.p2 / r.n, r.p1 / r.n, 1 / (totals.v_kept + 1)) for r in sorted(found, key=lambda r: (r.bucket, r.q2, r.q1))])
-    return both.applyInPandas(lambda a, b: score_chunk(a, b, totals, weights), SCORES)
+    return both.applyInPandas(lambda a, b: score_chunk(a, b, totals, parts, weights), SCORES)
