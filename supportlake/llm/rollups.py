@@ -90,7 +90,7 @@ class Rollup:
 
 def word_count(text: Column) -> Column:
     """Version words-1: runs of characters other than ASCII white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE[1:]}+")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
 
 
 def mark_count(text: Column) -> Column:
@@ -124,7 +124,8 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digit_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^0-9{SPACE[1:]}*[0-9][^{SPACE[1:]}*")).cast("long")
+    """Words that hold a digit: from a word's first digit to its end is one match."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[0-9][^{SPACE[1:]}*")).cast("long")
 
 
 ORACLE = r"""
