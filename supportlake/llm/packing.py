@@ -2,10 +2,16 @@
 
 Documents become token ids once, in a table. Document frequencies and the mean length come from all
 documents; there is one frequency for each id of the vocabulary (at most 65,536), so they go to every
-task. Documents are dealt over shards of about a million ids by hash, each shard builds an inverted
-index with BM25 weights, and windows are filled greedily: a seed, then its best unused neighbours; the
-neighbour that crosses the end is cut, its rest opens the next window and is the next seed. So a
-shard leaves one window short at most, whatever the lengths are.
+task. Documents are dealt over shards of about a million ids by a lexical key, so that documents that
+share rare ids meet in a shard; each shard builds an inverted index with BM25 weights, and windows are
+filled greedily: a seed, then its best unused neighbours; the neighbour that crosses the end is cut, its
+rest opens the next window and is the next seed. So a shard leaves one window short at most, whatever
+the lengths are. Neighbours in other shards stay out of reach (the README has their share).
+
+The key is a chain of minima: ids are ranked once by -ln(u) / idf with a fixed random u, and a document's
+key is its three smallest ranks, then random bits. Two documents have the same first rank with a
+probability that is their Jaccard similarity weighted by idf. Shards are ranges of the key that hold about
+the same number of ids, so a common first rank is divided by the second, and copies by the random bits.
 
 Defined results: a null text is an empty one and has the end id alone; every row is packed, repeated
 rows too, and rows with a null doc_id; a text longer than a window is cut into several; an empty table
@@ -28,6 +34,8 @@ from supportlake.llm.common import batches, store
 
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
+#: Sampled points a shard from which the ranges are cut.
+POINTS = 64
 K1, B = 1.2, 0.75
 
 
@@ -72,6 +80,61 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return out
 
 
+def id_ranks(df: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rank of each id by -ln(u) / idf; ids of fewer than two documents, which link nothing, come last."""
+    u = np.random.RandomState(1).random_sample(len(df))
+    cost = np.where(df >= 2, -np.log1p(-u) / idf, np.inf)
+    ranks = np.empty(len(df), dtype=np.uint16)
+    ranks[np.argsort(cost, kind="stable")] = np.arange(len(df))
+    return ranks
+
+
+def lexical_keys(ids: list[bytes], deal: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each document its three smallest ranks and 14 random bits; no document is empty, as the end id is in each."""
+    last, sizes = np.uint16(0xFFFF), np.array([len(x) // 2 for x in ids])
+    found, starts = ranks[np.frombuffer(b"".join(ids), dtype="<u2")], np.cumsum(sizes) - sizes
+    key = np.zeros(len(ids), dtype=np.int64)
+    for _ in range(3):
+        least = np.minimum.reduceat(found, starts)
+        key = (key << 16) | least
+        found[found == np.repeat(least, sizes)] = last
+    return (key << 14) | (deal & 0x3FFF)
+
+
+def shard_edges(tokens: DataFrame, ranks, shards: int, shard_tokens: int) -> np.ndarray:
+    """Keys at which the next shard begins, from a sample that takes each document in proportion to its length."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, 256):
+            key = lexical_keys(b["ids"].to_pylist(), b["deal"].to_numpy(), ranks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b["points"]], names=["key", "points"])
+
+    random = F.shiftright("deal", 14).bitwiseAND(F.lit(0xFFFFFF)) / (1 << 24)  # other bits than the key's
+    points = F.floor(F.col("n") / F.lit(max(1.0, shard_tokens / POINTS)) + random).alias("points")
+    sample = tokens.select("ids", "deal", points).filter("points > 0").mapInArrow(run, "key long, points long").toArrow()
+    key, points = sample["key"].to_numpy(), sample["points"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    reached = np.cumsum(points[order])
+    return key[order][np.searchsorted(reached, reached[-1] * np.arange(1, shards) / shards)]
+
+
+def deal_out(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, shards: int, shard_tokens: int) -> DataFrame:
+    """(doc_id, ids, deal, shard): ranges of the lexical key."""
+    if shards == 1:
+        return tokens.select("doc_id", "ids", "deal", F.lit(0).cast("long").alias("shard"))
+    context = tokens.sparkSession.sparkContext
+    ranks = context.broadcast(id_ranks(df, idf))  # one number for each id of the vocabulary
+    edges = context.broadcast(shard_edges(tokens, ranks, shards, shard_tokens))  # one number for each shard
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, 256):
+            key = lexical_keys(b["ids"].to_pylist(), b["deal"].to_numpy(), ranks.value)
+            shard = np.searchsorted(edges.value, key, side="right")
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], b["deal"], pa.array(shard, pa.int64())], names=["doc_id", "ids", "deal", "shard"])
+
+    return tokens.select("doc_id", "ids", "deal").mapInArrow(run, "doc_id long, ids binary, deal long, shard long")
+
+
 class Index:
     """An inverted index of one shard: for each token, its documents and their BM25 weights."""
 
@@ -162,5 +225,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW
         result["doc_id"] = result["doc_id"].astype("Int64")
         return result
 
-    dealt = tokens.select("doc_id", "ids", "deal", F.pmod("deal", F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(run, PIECES)
+    return deal_out(tokens, df, idf, shards, shard_tokens).groupBy("shard").applyInPandas(run, PIECES)

@@ -204,6 +204,22 @@ def test_packing_prefers_lexical_neighbours():
     assert {w: {d for d, _, _, k, _ in pieces if k == w} for w in (0, 1)} == {0: {0, 3}, 1: {1, 2}}
 
 
+def test_packing_deals_related_documents_to_one_shard(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(7))
+    topics = [[word() for _ in range(12)] for _ in range(60)]
+    texts = [" ".join(rnd.sample(t, 12)) for t in topics for _ in range(4)] + ["one and the same text of a large group"] * 400
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), VOCABULARY, 1, window=64, shard_tokens=1500).collect()
+    check_pieces(rows, dict(enumerate(texts)), 1, 64)
+    shards, sizes = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        shards[r.doc_id].add(r.sequence_id >> 32)
+        sizes[r.sequence_id >> 32] += r.length
+    pairs = [(4 * k + i, 4 * k + j) for k in range(60) for i in range(4) for j in range(i)]
+    assert len(sizes) >= 10 and max(sizes.values()) <= 2 * 1500
+    assert sum(shards[a] == shards[b] for a, b in pairs) >= 0.6 * len(pairs)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     found = spark.read.parquet(f"{sf}/documents.parquet")
