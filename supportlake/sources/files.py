@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +57,24 @@ def faq_markdown(faq: DataFrame, by: str = "source_file") -> DataFrame:
     return faq.filter("status = 'ok'").groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", part.alias("x")))), lambda s: s["x"]), "\n\n").alias("text"))
 
 
+def _other_charset(content: bytes) -> str:
+    """The first charset that takes all bytes; latin-1 takes any. GB 2312 is a part of GBK."""
+    try:
+        return content.decode("gbk")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
 def decode_text(df: DataFrame) -> DataFrame:
-    """UTF-8 where valid, else GBK; .txt gets its stem as a header; blank content is partial."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "GBK"))
+    """UTF-8 where valid, else GBK, else Latin-1; .txt gets its stem as a header; blank content is partial."""
+
+    @F.pandas_udf("string")
+    def other(content: pd.Series) -> pd.Series:
+        return content.map(lambda x: None if x is None else _other_charset(x))
+
+    utf8 = F.col("content").cast("string")
+    valid = F.is_valid_utf8(utf8)
+    text = F.when(valid, utf8).otherwise(other(F.when(~valid, F.col("content"))))  # valid files do not go to Python
     stem = F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "")
     blank = F.trim(F.regexp_replace(text, r"\s+", "")) == ""
     body = F.when((_extension(F.col("path")) == "txt") & ~blank, F.concat(F.lit("# "), stem, F.lit("\n\n"), text)).otherwise(text)

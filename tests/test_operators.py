@@ -179,6 +179,14 @@ def test_sniffing(spark):
         assert one(spark, index.sniff_type(F.col("c")), c=bytearray(raw)) == kind
 
 
+def test_decode_text_falls_back_by_file(spark):
+    raw = {"u.md": "退货 é".encode(), "g.md": "退货政策".encode("gbk"), "l.txt": "déjà vu ÿ".encode("latin-1"), "e.md": b"", "b.md": b" \n"}
+    out = {r.path: (r.text, r.status) for r in files.decode_text(spark.createDataFrame([(k, bytearray(v)) for k, v in raw.items()] + [("n.md", None)], "path string, content binary")).collect()}
+    assert out["u.md"] == ("退货 é", "success") and out["g.md"] == ("退货政策", "success")
+    assert out["l.txt"] == ("# l\n\ndéjà vu ÿ", "success")
+    assert out["e.md"] == ("", "partial") and out["b.md"][1] == "partial" and out["n.md"][0] is None
+
+
 def test_faq_source(spark):
     df = spark.createDataFrame([("a", '[{"question":"q1","answer":"a1","keywords":["k"]},{"question":"","answer":"x"},{"question":"q3","answer":"a3"}]'), ("b", "{bad")], "source_file string, content string")
     rows = files.explode_faq(df)
