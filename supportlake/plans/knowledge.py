@@ -179,14 +179,13 @@ def g01_redact(spark, sf_dir):
 
 
 def g02_findings(spark, sf_dir):
-    """E-mail and address findings with their masks."""
-    rules = [r for r in sa.lex.PII if r[0] in ("邮箱", "IP地址")]
-    return sa.pii_findings(table(spark, sf_dir, "documents"), "text", rules, "doc_id").select("doc_id", "type", "original", "masked")
+    """Findings of all rules with their masks."""
+    return sa.pii_findings(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "type", "original", "masked")
 
 
 def g05_input_guard(spark, sf_dir):
     """Turns of conversations that look like attacks on the prompt."""
-    return sa.check_input(table(spark, sf_dir, "conversations"), "text", 100).select("conv_id", "turn", "flagged", F.length("safe_text").alias("n"))
+    return sa.check_input(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "flagged", F.length("safe_text").alias("n"))
 
 
 def x05_emotion(spark, sf_dir):

@@ -33,3 +33,10 @@ def test_query_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_findings_and_guard_use_the_whole_rules(spark):
+    found = {r.type for r in registry.queries()["g02_findings"](spark, SF).select("type").distinct().collect()}
+    assert {"邮箱", "IP地址", "银行卡"} <= found
+    longest = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("max(length(text)) n").first().n
+    assert longest > 100 and registry.queries()["g05_input_guard"](spark, SF).selectExpr("max(n) n").first().n == min(longest, 5000)
