@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from supportlake.llm.common import batches
-from supportlake.llm.tokens import PieceEncoder
+from supportlake.llm.tokens import PieceEncoder, binary_column, by_bytes
 
 
 class Bpe:
@@ -31,6 +31,7 @@ class Bpe:
         # The rank queue, empty between calls: bit k of word w stands for rank 256 w + k, bit w of the top for word w.
         self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.buckets: dict[int, list[int]] = {}
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. A piece that is itself a token stays whole."""
@@ -95,6 +96,19 @@ class Bpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_runs(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids (of which `edges` gives the bounds), gathered from one table of all tokens' bytes."""
+        if self.table is None:
+            parts = [self.tokens.get(i, b"") for i in range(max(self.tokens, default=-1) + 1)]
+            sizes = np.array([len(p) for p in parts], dtype=np.int64)
+            self.table = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, starts, sizes = self.table
+        n = sizes[ids]
+        reached = np.concatenate([[0], np.cumsum(n)])
+        raw = data[np.repeat(starts[ids] - reached[:-1], n) + np.arange(reached[-1])].tobytes()
+        at = reached[edges].tolist()
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -123,7 +137,7 @@ def worker_bpe(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
                 ids += found
             return ids
 
-        _loaded[path, pattern] = bpe, PieceEncoder(encode_piece, lambda word: bpe.encode_piece(b" " + word.encode()))
+        _loaded[path, pattern] = bpe, PieceEncoder(encode_piece, lambda word, spaced: bpe.encode_piece((" " + word if spaced else word).encode()), len(bpe.ranks))
     return _loaded[path, pattern]
 
 
@@ -139,9 +153,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = worker_bpe(ranks_path, pattern)
-        for b in batches(frames, 128):
-            ids = [t.astype("<u4").tobytes() for t in encoder.encode(b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for b in by_bytes(frames):
+            ids, edges = encoder.encode_column(b["text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), binary_column(ids.astype("<u4"), edges)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -166,14 +180,15 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = worker_bpe(ranks_path, pattern)
-        for b in batches(frames, 128):
-            ids = encoder.encode(b["text"].to_pylist())
+        for b in by_bytes(frames):
+            ids, edges = encoder.encode_column(b["text"])
+            raw, at = ids.astype("<u4").tobytes(), (4 * edges).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"].cast(pa.int64()),
-                    pa.array([len(t) for t in ids], pa.int64()),
-                    pa.array([hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in ids]),
-                    pa.array([hashlib.sha256(bpe.decode(t.tolist())).hexdigest() for t in ids]),
+                    pa.array(np.diff(edges)),
+                    pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]),
+                    pa.array([hashlib.sha256(text).hexdigest() for text in bpe.decode_runs(ids, edges)]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

@@ -57,7 +57,7 @@ def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from supportlake.llm.packing import pack
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1).drop("ids")
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, with_ids=False)
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,18 @@
 A record is: length of the payload (u64), its masked checksum (u32), payload, the payload's masked
 checksum (u32), all little-endian. The checksum is CRC-32C, masked by a rotation of 15 bits and a
 constant so that checksums of data that holds checksums stay sound. The payload is: a flag byte
-(1: the id is null), the document's id (i64), then its token ids as u16.
+(1: the id is null, 2: ids are u32), the document's id (i64), then its token ids as u16, or as u32 for
+vocabularies beyond 65,536 ids.
 
 Documents are dealt by ranges of doc_id, sorted within, and each partition writes one shard file
-under a name of its own, then moves it into place; a repeated or speculative task only replaces the
-file by an equal one. Shards are as large as a shuffle partition. The index is a Parquet table.
-
-Defined results: a null text is an empty one (its record holds the end id alone); a null doc_id
-sorts first; rows with equal ids follow each other, by text; an empty table has no shards and an
-empty index; other columns are ignored.
+under a name of its own in a folder of attempts, then moves it into place; a repeated or speculative
+task only replaces the file by an equal one, and what stopped attempts leave goes with their folder.
+The number of shards grows with the text (`SHARD_CHARS`). The index is a Parquet table.
+
+Defined results: a null text is an empty one (its record holds the end id alone); the strings of
+special tokens inside texts are ordinary text; a null doc_id sorts first; rows with equal ids follow
+each other, by text; an empty table has no shards and an empty index; other columns are ignored.
+Records are the result of `write_records` and stay in the folder the caller names.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import batches, scratch
+from supportlake.llm.common import batches, drop, scratch
+from supportlake.llm.tokens import by_bytes, library_encoder, with_end
 
 #: Fixed values of the format: CRC-32C's reversed polynomial and the mask's constant.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 BLOCK = 256
 FRAME, HEAD = "<QI", "<Bq"
+NULL_ID, WIDE = 1, 2
+#: Characters of text a shard holds, about.
+SHARD_CHARS = 16_000_000
 
 
 @cache
@@ -95,41 +102,44 @@ def unframe(data: list[tuple[bytes, bytes, bytes]]) -> None:
 INDEX = "shard int, path string, doc_id long, offset long, bytes long, n_tokens long"
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Write shard files below `folder` and return their offset index, read back from its own table."""
 
     def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        from supportlake.llm.tokens import library_encoder
-
         shard = TaskContext.get().partitionId()
-        path = f"{folder}/shards/{shard:06d}.rec"
+        path, aside = f"{folder}/shards/{shard:06d}.rec", f"{folder}/attempts/{uuid.uuid4().hex}"
         store, target = fs.FileSystem.from_uri(path)
-        store.create_dir(target.rpartition("/")[0], recursive=True)
-        encoder, own, out, at = library_encoder(vocabulary), f"{target}.{uuid.uuid4().hex}", None, 0
-        tail = np.array([end_id], dtype="<u2").tobytes()
-        for b in batches(frames, 256):
-            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-            tokens = [t.tobytes() + tail for t in encoder.encode(texts)]
-            records = frame([struct.pack(HEAD, i is None, i or 0) + t for i, t in zip(ids, tokens, strict=True)])
+        own = fs.FileSystem.from_uri(aside)[1]
+        for name in (target, own):
+            store.create_dir(name.rpartition("/")[0], recursive=True)
+        encoder, out, at = library_encoder(vocabulary, end_id), None, 0
+        wide = WIDE if encoder.dtype.itemsize == 4 else 0
+        for b in by_bytes(frames):
+            names = b["doc_id"].to_pylist()
+            ids, edges = with_end(*encoder.encode_column(b["text"]), end_id)
+            raw, places = ids.tobytes(), (edges * ids.itemsize).tolist()
+            heads = (struct.pack(HEAD, wide | (NULL_ID if i is None else 0), i or 0) for i in names)
+            records = frame([h + raw[x:y] for h, x, y in zip(heads, places[:-1], places[1:], strict=True)])
             out = out or store.open_output_stream(own)
-            sizes = [len(r) for r in records]
-            offsets = at + np.cumsum([0, *sizes[:-1]])
-            for r in records:
-                out.write(r)
-            at += sum(sizes)
+            sizes = np.array([len(r) for r in records])
+            offsets = at + np.cumsum(sizes) - sizes
+            out.write(b"".join(records))
+            at += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(ids), pa.int32()), pa.array([path] * len(ids)), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array([len(t) // 2 for t in tokens], pa.int64())],
+                [pa.array([shard] * len(names), pa.int32()), pa.array([path] * len(names)), pa.array(names, pa.int64()), pa.array(offsets), pa.array(sizes), pa.array(np.diff(edges))],
                 names=["shard", "path", "doc_id", "offset", "bytes", "n_tokens"],
             )
         if out:
             out.close()
             store.move(own, target)
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(max(1, -(-chars // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    drop(docs.sparkSession, f"{folder}/attempts")
     return docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -145,8 +155,8 @@ def read_part(source, start: int | None = None) -> tuple[bytes, bytes, bytes] |
 
 
 def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
-    null, doc_id = struct.unpack_from(HEAD, payload)
-    return None if null else doc_id, np.frombuffer(payload, dtype="<u2", offset=struct.calcsize(HEAD))
+    flags, doc_id = struct.unpack_from(HEAD, payload)
+    return None if flags & NULL_ID else doc_id, np.frombuffer(payload, dtype="<u4" if flags & WIDE else "<u2", offset=struct.calcsize(HEAD))
 
 
 READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"

@@ -1,80 +1,148 @@
-"""Whole texts to token ids by a public byte-level vocabulary, with the pieces between spaces cached.
+"""Whole texts to token ids by a public byte-level vocabulary, a column of texts at a time.
 
 The split pattern of these vocabularies always starts a new piece at a space that a non-space follows,
-whatever stands before it. So a text may be cut there, each distinct piece encoded once by the
-library, and the ids joined: the same ids, at a fraction of the work on text with recurring words.
-Texts where a space is followed by more white space take a slower cut at the safe spaces only.
+whatever stands before it. So texts may be cut there: Arrow splits a column and numbers its distinct
+words, each distinct word is encoded once and cached, and the ids are gathered by number. The same
+ids, at a fraction of the work on text with recurring words. A word itself is cut where letters end and
+at a line end, which the pattern does too, so its parts are mostly known. Texts where a space is
+followed by more white space take a slower cut at the safe spaces only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces kept by one worker, some 150 bytes each; beyond it the cache starts anew.
 CACHE_PIECES = 800_000
+#: Bytes of text encoded at once; one longer text stands alone.
+COLUMN_BYTES = 8_000_000
 
 _SAFE_SPACE = re.compile(r" (?=\S)")
-#: Marks that end words; the pattern always ends a piece where letters end, so these may be cut off.
-_MARKS = ".,;:!?"
 
 
-class _Pieces(dict):
-    """Packed ids by piece; `encode` makes those not seen before."""
-
-    def __init__(self, encode: Callable[[str], bytes | None]):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes | None:
-        packed = self.encode(piece)
-        if len(piece) < 256:
-            self[piece] = packed
-        return packed
+def id_type(size: int) -> str:
+    """The narrowest numpy type for ids below `size`."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 class PieceEncoder:
-    """`encode_piece` gives the ids of one piece of text, `encode_word` those of a word of letters after a space.
+    """`encode_piece` gives the ids of any text, `encode_word(word, spaced)` those of letters alone, with or without a space before them."""
 
-    Ids must be below 65,536.
-    """
+    def __init__(self, encode_piece: Callable[[str], Iterable[int]], encode_word: Callable[[str, bool], Iterable[int]], size: int, limit: int = CACHE_PIECES):
+        self.encode_piece, self.encode_word, self.limit, self.dtype = encode_piece, encode_word, limit, np.dtype(id_type(size))
+        self.size = size
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
 
-    def __init__(self, encode_piece: Callable[[str], Iterable[int]], encode_word: Callable[[str], Iterable[int]], limit: int = CACHE_PIECES):
-        self.encode_piece, self.encode_word, self.limit = encode_piece, encode_word, limit
-        self.plain = _Pieces(lambda p: array("H", encode_piece(p)).tobytes())
-        self.spaced = _Pieces(self._after_space)  # by the piece without its leading space
+    def _pack(self, ids: Iterable[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _after_space(self, piece: str) -> bytes | None:
+    def _kept(self, cached: dict[str, bytes], piece: str, packed: bytes) -> bytes:
+        if len(piece) < 256:
+            cached[piece] = packed
+        return packed
+
+    def _part(self, piece: str, spaced: bool) -> bytes:
+        """A piece without line ends inside: letters and a tail of ASCII marks, or anything."""
+        cached = self.spaced if spaced else self.plain
+        if (known := cached.get(piece)) is not None:
+            return known
         if piece.isalpha():
-            return array("H", self.encode_word(piece)).tobytes()
-        if not piece or piece[0].isspace():
-            return None
-        stem = piece.rstrip(_MARKS)
-        if stem != piece and stem.isalpha():
-            return self.spaced[stem] + self.plain[piece[len(stem) :]]
-        return array("H", self.encode_piece(" " + piece)).tobytes()
+            return self._kept(cached, piece, self._pack(self.encode_word(piece, spaced)))
+        stem = piece.rstrip(string.punctuation)
+        if not stem.isalpha():
+            packed = self._pack(self.encode_piece(" " + piece if spaced else piece))
+        else:
+            packed = self._part(stem, spaced) + self._part(piece[len(stem) :], False)
+        return self._kept(cached, piece, packed)
+
+    def _piece(self, piece: str, spaced: bool) -> bytes:
+        """A piece that holds no space. One line end between two characters that are not white space is a piece of its own."""
+        if "\n" not in piece:
+            return self._part(piece, spaced)
+        first, *lines = piece.split("\n")
+        if any(x == "" or x[0].isspace() or x[-1].isspace() for x in (first, *lines)):
+            return self._pack(self.encode_piece(" " + piece if spaced else piece))
+        end = self._part("\n", False)
+        return self._part(first, spaced) + b"".join(end + self._part(x, False) for x in lines)
 
     def _slow(self, text: str) -> bytes:
         first, *rest = _SAFE_SPACE.split(text)
-        return b"".join(map(self.plain.__getitem__, (first, *(" " + r for r in rest))))
+        return self._pack(self.encode_piece(first)) + b"".join(self._part(r, True) if r.isalpha() else self._pack(self.encode_piece(" " + r)) for r in rest)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and where each text's ids begin, with the end of the last; a null text has none."""
+        if len(self.spaced) + len(self.plain) > self.limit:
+            self.spaced.clear()
+            self.plain.clear()
+        if not len(column):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        index, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        first, number, known = starts[:-1], len(names), self.spaced
+        entries = list(map(known.get, names))
+        odd = np.zeros(number, dtype=bool)
+        for k in [k for k, packed in enumerate(entries) if packed is None]:
+            w = names[k]
+            if w == "" or w[0].isspace():  # a space before white space, or a first word
+                odd[k], entries[k] = True, b""
+            else:
+                entries[k] = self._kept(known, w, self._piece(w, True))
+        entries += [self._piece(names[k], False) if names[k] else b"" for k in index[first].tolist()]
+        index[first] = number + np.arange(len(first))
+        if odd.any():
+            strange = np.concatenate([odd, np.zeros(len(first), dtype=bool)])[index]
+            for i in np.flatnonzero(np.add.reduceat(strange, first)).tolist():
+                entries[number + i] = self._slow(column[i].as_py())
+                index[first[i] + 1 : starts[i + 1]] = len(entries)
+            entries.append(b"")
+            index[index == len(entries)] = len(entries) - 1
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+        table, lengths = np.frombuffer(b"".join(entries), dtype=self.dtype), sizes[index]
+        reached = np.cumsum(lengths)
+        ids = table[np.repeat((np.cumsum(sizes) - sizes)[index] - (reached - lengths), lengths) + np.arange(reached[-1])]
+        return ids, np.concatenate([[0], reached[starts[1:] - 1]])
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 16-bit arrays; a null text has none."""
-        out, spaced, plain = [], self.spaced, self.plain
-        for t in texts:
-            if len(spaced) + len(plain) > self.limit:
-                spaced.clear()
-                plain.clear()
-            head, *rest = (t or "").split(" ")
-            try:
-                packed = plain[head] + b"".join(map(spaced.__getitem__, rest))
-            except TypeError:  # a space before white space
-                packed = self._slow(t)
-            out.append(np.frombuffer(packed, dtype="<u2"))
-        return out
+        """Ids of each text."""
+        ids, edges = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def by_bytes(frames: Iterator[pa.RecordBatch], column: str = "text", limit: int = COLUMN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` bytes of a text column, so that memory follows the slice; one longer text stands alone."""
+    for b in frames:
+        sizes = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        edges = [0, *(np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // limit)) + 1).tolist(), b.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > start:
+                yield b.slice(start, end - start)
+
+
+def with_end(ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with `end_id` after each text's, and the new edges."""
+    moved = edges + np.arange(len(edges))
+    out, own = np.empty(len(ids) + len(edges) - 1, dtype=ids.dtype), np.ones(len(ids) + len(edges) - 1, dtype=bool)
+    own[moved[1:] - 1] = False
+    out[own], out[~own] = ids, end_id
+    return out, moved
+
+
+def binary_column(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Each text's ids as little-endian bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,24 +152,33 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_encoders: dict[str, PieceEncoder] = {}
+def _tokenizer(vocabulary: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(vocabulary)
+    t.encode_special_tokens = True  # the strings of special tokens are ordinary text
+    return t
 
-def library_encoder(vocabulary: str) -> PieceEncoder:
-    """One encoder a worker and vocabulary, backed by the tokenizers library."""
-    if vocabulary not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocabulary)
-        t.encode_special_tokens = True
-        model, letters = t.model, byte_letters()
+@cache
+def vocabulary_size(vocabulary: str) -> int:
+    return _tokenizer(vocabulary).get_vocab_size()
 
+
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def library_encoder(vocabulary: str, end_id: int = 0) -> PieceEncoder:
+    """One encoder a worker and vocabulary, backed by the tokenizers library. Its ids are wide enough for `end_id` too."""
+    if (vocabulary, end_id) not in _encoders:
+        t = _tokenizer(vocabulary)
+        model, letters = t.model, byte_letters()
         space = letters[32]
 
-        def encode_word(word: str) -> list[int]:  # one piece of the split pattern: straight to the merges
+        def encode_word(word: str, spaced: bool) -> list[int]:  # one piece of the split pattern: straight to the merges
             raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-            return [x.id for x in model.tokenize(space + raw)]
+            return [x.id for x in model.tokenize(space + raw if spaced else raw)]
 
-        _encoders[vocabulary] = PieceEncoder(lambda piece: t.encode(piece, add_special_tokens=False).ids, encode_word)
-    return _encoders[vocabulary]
+        _encoders[vocabulary, end_id] = PieceEncoder(lambda piece: t.encode(piece, add_special_tokens=False).ids, encode_word, max(t.get_vocab_size(), end_id + 1))
+    return _encoders[vocabulary, end_id]

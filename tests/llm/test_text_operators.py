@@ -4,17 +4,19 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from supportlake.llm import bpe, pii, quality, records, secrets, tokens
+from supportlake.llm import bpe, packing, pii, quality, records, secrets, tokens
 from supportlake.llm.common import scratch
 
 VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -49,8 +51,24 @@ def test_pieces_equal_the_libraries(texts):
 
 
 def test_cache_starts_anew():
-    small = tokens.PieceEncoder(lambda p: [len(p)], lambda w: [len(w) + 1], limit=3)
+    small = tokens.PieceEncoder(lambda p: [len(p)], lambda w, spaced: [len(w) + spaced], 100, limit=3)
     assert [x.tolist() for x in small.encode(["a bb ccc dddd", "a bb"])] == [[1, 3, 4, 5], [1, 3]]
+    assert len(small.spaced) == 4 and small.encode([]) == [] and [x.tolist() for x in small.encode(["e ff"])] == [[1, 3]] and len(small.spaced) == 2
+
+
+def test_wide_ids():
+    wide = tokens.PieceEncoder(lambda p: [70_000], lambda w, spaced: [70_000 + spaced], 80_000)
+    assert [x.tolist() for x in wide.encode(["a b", None])] == [[70_000, 70_001], []] and wide.dtype == np.dtype("<u4")
+    ids, edges = tokens.with_end(*wide.encode_column(pa.array(["a b", None, "c"])), 79_999)
+    assert ids.tolist() == [70_000, 70_001, 79_999, 79_999, 70_000, 79_999] and edges.tolist() == [0, 3, 4, 6]
+    assert records.parse(struct.pack(records.HEAD, records.WIDE, 5) + ids.tobytes())[1].tolist() == ids.tolist()
+    assert packing.held_once(ids, edges, 80_000)[[70_000, 79_999, 1]].tolist() == [2, 3, 0]
+
+
+def test_slices_hold_every_row():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "", "y" * 500, "z"] * 20)], names=["text"])
+    parts = list(tokens.by_bytes(iter([b, b.slice(0, 0)]), "text", 100))
+    assert len(parts) > 5 and [x for p in parts for x in p["text"].to_pylist()] == b["text"].to_pylist()
 
 
 def test_long_pre_token_is_quick():
