@@ -129,6 +129,54 @@ def test_base_personal_data(docs, texts):
         assert set(filter(None, text.split(","))) <= set(found[i].spans.split(","))
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[@+]|[0-9]{4}'"), rows=4000)
+
+
+def test_trees_find_what_the_base_patterns_cannot(spark, model, tmp_path):
+    assert all(t is not None for t in model.thresholds[1:])
+    cases = {
+        "please call (415) 555-0100 now": ["phone:12:26"], "tel 826.555.4081": ["phone:4:16"], "card 4111.1111.1111.1111 ok": ["card:5:24"], "card 4111.1111.1111.1112 ok": [],
+        "it was on 2024-05-17 at 10:22:31": [], "version 3.12.4 of 2023": [], "meet (at) noon": [], "ratio 3.14159 of 12345678": [], "": [],
+    }
+    if model.thresholds[0] is not None:
+        cases["write to a.user (at) mail.example.org today"] = ["email:9:37"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    pii.save_model(spark, model, f"file://{tmp_path}/model")
+    assert pii.load_model(spark, f"file://{tmp_path}/model") == model
+    got = {r.doc_id: [x for x in r.spans.split(",") if x] for r in pii.pii_digest(df, model).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_held_out_precision_and_recall(spark, model):
+    """On rows that training has not seen: of the disguised spans most are found, of what is found nearly all is right."""
+    fresh = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = pii.examples(fresh).withColumn("score", pii.score(model, F.struct(*pii.NAMES)))
+    limits = F.element_at(F.array(*(F.lit(2.0 if t is None else t) for t in (*model.thresholds, None))), F.col("kind") + 1)
+    r = table.filter("kind between 1 and 3").withColumn("hit", F.col("score") >= limits).agg(F.sum(F.when(F.col("hit"), F.col("label"))).alias("right"), F.count_if("hit").alias("found"), F.sum("label").alias("all")).first()
+    assert r.all >= 100 and r.right >= 0.95 * r.found and r.right >= 0.6 * r["all"]
+
+
+def test_training_rows_are_bounded(spark):
+    df = spark.createDataFrame([(7, "call +1 (826) 555-4081 now")] * 300 + [(7, f"mail a{i}@b.org") for i in range(300)], "doc_id long, text string")
+    assert pii.examples(df, 10).select("h").distinct().count() <= 20
+
+
+def test_untouched_candidates(spark):
+    rows = [([(0, 0, 5), (20, 1, 40), (22, 0, 25)], [(4, 8), (5, 9), (10, 19), (10, 21), (24, 30), (41, 44), (0, 60)]), ([], [(1, 2)]), ([(1, 0, 2)], [])]
+    df = spark.createDataFrame(rows, "base array<struct<s:int,k:int,e:int>>, c array<struct<s:int,e:int>>")
+    assert [[tuple(x) for x in r.c] for r in pii.untouched(df).collect()] == [[(5, 9), (10, 19), (41, 44)], [(1, 2)], []]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"u{i}@x.org" for i in range(32_000)))], "doc_id long, text string")
+    began = time.time()
+    assert pii.pii_digest(df, pii.Model()).first().n_email == 32_000 and time.time() - began < 20
+
+
 def test_redaction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "write to a.b@c.org now", "s"), (2, None, None)], "doc_id long, text string, spans string")
     assert [tuple(r) for r in pii.redact_pii(df).collect()] == [(1, "write to [email] now", "s"), (2, None, None)]
