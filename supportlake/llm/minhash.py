@@ -5,18 +5,19 @@
 2. Each node gets bands * rows minima. A band's minima hash to a bucket; nodes that share a bucket are
    candidates. The number of bands is set so that a pair at the threshold misses all buckets with a
    probability of at most `miss`. The low b bits of all minima are packed as b bit planes.
-3. In each bucket every node is first paired with the bucket's smallest node. Confirmed pairs are
-   contracted to components.
+3. In each bucket every node is first paired with the bucket's smallest node. Bit counts of the packed
+   planes give a collision-corrected similarity; pairs above the threshold less five standard errors are
+   confirmed, and confirmed pairs are contracted to components.
 4. Buckets that still hold several components go through all their remaining pairs, in blocks of
-   bounded size: bit counts of the packed planes give a collision-corrected similarity, and pairs
-   within five standard errors of the threshold are confirmed too. So a bucket of many near copies
-   costs one pass over it, and no pair of different components is left out.
+   bounded size, by the same estimate and confirmation. So a bucket of many near copies costs one pass
+   over it, and no pair of different components is left out.
 5. Confirmation compares full shingle sets. Nodes lie in blocks by cluster, a task holds two blocks,
    and it returns only the links that join something.
 
 Defined results: a null text or one without words has an empty set and links with nothing; a text of
-fewer words than w is one shingle; rows that share a doc_id are one document; rows with a null doc_id
-stay alone (component_id null, kept); an empty table gives an empty one; other columns are ignored.
+fewer words than w is one shingle; rows that share a doc_id are one document: each of their texts may link
+it, and all its rows get the smallest component of any; rows with a null doc_id stay alone (component_id
+null, kept); an empty table gives an empty one; other columns are ignored.
 Each near copy is linked if any chain of confirmed links reaches it. The method itself is
 probabilistic: see `miss`.
 """
@@ -38,7 +39,8 @@ from supportlake.llm.components import connected_components
 
 ROWS = 5
 BITS = 4
-BLOCK_SHINGLES = 400_000
+#: A block holds about so many shingles; a node counts as NODE_SHINGLES at least, so that many short texts fill one too.
+BLOCK_SHINGLES, NODE_SHINGLES = 400_000, 100
 BUCKET_BLOCK = 1024
 
 
@@ -167,6 +169,29 @@ def confirm(pairs: DataFrame, placed: DataFrame, texts: DataFrame, width: int, p
     return pairs.groupBy("a_block", "b_block").cogroup(held.groupBy("x", "y")).applyInPandas(run, "u long, v long")
 
 
+def most_differing(percent: int, bands: int, bits: int) -> float:
+    """Differing minima that a pair at the threshold shows at most, collisions of low bits counted, with five standard errors."""
+    size, share = bands * ROWS, 2.0**-bits
+    error = math.sqrt((share + (1 - share) * percent / 100) * (1 - share) * (1 - percent / 100) / size) / (1 - share)
+    return size * (1 - ((percent / 100 - 5 * error) * (1 - share) + share))
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, percent: int, bands: int, bits: int) -> DataFrame:
+    """Pairs (node, center) that sizes and packed signatures leave possible."""
+    most = most_differing(percent, bands, bits)
+    left = nodes.select("node", F.col("n").alias("_n"), F.col("packed").alias("_p"))
+    right = nodes.select(F.col("node").alias("center"), F.col("n").alias("_m"), F.col("packed").alias("_q"))
+    sized = pairs.join(left, "node").join(right, "center").filter(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, 4096):
+            planes = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint8).reshape(b.num_rows, bits, -1) for c in ("_p", "_q"))
+            differ = np.bitwise_count(np.bitwise_or.reduce(np.bitwise_xor(*planes), axis=1)).sum(axis=1)
+            yield b.select(["node", "center"]).filter(pa.array(differ <= most))
+
+    return sized.select("node", "center", "_p", "_q").mapInArrow(run, "node long, center long")
+
+
 def remaining(members: DataFrame, percent: int, bands: int, bits: int) -> DataFrame:
     """Candidate pairs of different components in each bucket, block by block, packed into arrays.
 
@@ -177,11 +202,7 @@ def remaining(members: DataFrame, percent: int, bands: int, bits: int) -> DataFr
     dealt = salted.select("bucket", other.alias("p"), "own", "node", "component", "block", "n", "buckets", "packed").select("*", "p.i", "p.j").drop("p")
     groups = max(1, members.count() // 5_000)
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
-    size = bands * ROWS
-    share = 2.0**-bits
-    error = math.sqrt((share + (1 - share) * percent / 100) * (1 - share) * (1 - percent / 100) / size) / (1 - share)
-    floor = percent / 100 - 5 * error
-    most = size * (1 - (floor * (1 - share) + share))  # differing minima
+    most = most_differing(percent, bands, bits)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         found: dict[tuple[int, int], list[np.ndarray]] = {}
@@ -214,28 +235,50 @@ def remaining(members: DataFrame, percent: int, bands: int, bits: int) -> DataFr
     return dealt.groupBy("deal").applyInPandas(run, "a_block long, b_block long, a array<long>, b array<long>")
 
 
+def set_texts(docs: DataFrame, nodes: DataFrame, placed: DataFrame, many: DataFrame, width: int) -> DataFrame:
+    """(node, text) for the placed nodes. Rows whose id has several sets find their set's node by the shingles again."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, 256):
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(b["text"].to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["text"]], names=["set_key", "text"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    odd = own.join(many.select(F.col("doc_id").alias("node")), "node", "left_semi").select("text").mapInArrow(run, "set_key binary, text string")
+    keyed = odd.join(nodes.filter("node <> least").select("set_key", "node"), "set_key").groupBy("node").agg(F.min("text").alias("text"))
+    return own.union(keyed).join(placed.select("node"), "node", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row an input row."""
     bands = bands_for(percent, miss)
     found = store(features(docs, width, bands, bits), "minhash-features")
     sets = found.filter("set_key is not null and doc_id is not null").groupBy("set_key")
     one = sets.agg(F.min(F.struct("doc_id", "n_shingles", "buckets", "packed")).alias("s"))
-    nodes = store(one.select("set_key", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), "s.buckets", "s.packed"), "minhash-nodes")
+    # A node is named by its smallest doc_id, or by a hash where that id has several sets; `same` links these.
+    per_id = found.filter("set_key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+    many = store(per_id.filter("lo <> hi").select("doc_id", "lo"), "minhash-many")
+    name = F.when(F.col("lo").isNull(), F.col("s.doc_id")).otherwise(F.xxhash64("set_key"))
+    named = one.join(many, F.col("s.doc_id") == F.col("doc_id"), "left").select("set_key", name.alias("node"), F.col("s.doc_id").alias("least"), F.col("s.n_shingles").alias("n"), "s.buckets", "s.packed")
+    nodes = store(named, "minhash-nodes")
+    key = nodes.select("set_key", "node")
+    held = found.select("doc_id", "set_key").join(many, "doc_id").filter("set_key is not null").distinct().join(key.withColumnRenamed("node", "u"), "set_key")
+    same = store(held.join(key.select(F.col("set_key").alias("lo"), F.col("node").alias("v")), "lo").select("u", "v"), "minhash-same")
 
     entries = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("center")).filter("size > 1")
     members = store(entries.join(shared, "bucket"), "minhash-members")
 
     # Blocks: nodes of one cluster lie together, and a large cluster is split by the shingles it holds.
-    near = members.groupBy("node").agg(F.min("center").alias("cluster")).join(nodes.select("node", "n"), "node")
+    near = members.groupBy("node").agg(F.min("center").alias("cluster")).join(nodes.select("node", F.greatest("n", F.lit(NODE_SHINGLES)).alias("n")), "node")
     volume = near.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     total = near.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_SHINGLES))
     block = F.pmod(F.xxhash64("cluster", F.pmod(F.xxhash64("node"), "parts")), F.lit(blocks))
     placed = store(near.join(volume, "cluster").select("node", block.alias("block"), F.col("node").alias("component")), "minhash-blocks")
-    texts = store(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.select("node"), "node", "left_semi"), "minhash-texts")
+    texts = store(set_texts(docs, nodes, placed, many, width), "minhash-texts")
 
-    star = members.filter("node <> center").select("node", "center").distinct()
+    star = estimated(members.filter("node <> center").select("node", "center").distinct(), nodes, percent, bands, bits)
     star = star.join(placed.select("node", F.col("block").alias("x")), "node").join(placed.select(F.col("node").alias("center"), F.col("block").alias("y")), "center")
     first = F.col("x") <= F.col("y")
     star = star.select(
@@ -243,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         F.array(F.when(first, F.col("node")).otherwise(F.col("center"))).alias("a"), F.array(F.when(first, F.col("center")).otherwise(F.col("node"))).alias("b"),
     )
     links = store(confirm(store(star, "minhash-star"), placed, texts, width, percent), "minhash-links")
-    once = store(connected_components(links), "minhash-once")
+    once = store(connected_components(links.union(same)), "minhash-once")
 
     now = placed.select("node", "block").join(once, "node", "left").select("node", "block", F.coalesce("component", "node").alias("component"))
     now = store(now, "minhash-now")
@@ -252,9 +295,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     open_ = several.join(mixed, "bucket").select("bucket", "size", "node", "component", "block").join(nodes.select("node", "n", "buckets", "packed"), "node")
     rest = store(remaining(store(open_, "minhash-open"), percent, bands, bits), "minhash-rest")
     more = store(confirm(rest, now, texts, width, percent), "minhash-more")
-    final = store(connected_components(links.union(more)), "minhash-final")
+    final = store(connected_components(links.union(same).union(more)), "minhash-final")
 
-    mapped = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    # A group's id is the smallest doc_id of its sets.
+    grouped = nodes.select("set_key", "node", "least").join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("group"))
+    mapped = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component")), "group").select("set_key", "component")
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(mapped, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -90,6 +90,22 @@ def test_near_duplicates_odd_rows(spark, docs):
     assert minhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("all of these words make one text number " + x for x in ("one", "two and more of it than before", "three which is not like any other of them"))
+    rows = [(3, a), (3, b), (5, a), (9, b), (5, c), (12, c), (20, "something else entirely here now"), (3, a)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (12, 3, False), (20, 20, True)}
+
+
+def test_estimate_lets_every_true_pair_through(docs, corpus, monkeypatch):
+    """Pairs are judged by packed signatures before any text is compared; far ones never get there."""
+    seen = []
+    real = minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *rest: (seen.append(pairs.selectExpr("explode(a) x").count()), real(pairs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in shingle_groups(corpus, 3, 85).items()} and sum(seen) < 1000
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
@@ -123,7 +139,10 @@ def test_vector_links(spark, block, monkeypatch):
 
 
 @pytest.mark.parametrize("chunk", [16_000_000, 3_000])
-def test_language_model(docs, corpus, chunk):
+def test_language_model(docs, corpus, chunk, monkeypatch):
+    learned = []
+    real = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda cells: (learned.append(real(cells)), learned[-1])[1])
     got = {r.doc_id: r for r in lm.lm_scores(docs, chunk).collect()}
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i in range(len(corpus))}
     words = {i: [*(t or "").encode().lower().split(), b" "] for i, t in enumerate(corpus)}
@@ -134,7 +153,13 @@ def test_language_model(docs, corpus, chunk):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(d), sum(w in one for w in d), n, fold[i] == 2)
         assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in d))
-        assert r.score < 0
+        score, before = 0.0, b" "
+        for w in d:  # deleted interpolation with the learned weights, from plain counts
+            c = one[before]
+            l2, l1, l0 = learned[0][min(math.ceil(math.log2(c + 1)), lm.TOP_BUCKET)]
+            score += math.log10(l2 * two[before, w] / max(c, 1) + l1 * one[w] / n + l0 / (v + 1))
+            before = w
+        assert r.score == pytest.approx(score)
     kept = lm.Totals(0, 0, n, v)
     weights = lm.learn_weights([(3, 10.0, 0.5, 0.01, 0.001), (3, 5.0, 0.0, 0.01, 0.001), (3, 1.0, 0.0, 0.0, 0.001)])
     assert kept.v == len(one) and weights.sum(axis=1) == pytest.approx(np.ones(len(weights))) and weights[3][0] > weights[3][2]
