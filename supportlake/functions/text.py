@@ -14,10 +14,37 @@ def empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in `body` (an array lambda binds it)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def exploded(df, keep, items: Column, name: str):
+    """Columns of `keep` and one row for each item, none of which is null.
+
+    From a plain explode Spark infers a filter that repeats the whole expression below it, so the outer form is used.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+#: White space of all scripts.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def han_count(c: Column) -> Column:
+    """Han characters; texts without any are only searched."""
+    return F.when(c.rlike(HAN), F.length(F.regexp_replace(c, f"[^{HAN[1:]}", ""))).otherwise(0)
+
+
 def est_tokens(c: Column) -> Column:
     """H1: int(han / 1.5 + other / 3.5)."""
-    han = F.length(F.regexp_replace(empty(c), f"[^{HAN[1:]}", ""))
-    return F.floor(han / 1.5 + (F.length(empty(c)) - han) / 3.5).cast("int")
+    t = empty(c)
+    return F.floor(han_count(t) / 1.5 + (F.length(t) - han_count(t)) / 3.5).cast("int")
 
 
 def tokens(c: Column) -> Column:
@@ -97,7 +124,7 @@ def section_title(c: Column) -> Column:
 
 def normalise_space(c: Column) -> Column:
     """Runs of blanks to one, three or more line ends to two, outer space gone."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(empty(c), "\n{3,}", "\n\n"), "[ \t]{2,}", " "), r"^\s+|\s+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(empty(c), "\n{3,}", "\n\n"), "[ \t]{2,}", " "))
 
 
 def is_noise(c: Column) -> Column:
@@ -113,7 +140,7 @@ def short_id(source: Column, tag: str, index: Column) -> Column:
 
 def strip_inline_images(c: Column) -> Column:
     """C9."""
-    return F.regexp_replace(c, r"!\[([^\]]*)\]\(data:image/[^)]*\)", "[图片]")
+    return F.regexp_replace(c, r"!\[[^\]]*\]\(data:image/[^;)]+;base64,[A-Za-z0-9+/=]+\)", "![图片]")
 
 
 def first_label(c: Column, rules: Sequence[tuple], default: Column) -> Column:

@@ -42,9 +42,10 @@ def partial_answer(claims: DataFrame) -> DataFrame:
     return g.select("answer_id", F.when(F.size("yes") > 0, text).otherwise("抱歉，根据已有信息无法确认，建议您咨询人工客服。").alias("answer"))
 
 
-def accepted_round(rounds: DataFrame, min_score: float = 0.8, max_rounds: int = 2) -> DataFrame:
-    """A5: the first round without hallucination and with enough faithfulness, else the last one allowed."""
+def accepted_round(rounds: DataFrame, min_score: float = 0.8, max_rounds: int = 2, max_calls: int = 8) -> DataFrame:
+    """A5: the first round without hallucination and with enough faithfulness, else the last one allowed by rounds and by the budget of model calls (`calls` up to a round, where given)."""
     inside = rounds.filter(F.col("round") <= max_rounds)
+    inside = inside.filter((F.col("calls") <= max_calls) | (F.col("round") == 1)) if "calls" in rounds.columns else inside
     ok = ~F.col("has_hallucination") & (F.col("faithfulness") >= min_score)
     order = Window.partitionBy("answer_id").orderBy(F.desc(ok.cast("int")), F.when(ok, F.col("round")).otherwise(-F.col("round")))
     return inside.withColumn("accepted", ok).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
@@ -55,7 +56,7 @@ def quality_gate(df: DataFrame) -> DataFrame:
     stakes = F.size(high_stakes(F.col("answer"))) > 0
     least = F.when(stakes, 0.85).otherwise(0.7)
     below = F.col("faithfulness") < least
-    bad = below | (F.col("degradation_level") >= 4) | any_of(F.col("answer"), lex.UNSURE)
+    bad = below | (F.col("degradation_level") >= 4) | any_of(F.col("answer"), lex.GATE_UNSURE)
     return df.withColumn("passed", F.when(F.col("loop_count") >= 3, ~(stakes & below)).otherwise(~bad))
 
 

@@ -48,17 +48,29 @@ def latency_score(ms: Column, t: float = 1000.0) -> Column:
 
 
 def latency_percentiles(df: DataFrame, ms: str, by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    p = [F.round(F.percentile(F.col(ms), F.lit(q / 100)), 6).alias(f"p{q}") for q in (50, 95, 99)]
-    return df.groupBy(*(by or [])).agg(*p)
+    """Exact percentiles with linear interpolation.
+
+    Values are counted first, so a group's buffer never holds rows; the percentile reads (value, count).
+    """
+    n = df.filter(F.col(ms).isNotNull()).groupBy(*(by or []), F.col(ms).alias("_v")).agg(F.count("*").alias("_n"))
+    return n.groupBy(*(by or [])).agg(*(F.round(F.percentile("_v", F.lit(q / 100), F.col("_n")), 6).alias(f"p{q}") for q in (50, 95, 99)))
+
+
+MEANS = ("recall", "rr", "precision", "ndcg", "faithfulness", "coverage", "latency_score", "hallucination", "rounds")
 
 
 def summary(cases: DataFrame) -> DataFrame:
-    """Means over all cases."""
-    return cases.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("recall", "rr", "precision", "ndcg")))
+    """Means over all cases, latency and its percentiles, rates; columns that a table of cases lacks are left out.
+
+    cases (recall, rr, precision, ndcg, faithfulness, coverage, latency_score, hallucination 0/1, rounds, latency_ms).
+    """
+    means = [F.round(F.avg(c), 4).alias(c) for c in MEANS if c in cases.columns]
+    ms = [F.round(F.avg("latency_ms"), 1).alias("avg_ms"), *(F.round(F.percentile("latency_ms", F.lit(q / 100)), 1).alias(f"p{q}_ms") for q in (50, 95, 99))] if "latency_ms" in cases.columns else []
+    return cases.agg(F.count("*").alias("n"), *means, *ms)
 
 
-def gate(result: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """One row a metric with its value, limit and verdict."""
+def gate(result: DataFrame, limits: dict[str, float], failed: DataFrame | None = None) -> DataFrame:
+    """One row a metric with its value, limit and verdict; cases that failed to run are counted beside (`failed`, one row n) and do not decide."""
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(v).alias("at_least")) for m, v in limits.items()))
-    return result.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.value") >= F.col("r.at_least")).alias("passed"))
+    out = result.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.value") >= F.col("r.at_least")).alias("passed"))
+    return out if failed is None else out.join(F.broadcast(failed.agg(F.count("*").alias("failed_cases"))))  # one row

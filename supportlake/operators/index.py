@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from supportlake.functions.text import empty, norm
 
+#: The reference's column width. Longer texts are cut to it and flagged; None keeps them whole.
 MAX_TEXT = 8000
 BUCKETS = 64
 
 
-def index_rows(chunks: DataFrame) -> DataFrame:
-    """K1: text cut to the column's width, typed columns, source bucket for partitioned writes."""
-    return chunks.withColumn("text", F.substring("text", 1, MAX_TEXT)).withColumn("access_level", F.coalesce("access_level", F.lit(0)).cast("tinyint")).withColumn("source_bucket", F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).cast("int"))
+def index_rows(chunks: DataFrame, max_text: int | None = MAX_TEXT) -> DataFrame:
+    """K1: text cut to the column's width (`truncated` tells), typed columns, source bucket for partitioned writes."""
+    long = F.lit(False) if max_text is None else F.coalesce(F.length("text") > max_text, F.lit(False))
+    cut = chunks.withColumn("truncated", long)
+    cut = cut if max_text is None else cut.withColumn("text", F.substring("text", 1, max_text))
+    return cut.withColumn("access_level", F.coalesce("access_level", F.lit(0)).cast("tinyint")).withColumn("source_bucket", F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).cast("int"))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
+def write_index(chunks: DataFrame, path: str, max_text: int | None = MAX_TEXT) -> None:
     """K1, K2 on disk: only the partitions of the batch's buckets are replaced."""
-    index_rows(chunks).repartition("source_bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(path)
+    index_rows(chunks, max_text).repartition("source_bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(path)
 
 
 def replace_by_source(index: DataFrame, batch: DataFrame) -> DataFrame:
@@ -37,9 +41,9 @@ def chunks_of(index: DataFrame, source: str) -> DataFrame:
     return index.filter(F.col("source_file") == source).orderBy("chunk_index")
 
 
-def index_stats(index: DataFrame, vec: str = "vector") -> DataFrame:
+def index_stats(index: DataFrame, vec: str = "vector", model: str = "") -> DataFrame:
     """K5."""
-    return index.agg((F.count("*") > 0).alias("present"), F.count("*").alias("n_rows"), F.max(F.size(vec)).alias("dimension"))
+    return index.agg((F.count("*") > 0).alias("present"), F.count("*").alias("n_rows"), F.max(F.size(vec)).alias("dimension"), F.lit(model).alias("model"))
 
 
 def ensure_column(df: DataFrame, name: str, default) -> DataFrame:
@@ -48,6 +52,13 @@ def ensure_column(df: DataFrame, name: str, default) -> DataFrame:
     return df.withColumn(name, value)
 
 
+def migration_report(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """K6: whether the column was there, and how many rows hold a value they did not hold before."""
+    there = name in before.columns
+    filled = before.agg(F.count_if(F.col(name).isNull() if there else F.lit(True)).alias("n"))
+    return filled.select(F.lit(name).alias("field"), F.lit("already_exists" if there else "migrated").alias("status"), F.col("n").alias("filled")).join(after.agg(F.count("*").alias("n_rows")))
+
+
 def stamp(chunks: DataFrame, doc_meta: DataFrame, ingested_at: str, model: str, dim: int) -> DataFrame:
     """K7: one time for the batch; document-level values win where they are not null."""
     meta = doc_meta.select("source_file", *(F.col(c).alias(f"_{c}") for c in doc_meta.columns if c != "source_file"))
@@ -58,13 +69,15 @@ def stamp(chunks: DataFrame, doc_meta: DataFrame, ingested_at: str, model: str,
 
 
 def content_hash(chunks: DataFrame) -> DataFrame:
-    """K8: 16 hex digits over the digests of a source's chunks in order.
+    """K8: 16 hex digits of sha256 over a document's chunk texts in order, joined by line ends. A source is one document here, so a row holds it."""
+    seq = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
+    return chunks.groupBy("source_file").agg(F.substring(F.sha2(F.array_join(seq, "\n"), 256), 1, 16).alias("content_hash"))
 
-    Chunks are hashed where they are, so a source with a third of all rows gathers digests and not texts.
-    """
-    one = chunks.select("source_file", "chunk_index", F.sha2("text", 256).alias("d"))
-    seq = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "d"))), lambda x: x["d"])
-    return one.groupBy("source_file").agg(F.substring(F.sha2(F.array_join(seq, "\n"), 256), 1, 16).alias("content_hash"))
+
+def source_digest(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """An order-free digest of sources of any size: number of chunks, xor and sum of their hashes, added up before the shuffle. Equal content gives equal digests."""
+    h = F.xxhash64(key, "text")
+    return chunks.groupBy("source_file").agg(F.count("*").alias("n_chunks"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 32))).alias("total"))
 
 
 def unique_source(content: Column, name: Column) -> Column:
@@ -112,17 +125,34 @@ def sniff_type(content: Column) -> Column:
     )
 
 
+def type_warning(content: Column, doc_type: Column) -> Column:
+    """A warning where the leading bytes tell another family than the extension's type; unknown bytes and types give none."""
+    family = {"pdf": ("pdf",), "word": ("zip", "ole"), "excel": ("zip", "ole"), "ppt": ("zip", "ole"), "image": ("png", "jpeg", "gif", "webp")}
+    found, wrong = sniff_type(content), F.lit(False)
+    for name, allowed in family.items():
+        wrong = wrong | ((doc_type == name) & ~found.isin(*allowed))
+    return F.when(wrong, F.concat(F.lit("content is "), found, F.lit(", not "), doc_type))
+
+
 def page_triage(text_length: Column, images: Column) -> Column:
-    """T3."""
-    return F.when((text_length < 50) & (images >= 1), "scanned").when(text_length == 0, "blank").when((text_length < 20) & (images == 0), "poor").otherwise("good")
+    """Fair for pages that look scanned, poor for blank or nearly blank ones, else good."""
+    return F.when((text_length < 50) & (images >= 1), "fair").when((text_length < 20) & (images == 0), "poor").otherwise("good")
+
+
+def page_issue(text_length: Column, images: Column) -> Column:
+    """What is the matter with a page, null if nothing is."""
+    return F.when((text_length < 50) & (images >= 1), "scanned").when((text_length == 0) & (images == 0), "blank").when((text_length < 20) & (images == 0), "little text")
 
 
-def page_route(df: DataFrame, max_pages: int = 50, cost: float = 0.005) -> DataFrame:
-    """T4: (file, page, text_length, image_count): text or OCR for each of the first pages, and the file's cost."""
+def page_route(df: DataFrame, max_pages: int | None = 50, cost: float = 0.005) -> DataFrame:
+    """T4: (file, page, text_length, image_count): text or OCR for each page, and the file's cost.
+
+    Pages after the first `max_pages` stay, flagged `over_limit`; they are not routed and cost nothing. None routes all pages.
+    """
     w = Window.partitionBy("file")
-    first = df.withColumn("_rn", F.row_number().over(w.orderBy("page"))).filter(F.col("_rn") <= max_pages).drop("_rn")
-    route = F.when((F.col("text_length") >= 50) & (F.col("image_count") == 0), "text").otherwise("ocr")
-    return first.withColumn("route", route).withColumn("file_cost", F.round(F.sum(F.when(F.col("route") == "ocr", cost).otherwise(0.0)).over(w), 4))
+    over = F.lit(False) if max_pages is None else F.row_number().over(w.orderBy("page")) > max_pages
+    route = F.when(~F.col("over_limit"), F.when((F.col("text_length") >= 50) & (F.col("image_count") == 0), "text").otherwise("ocr"))
+    return df.withColumn("over_limit", over).withColumn("route", route).withColumn("file_cost", F.round(F.sum(F.when(F.col("route") == "ocr", cost).otherwise(0.0)).over(w), 4))
 
 
 def page_stats(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -16,10 +16,12 @@ def with_cost(log: DataFrame, prices: dict[str, tuple[float, float]] = lex.PRICE
 
 def daily_stats(log: DataFrame) -> DataFrame:
     """One row a day."""
-    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
     return log.groupBy(F.to_date("timestamp").alias("day")).agg(
-        F.count("*").alias("n_queries"), F.round(F.sum("llm_cost"), 4).alias("cost"), F.round(F.avg("total_time_ms"), 4).alias("avg_ms"),
-        rate(F.col("hallucination_detected")).alias("hallucination_rate"), rate(F.coalesce(F.col("cache_hit"), F.lit("")) != "").alias("cache_hit_rate"),
+        F.count("*").alias("n_queries"), F.round(F.sum("llm_cost"), 4).alias("llm_cost"), F.round(F.sum("embedding_cost"), 4).alias("embedding_cost"),
+        F.round(F.sum(F.col("llm_cost") + F.col("embedding_cost")), 4).alias("cost"), F.round(F.avg("total_time_ms"), 1).alias("avg_ms"),
+        rate(F.col("hallucination_detected")).alias("hallucination_rate"), rate(F.col("cache_hit") == "hit").alias("cache_hit_rate"),
+        *(F.sum(c).alias(f"total_{c}") for c in ("prompt_tokens", "completion_tokens")), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
     )
 
 
@@ -56,8 +58,8 @@ def alerts(daily: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
 
 
 def hit_rate(log: DataFrame) -> DataFrame:
-    """N7."""
-    return log.agg(F.round(F.avg(F.when(F.coalesce(F.col("cache_hit"), F.lit("")) != "", 1.0).otherwise(0.0)), 6).alias("hit_rate"))
+    """Hits among hits and misses; rows that asked no cache do not count."""
+    return log.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("cache_hit") == "hit"), F.count_if(F.col("cache_hit").isin("hit", "miss"))), F.lit(0.0)), 6).alias("hit_rate"))
 
 
 def failure_runs(events: DataFrame, n: int) -> DataFrame:

@@ -17,7 +17,8 @@ def order_lookup(requests: DataFrame, orders: DataFrame, tracking: DataFrame, ar
     one = tracking.groupBy("order_no").agg(F.max_by(F.struct("carrier", "tracking_number", "shipped"), F.struct("shipped", "tracking_number")).alias("t"))
     seen = asked.join(orders.withColumnRenamed("user_id", "owner"), "order_no").filter(F.col("is_admin") | (F.col("owner") == F.col("user_id")))
     eta = F.coalesce(F.to_date("complete_time"), F.date_add(F.to_date("t.shipped"), arrival_days))
-    return seen.join(one, "order_no", "left").select("request_id", "order_no", "status", "price", F.col("t.carrier").alias("carrier"), F.col("t.tracking_number").alias("tracking_number"), eta.alias("eta"))
+    created = F.col("create_time") if "create_time" in orders.columns else F.lit(None).cast("timestamp")
+    return seen.join(one, "order_no", "left").select("request_id", "order_no", "status", "price", created.alias("created_at"), F.col("t.carrier").alias("carrier"), F.col("t.tracking_number").alias("tracking_number"), eta.alias("eta"))
 
 
 def parse_events(c: Column) -> Column:
@@ -36,11 +37,21 @@ def tracking_lookup(requests: DataFrame, tracking: DataFrame, orders: DataFrame)
 
 
 def order_reply(found: DataFrame) -> DataFrame:
-    """A sentence for each order found."""
-    text = F.concat_ws("，", F.concat(F.lit("订单 "), "order_no"), F.concat(F.lit("状态："), "status"), F.concat(F.lit("金额："), F.format_number("price", 2), F.lit(" 元")), F.concat(F.lit("预计送达："), F.date_format("eta", "yyyy-MM-dd")))
+    """Lines for each order found; what is unknown has no line."""
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("订单 "), "order_no", F.lit("："), "status"), F.concat(F.lit("- 下单时间: "), F.col("created_at").cast("string")),
+        F.concat(F.lit("- 订单金额: ¥"), F.col("price").cast("decimal(18,2)").cast("string")), F.concat(F.lit("- 承运商: "), "carrier", F.lit(" ("), "tracking_number", F.lit(")")), F.concat(F.lit("- 预计送达: "), F.date_format("eta", "yyyy-MM-dd")),
+    )
     return found.withColumn("reply", text)
 
 
+def order_replies(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """A reply for each request (request_id, order_no), also where nothing was found or the order is someone else's."""
+    none = F.concat(F.lit("未查询到订单 "), F.upper(F.trim("order_no")), F.lit(" 的记录（或不属于当前账号），请核对订单号，或联系人工客服查询。"))
+    told = order_reply(found).select("request_id", "reply")
+    return requests.join(told, "request_id", "left").select("request_id", F.col("reply").isNotNull().alias("found"), F.coalesce("reply", none).alias("reply"))
+
+
 def ticket_queue(tickets: DataFrame, limit: int | None = None) -> DataFrame:
     """Pending tickets by priority, then newest."""
     p = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)

@@ -6,6 +6,8 @@ top-k. Ranking windows are of the form row_number() <= k over the query, which S
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +53,35 @@ def l2_normalise(df: DataFrame, vec: str = "vector") -> DataFrame:
     return df.withColumn(vec, F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
+#: Queries and vectors of a block; a pair of blocks is one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: float = 0.7) -> DataFrame:
     """R2: exact inner products of every query with every vector, top k, then score >= threshold, rounded to 4.
 
-    queries (query_id, qvec) are the stated query set, vectors (chunk_id, vector) the searched table.
+    queries (query_id, qvec), vectors (chunk_id, vector). Both sides are dealt into blocks; a task holds one block of
+    each and sends on the k best of each query, so products are never shuffled. Vectors of another length match nothing.
     """
-    scored = vectors.join(queries, F.lit(True)).select("query_id", "chunk_id", dot(F.col("qvec"), F.col("vector")).alias("raw"))
+    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.filter("qvec is not null").select("query_id", F.col("qvec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nv).alias("vb"))
+    v = vectors.filter("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("x"), F.pmod(F.xxhash64("chunk_id"), F.lit(nv)).cast("int").alias("vb"), spread(nq).alias("qb"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": left.query_id[:0], "chunk_id": right.chunk_id[:0], "raw": np.zeros(0)})]
+        for dim, some in left.groupby(left.x.map(len)):
+            fits = right[right.x.map(len) == dim].sort_values("chunk_id")
+            if not len(fits):
+                continue
+            ids, raw = fits.chunk_id.to_numpy(), np.stack(some.x.tolist()) @ np.stack(fits.x.tolist()).T
+            for query, row in zip(some.query_id, raw, strict=True):
+                at = np.argsort(-np.round(row, ROUND), kind="stable")[:k]  # ties by chunk_id
+                parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids[at], "raw": row[at]}))
+        return pd.concat(parts, ignore_index=True)
+
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+    scored = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, raw double")
     return top(scored, k, F.desc(F.round("raw", ROUND)), F.col("chunk_id")).filter(F.col("raw") >= threshold).select("query_id", "chunk_id", F.round("raw", 4).alias("score"), "rank")
 
 
@@ -128,9 +153,10 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame
     return parts.withColumn("context", F.array_join(F.transform("p", lambda x: x["near_text"]), "\n")).drop("p")
 
 
-def rerank(hits: DataFrame, relevance: Column, n: int = 5, cap: int = 100) -> DataFrame:
-    """The first `cap` results ordered by `relevance`, top n, with the original rank and score."""
-    old = hits.filter(F.col("rank") <= cap).withColumnRenamed("rank", "original_rank").withColumn("relevance", relevance)
+def rerank(hits: DataFrame, relevance: Column, n: int = 5, cap: int | None = 100) -> DataFrame:
+    """The first `cap` results (None: all) ordered by `relevance`, top n, with the original rank and score."""
+    first = hits if cap is None else hits.filter(F.col("rank") <= cap)
+    old = first.withColumnRenamed("rank", "original_rank").withColumn("relevance", relevance)
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "original_rank")
     return old.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
@@ -167,8 +193,8 @@ def external_hits(rows: DataFrame, k: int) -> DataFrame:
     return top(hits, k, F.col("position")).drop("position")
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, user_rank: int = 0, today: str | None = None, k: int = 5, fusion: str = "rrf", over: int = 20, threshold: float = 0.0) -> DataFrame:
-    """Permission and validity, both arms over-fetched, fused, cut to k.
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, user_rank: int = 0, today: str | None = None, k: int = 5, fusion: str = "rrf", over: int = 20, threshold: float = 0.0, relevance: Column | None = None) -> DataFrame:
+    """Permission and validity, both arms over-fetched, fused, re-ranked by `relevance` (of query and text) where given, cut to k.
 
     queries (query_id, query, qvec), chunks (chunk_id, text, access_level, effective_from, effective_to).
     """
@@ -179,4 +205,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, user_rank:
     if fusion == "weighted":
         return weighted_hybrid(sparse, dense, k=k)
     arms = dense.select("query_id", F.lit(0).alias("arm"), "rank", "chunk_id", "score").union(sparse.select("query_id", F.lit(1), "rank", "chunk_id", "score"))
-    return rrf(arms).filter(F.col("rank") <= k)
+    fused = rrf(arms)
+    if relevance is None:
+        return fused.filter(F.col("rank") <= k)
+    known = fused.filter(F.col("rank") <= max(k, over)).join(allowed.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    return rerank(known, relevance, k).drop("text", "query")

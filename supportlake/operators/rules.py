@@ -27,15 +27,15 @@ def reroute_followup(df: DataFrame, markers: Sequence[str] = lex.FOLLOW_UP, text
 
 
 def route_target(df: DataFrame) -> DataFrame:
-    """Sql for order and logistics questions that carry a number, rag below 0.4 confidence, else by intent."""
+    """Sql for order and logistics questions that carry a number, but rag for these below 0.4 confidence; else by intent."""
     has = (F.length(empty(F.col("order_id"))) > 0) | (F.length(empty(F.col("tracking_number"))) > 0)
     by_intent = F.create_map(*[F.lit(x) for kv in lex.ROUTES.items() for x in kv])[F.col("intent")]
-    return df.withColumn("target", F.when(F.col("intent").isin("order_query", "logistics") & has, "sql").when(F.col("confidence") < 0.4, "rag").otherwise(F.coalesce(by_intent, F.lit("rag"))))
+    return df.withColumn("target", F.when(F.col("intent").isin("order_query", "logistics") & has, F.when(F.col("confidence") < 0.4, "rag").otherwise("sql")).otherwise(F.coalesce(by_intent, F.lit("rag"))))
 
 
-def branch(df: DataFrame) -> DataFrame:
+def branch(df: DataFrame, rules: Sequence[tuple] = lex.POLICY_RULES) -> DataFrame:
     """Human first, then policy for return questions with a scenario, then the target."""
-    policy = (F.col("intent") == "return_refund") & (F.size(policy_scenarios(F.col("text"))) > 0)
+    policy = (F.col("intent") == "return_refund") & (F.size(policy_scenarios(F.col("text"), rules)) > 0)
     return df.withColumn("branch", F.when(F.col("needs_human"), "human").when(policy, "policy").otherwise(F.col("target")))
 
 
@@ -88,10 +88,10 @@ def needs_web(n_docs: Column, level: Column) -> Column:
     return (F.coalesce(n_docs, F.lit(0)) == 0) | (level >= 4)
 
 
-def handoff(df: DataFrame) -> DataFrame:
-    """X11: one JSON record for the agent; empty entities are left out, the memory is cut to 500 characters."""
+def handoff(df: DataFrame, memory_chars: int = 500) -> DataFrame:
+    """X11: one JSON record for the agent; empty entities are left out, the memory is cut to `memory_chars`."""
     entities = F.map_filter(F.create_map(*[x for c in ("order_id", "tracking_number", "product_name") for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: F.length(empty(v)) > 0)
-    record = F.struct("text", "intent", "emotion", entities.alias("entities"), F.substring(empty(F.col("memory")), 1, 500).alias("memory"), "attempts", F.col("scenario").alias("reason"))
+    record = F.struct("text", "intent", "emotion", entities.alias("entities"), F.substring(empty(F.col("memory")), 1, memory_chars).alias("memory"), "attempts", F.col("scenario").alias("reason"))
     return df.withColumn("handoff", F.to_json(record))
 
 

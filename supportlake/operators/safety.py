@@ -40,6 +40,15 @@ def pii_findings(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, s
     return rows.select(key, "f.type", "pos", F.col("f.original"), _mask(F.col("f.original")).alias("masked"))
 
 
+def detect_pii(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str, int]] = lex.PII) -> DataFrame:
+    """`found`: the kinds a text holds, by rule, without changing it; what an earlier rule found counts for no later one."""
+    rest, kinds = empty(F.col(text)), []
+    for label, pattern, _ in rules:
+        kinds.append(F.when(rest.rlike(pattern), F.lit(label)))
+        rest = F.regexp_replace(rest, pattern, "□")
+    return df.withColumn("found", F.array_compact(F.array(*kinds)))
+
+
 def _typed(label: str):
     return lambda v: F.struct(F.lit(label).alias("type"), v.alias("original"))
 
@@ -56,10 +65,12 @@ def _any_case(patterns: Sequence[str]) -> str:
     return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def check_input(df: DataFrame, text: str = "text", limit: int = 5000) -> DataFrame:
-    """Attacks are blanked and flagged, other input is cut to the limit."""
+def check_input(df: DataFrame, text: str = "text", limit: int | None = 5000) -> DataFrame:
+    """Attacks are blanked and flagged with a message, other input is cut to the limit (None: whole) and flagged `truncated`."""
     bad = empty(F.col(text)).rlike(_any_case(lex.INPUT_ATTACKS))
-    return df.withColumn("flagged", bad).withColumn("safe_text", F.when(bad, "").otherwise(F.substring(empty(F.col(text)), 1, limit)))
+    kept = empty(F.col(text)) if limit is None else F.substring(empty(F.col(text)), 1, limit)
+    long = F.lit(False) if limit is None else F.length(empty(F.col(text))) > limit
+    return df.withColumn("flagged", bad).withColumn("safe_text", F.when(bad, "").otherwise(kept)).withColumn("truncated", ~bad & long).withColumn("message", F.when(bad, lex.ATTACK_MESSAGE))
 
 
 def check_document(df: DataFrame, text: str = "text") -> DataFrame:

@@ -26,7 +26,8 @@ def recent(messages: DataFrame, rounds: int) -> DataFrame:
 
 
 def message_tokens(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(empty(c)) / 1.8).cast("int"))
+    """An empty message costs nothing, any other one token at least."""
+    return F.when(F.length(empty(c)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(empty(c)) / 1.8).cast("int")))
 
 
 def context_window(messages: DataFrame, budget: int = 6000, keep: int = 4) -> DataFrame:
@@ -37,10 +38,11 @@ def context_window(messages: DataFrame, budget: int = 6000, keep: int = 4) -> Da
     ranked = messages.withColumn("_rn", F.row_number().over(_newest()))
     length = F.sum(F.when(F.col("_rn") <= keep, F.length(empty(F.col("content"))))).over(Window.partitionBy("session_id"))
     number = F.least(F.lit(keep), F.count("*").over(Window.partitionBy("session_id")))
-    used = F.greatest(F.lit(1), F.floor((length + number - 1) / 1.8).cast("int"))
+    joined = length + number - 1  # joined by spaces
+    used = F.when(joined == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(joined / 1.8).cast("int")))
     older = F.sum(F.when(F.col("_rn") > keep, message_tokens(F.col("content"))).otherwise(0)).over(_newest().rowsBetween(Window.unboundedPreceding, 0))
     sized = ranked.withColumn("_used", used).withColumn("_older", older)
-    return sized.filter((F.col("_rn") <= keep) | (F.col("_older") <= budget - F.col("_used"))).drop("_rn", "_used", "_older")
+    return sized.filter((F.col("_rn") <= keep) | ((F.col("_used") < budget) & (F.col("_older") <= budget - F.col("_used")))).drop("_rn", "_used", "_older")
 
 
 def sessions(messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -49,6 +51,22 @@ def sessions(messages: DataFrame, limit: int | None = None) -> DataFrame:
     return s.limit(limit) if limit else s
 
 
+def history(messages: DataFrame, session_id) -> DataFrame:
+    """M4: one session's messages in order."""
+    return messages.filter(F.col("session_id") == session_id).orderBy("msg_id")
+
+
+def upsert_sessions(sessions_: DataFrame, changes: DataFrame) -> DataFrame:
+    """M4: create or replace: a session of the changes takes the place of the one of that id."""
+    return sessions_.join(changes.select("session_id").distinct(), "session_id", "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def append_messages(sessions_: DataFrame, new: DataFrame) -> DataFrame:
+    """M4: last_active rises to the newest message of each session; messages of unknown sessions change nothing."""
+    at = new.groupBy("session_id").agg(F.max("ts").alias("_ts"))
+    return sessions_.join(at, "session_id", "left").withColumn("last_active", F.greatest("last_active", "_ts")).drop("_ts")
+
+
 def delete_sessions(messages: DataFrame, gone: DataFrame) -> DataFrame:
     """M4: messages of all other sessions."""
     return messages.join(gone.select("session_id").distinct(), "session_id", "left_anti")
@@ -77,11 +95,13 @@ def ledger(found: DataFrame) -> DataFrame:
     return found.groupBy("session_id", "type", "value").agg(F.min(at).alias("f"), F.max("msg_id").alias("last_msg"), F.count("*").alias("times")).select("session_id", "type", "value", F.col("f.msg_id").alias("first_msg"), "last_msg", "times")
 
 
-def relevant_entities(queries: DataFrame, entries: DataFrame, n: int = 5) -> DataFrame:
-    """M8: entries of the session whose value or type word is in the query, newest first."""
-    word = F.create_map(*[F.lit(x) for kv in {"coupon": "券", "order": "订单", "amount": "元"}.items() for x in kv])[F.col("type")]
-    hit = queries.join(entries, "session_id").filter(F.contains("query", "value") | F.contains(F.col("query"), word))
-    order = Window.partitionBy("query_id").orderBy(F.desc("last_msg"), "type", "value")
+def relevant_entities(queries: DataFrame, entries: DataFrame, n: int = 5, words: Sequence[tuple[str, str]] = lex.TYPE_WORDS) -> DataFrame:
+    """M8: entries of the session whose value is in the query, or whose type the first type word in the query names; in the ledger's order."""
+    asked = F.lit(None).cast("string")
+    for word, kind in reversed(words):
+        asked = F.when(F.contains(F.col("query"), F.lit(word)), F.lit(kind)).otherwise(asked)
+    hit = queries.withColumn("_asked", asked).join(entries, "session_id").filter(((F.length("value") > 0) & F.contains("query", "value")) | (F.col("type") == F.col("_asked"))).drop("_asked")
+    order = Window.partitionBy("query_id").orderBy("first_msg", "type", "value")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
@@ -95,22 +115,38 @@ def folded(turns: DataFrame, window: int = 6) -> DataFrame:
     return turns.withColumn("_rn", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))).filter(F.col("_rn") > window).drop("_rn")
 
 
-def recall_history(queries: DataFrame, turns: DataFrame, window: int = 6, min_score: float = 0.15, k: int = 2) -> DataFrame:
-    """M9: folded turns of the session that share enough character pairs with the query."""
-    scored = queries.join(folded(turns, window), "session_id").withColumn("score", F.round(bigram_overlap(F.col("query"), F.col("user_text")), 6)).filter(F.col("score") > min_score)
+def turn_text() -> Column:
+    """A turn as one text, both sides."""
+    return F.concat(F.lit("用户: "), empty(F.col("user_text")), F.lit(" 客服: "), empty(F.col("assistant_text")))
+
+
+def recall_history(queries: DataFrame, turns: DataFrame, window: int = 6, min_score: float = 0.15, k: int = 2, chars: int | None = 180) -> DataFrame:
+    """M9: folded turns (session_id, turn, user_text, assistant_text) of the session, both sides together, that share enough character pairs with the query."""
+    scored = queries.join(folded(turns, window).withColumn("_t", turn_text()), "session_id").withColumn("score", F.round(bigram_overlap(F.col("query"), F.col("_t")), 6)).filter(F.col("score") > min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "turn")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "turn", "score", F.substring("user_text", 1, 180).alias("text"))
+    text = F.col("_t") if chars is None else F.substring("_t", 1, chars)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "turn", "score", text.alias("text"))
 
 
-def rolling_summary(turns: DataFrame, window: int = 6) -> DataFrame:
-    """The first 40 characters of each folded turn, in order."""
-    lines = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.substring("user_text", 1, 40), F.lit("]")).alias("x"))))
+def rolling_summary(turns: DataFrame, window: int = 6, chars: int = 40) -> DataFrame:
+    """The first `chars` characters of each folded turn, in order."""
+    lines = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.substring(empty(F.col("user_text")), 1, chars), F.lit("]")).alias("x"))))
     return folded(turns, window).groupBy("session_id").agg(F.array_join(F.transform(lines, lambda t: t["x"]), "\n").alias("summary"))
 
 
 def build_context(parts: DataFrame, max_tokens: int = 1500) -> DataFrame:
-    """Parts (query_id, entities, history, summary, recent) joined, cut to max(2 x tokens, 200) characters."""
-    return parts.select("query_id", F.substring(F.concat_ws("\n", "entities", "history", "summary", "recent"), 1, max(2 * max_tokens, 200)).alias("context"))
+    """Parts (query_id, entities, history, summary, recent; null: none) under their headings, cut to max(2 x tokens, 200) characters with a notice."""
+    heads = {"entities": "【相关实体】\n", "history": "【历史相关片段】\n", "summary": "【旧对话摘要】", "recent": "【最近对话】\n"}
+    whole, most = F.concat_ws("\n\n", *(F.when(F.length(c) > 0, F.concat(F.lit(h), F.col(c))) for c, h in heads.items())), max(2 * max_tokens, 200)
+    return parts.select("query_id", F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.substring(whole, 1, most), F.lit("\n[上下文过长，已截断]"))).alias("context"))
+
+
+def recent_text(turns: DataFrame, window: int = 6, user_chars: int = 120, reply_chars: int = 200) -> DataFrame:
+    """The last turns of each session as lines, each side cut."""
+    last = retain(turns, window)
+    side = lambda head, c, n: F.when(F.length(empty(F.col(c))) > 0, F.concat(F.lit(head), F.substring(c, 1, n)))
+    line = F.concat_ws("\n", side("用户: ", "user_text", user_chars), side("客服: ", "assistant_text", reply_chars)).alias("x")
+    return last.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line))), lambda t: t["x"]), "\n").alias("recent"))
 
 
 def history_text(messages: DataFrame, n: int = 6, chars: int = 200) -> DataFrame:

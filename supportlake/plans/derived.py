@@ -24,10 +24,18 @@ CHUNKS = """(SELECT doc_id AS chunk_id, text, source AS source_file, lang AS doc
  DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS effective_from, DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) + 90 AS effective_to FROM documents)"""
 
 
+#: Ids of a range that is numbered by itself.
+RANGE = 100_000
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their place in the source."""
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("chunk_id")) - 1
-    return chunks(spark, sf_dir).withColumn("chunk_index", place)
+    """Chunks with their place in the source. Ids alone are numbered, range by range; counts of the ranges before are added, so no task sees a whole source."""
+    ids = chunks(spark, sf_dir).select("chunk_id", "source_file", F.floor(F.col("chunk_id") / RANGE).alias("_r"))
+    before = Window.partitionBy("source_file").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ids.groupBy("source_file", "_r").agg(F.count("*").alias("n")).select("source_file", "_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    local = ids.withColumn("_n", F.row_number().over(Window.partitionBy("source_file", "_r").orderBy("chunk_id")) - 1)
+    placed = local.join(starts, ["source_file", "_r"]).select("chunk_id", (F.col("_start") + F.col("_n")).alias("chunk_index"))
+    return chunks(spark, sf_dir).join(placed, "chunk_id")
 
 
 INDEXED = f"(SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_id) - 1 AS chunk_index FROM {CHUNKS})"
@@ -54,20 +62,20 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("query_id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("intent"), F.col("value").alias("total_time_ms"), F.col("user_id").alias("session_id"),
-        (F.col("event_type") == "error").alias("hallucination_detected"), F.when(F.col("event_type") == "click", "exact").alias("cache_hit"),
+        (F.col("event_type") == "error").alias("hallucination_detected"), F.when(F.col("event_type") == "click", "hit").when(F.col("event_type") == "view", "miss").alias("cache_hit"), F.round(F.col("value") / 1000, 6).alias("embedding_cost"),
         F.floor("value").cast("long").alias("prompt_tokens"), F.floor(F.col("value") / 2).cast("long").alias("completion_tokens"),
         F.when(F.pmod("event_id", F.lit(3)) == 0, "qwen-plus").when(F.pmod("event_id", F.lit(3)) == 1, "qwen3.7-plus").otherwise("other").alias("model_used"),
     )
 
 
 LOG = """(SELECT event_id AS query_id, ts AS "timestamp", event_type AS intent, value AS total_time_ms, user_id AS session_id, event_type = 'error' AS hallucination_detected,
- CASE WHEN event_type = 'click' THEN 'exact' END AS cache_hit, CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(floor(value / 2) AS BIGINT) AS completion_tokens,
+ CASE event_type WHEN 'click' THEN 'hit' WHEN 'view' THEN 'miss' END AS cache_hit, round(value / 1000, 6) AS embedding_cost, CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(floor(value / 2) AS BIGINT) AS completion_tokens,
  CASE WHEN event_id % 3 = 0 THEN 'qwen-plus' WHEN event_id % 3 = 1 THEN 'qwen3.7-plus' ELSE 'other' END AS model_used FROM events)"""
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("order_no"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(None).cast("timestamp").alias("complete_time"))
+    return o.select(F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("order_no"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("create_time"), F.lit(None).cast("timestamp").alias("complete_time"))
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from supportlake.operators import clean as cl
 from supportlake.operators import index as ix
 from supportlake.operators import rules as ru
 from supportlake.operators import safety as sa
-from supportlake.plans.derived import CHUNKS, INDEXED, chunks, indexed, table, vectors
+from supportlake.plans.derived import CHUNKS, chunks, table, vectors
 from supportlake.sources import files, pages
 
 
@@ -50,26 +50,28 @@ def _main_sql() -> str:
 def s08_table_markdown(spark, sf_dir):
     """Line items as one sheet a supplier."""
     li = table(spark, sf_dir, "lineitem").withColumn("_key", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    out = pages.table_markdown(li, "l_suppkey", "_key", ["l_orderkey", "l_linenumber", "l_partkey"], 5000)
+    out = pages.table_markdown(li, "l_suppkey", "_key", ["l_orderkey", "l_linenumber", "l_partkey"], None)
     return out.select("l_suppkey", F.md5("markdown").alias("markdown_md5"), "truncated")
 
 
 S08_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
-SELECT l_suppkey, md5('| l_orderkey | l_linenumber | l_partkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY rn)) AS markdown_md5, max(n) > 5000 AS truncated
-FROM r WHERE rn <= 5000 GROUP BY l_suppkey"""
+SELECT l_suppkey, md5('| l_orderkey | l_linenumber | l_partkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY rn)) AS markdown_md5, false AS truncated
+FROM r GROUP BY l_suppkey"""
 
 
 def t03_page_triage(spark, sf_dir):
     """Quality, route and cost of pages, a file being a host."""
     p = ix.page_stats(table(spark, sf_dir, "pages")).withColumn("file", F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).withColumn("page", F.col("page_id"))
     routed = ix.page_route(p)
-    return routed.select("page_id", ix.page_triage(F.col("text_length"), F.col("image_count")).alias("quality"), "route", "file_cost")
+    size = F.col("text_length"), F.col("image_count")
+    return routed.select("page_id", ix.page_triage(*size).alias("quality"), ix.page_issue(*size).alias("issue"), "route", "over_limit", "file_cost")
 
 
 T03_SQL = r"""WITH s AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS f, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '\s+', '', 'g')) AS t,
  len(regexp_extract_all(coalesce(html, ''), '(?i)<img')) AS i FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY page_id) AS rn FROM s)
-SELECT page_id, CASE WHEN t < 50 AND i >= 1 THEN 'scanned' WHEN t = 0 THEN 'blank' WHEN t < 20 AND i = 0 THEN 'poor' ELSE 'good' END AS quality, CASE WHEN t >= 50 AND i = 0 THEN 'text' ELSE 'ocr' END AS route,
- round(sum(CASE WHEN t >= 50 AND i = 0 THEN 0.0 ELSE 0.005 END) OVER (PARTITION BY f), 4) AS file_cost FROM r WHERE rn <= 50"""
+SELECT page_id, CASE WHEN t < 50 AND i >= 1 THEN 'fair' WHEN t < 20 AND i = 0 THEN 'poor' ELSE 'good' END AS quality,
+ CASE WHEN t < 50 AND i >= 1 THEN 'scanned' WHEN t = 0 AND i = 0 THEN 'blank' WHEN t < 20 AND i = 0 THEN 'little text' END AS issue, CASE WHEN rn > 50 THEN NULL WHEN t >= 50 AND i = 0 THEN 'text' ELSE 'ocr' END AS route, rn > 50 AS over_limit,
+ round(sum(CASE WHEN rn > 50 OR (t >= 50 AND i = 0) THEN 0.0 ELSE 0.005 END) OVER (PARTITION BY f), 4) AS file_cost FROM r"""
 
 
 def c01_paragraphs(spark, sf_dir):
@@ -79,14 +81,12 @@ def c01_paragraphs(spark, sf_dir):
 
 
 def c06_dedup_lines(spark, sf_dir):
-    """Lines as paragraphs: short and noise lines out, lines of a document that start alike once."""
-    lines = _docs(spark, sf_dir).select("source_file", F.posexplode(F.split(tx.empty(F.col("text")), "\n")).alias("para_index", "text"))
-    good = lines.filter((F.length("text") >= 10) & ~tx.is_noise(F.col("text")))
-    return cl.dedup_paragraphs(good).select("source_file", "para_index", tx.short_id(F.col("source_file"), "p", F.col("para_index")).alias("chunk_id"))
+    """Lines as paragraphs: short and noise lines out, lines of a document that are alike but for Markdown marks once."""
+    return cl.clean_lines(_docs(spark, sf_dir), chars=None).select("source_file", "para_index", "chunk_id")
 
 
 C06_SQL = r"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS s, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-g AS (SELECT *, regexp_replace(substring(t, 1, 200), '[#*`|>\-\s]', '', 'g') AS k FROM l WHERE length(t) >= 10 AND length(regexp_replace(t, '[^\p{L}\p{N}\p{M}_]', '', 'g')) >= 3)
+g AS (SELECT *, regexp_replace(t, '[#*`\[\]()|_\-]', '', 'g') AS k FROM l WHERE length(t) >= 10 AND length(regexp_replace(t, '[^\p{L}\p{N}\p{M}_]', '', 'g')) >= 3)
 SELECT s AS source_file, i AS para_index, substring(md5(s || '#p' || i), 1, 12) AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY s, k ORDER BY i) AS rn FROM g) WHERE rn = 1"""
 
 
@@ -108,7 +108,7 @@ def h08_recursive(spark, sf_dir):
 
 
 def h09_sentences(spark, sf_dir):
-    out = ck.add_overlap(ck.split_sentences(_docs(spark, sf_dir), 1024))
+    out = ck.with_overlap(ck.split_sentences(_docs(spark, sf_dir), 1024, overlap=80))
     return out.select("source_file", "chunk_index", F.md5("text").alias("text_md5"), F.length("overlap_text").alias("overlap"))
 
 
@@ -118,7 +118,7 @@ def h12_chunk_summary(spark, sf_dir):
 
 
 H12_SQL = r"""WITH t AS (SELECT source, length(text) AS n, floor(length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) / 1.5 + length(regexp_replace(coalesce(text, ''), '[一-鿿]', '', 'g')) / 3.5) AS t FROM documents)
-SELECT source AS source_file, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS total_chars, CAST(sum(t) AS BIGINT) AS total_tokens, round(avg(t), 6) AS avg_tokens, round(stddev_pop(t), 6) AS std_tokens FROM t GROUP BY source"""
+SELECT source AS source_file, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS total_chars, CAST(sum(t) AS BIGINT) AS total_tokens, round(avg(n), 6) AS avg_size, round(stddev_pop(n), 6) AS std_size FROM t GROUP BY source"""
 
 
 def h13_chunk_sweep(spark, sf_dir):
@@ -126,7 +126,8 @@ def h13_chunk_sweep(spark, sf_dir):
 
 
 def k01_index_rows(spark, sf_dir):
-    return ix.index_rows(chunks(spark, sf_dir)).select("chunk_id", F.length("text").alias("n_chars"), F.col("access_level").cast("int").alias("access_level"))
+    """K1 with whole texts."""
+    return ix.index_rows(chunks(spark, sf_dir), None).select("chunk_id", F.length("text").alias("n_chars"), "truncated", F.col("access_level").cast("int").alias("access_level"))
 
 
 def k02_replace_by_source(spark, sf_dir):
@@ -150,14 +151,17 @@ SELECT source_file, count(*) AS deleted, 0 AS "left" FROM c SEMI JOIN g USING (s
 
 
 def k05_index_stats(spark, sf_dir):
-    return ix.index_stats(ix.drop_bad_vectors(vectors(spark, sf_dir)))
+    return ix.index_stats(ix.drop_bad_vectors(vectors(spark, sf_dir)), model="given")
 
 
 def k08_content_hash(spark, sf_dir):
-    return ix.content_hash(indexed(spark, sf_dir))
+    """K8: each document's cleaned lines as its chunks."""
+    return ix.content_hash(cl.clean_lines(_docs(spark, sf_dir)).withColumnRenamed("para_index", "chunk_index"))
 
 
-K08_SQL = f"SELECT source_file, substring(sha256(string_agg(sha256(text), chr(10) ORDER BY chunk_index)), 1, 16) AS content_hash FROM {INDEXED} GROUP BY source_file"
+K08_SQL = r"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS s, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+g AS (SELECT *, regexp_replace(substring(t, 1, 200), '[#*`\[\]()|_\-]', '', 'g') AS k FROM l WHERE length(t) >= 10 AND length(regexp_replace(t, '[^\p{L}\p{N}\p{M}_]', '', 'g')) >= 3)
+SELECT s AS source_file, substring(sha256(string_agg(t, chr(10) ORDER BY i)), 1, 16) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY s, k ORDER BY i) AS rn FROM g) WHERE rn = 1 GROUP BY s"""
 
 
 def k09_unique_source(spark, sf_dir):
@@ -178,6 +182,24 @@ def g01_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sa.redact(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.regexp_count("t", F.lit(r"\[(?:邮箱|IP地址|银行卡|身份证|手机号|订单号|姓名)\]")).alias("n_marks"))
 
 
+def _g01_sql() -> str:
+    from supportlake.plans.rulesets import redacted_sql
+
+    marks = "len(regexp_extract_all(t, '\\[(?:邮箱|IP地址|银行卡|身份证|手机号|订单号|姓名)\\]'))"
+    return f"SELECT doc_id, md5(t) AS text_md5, {marks} AS n_marks FROM (SELECT doc_id, {redacted_sql('text')} AS t FROM documents)"
+
+
+def _g05_sql() -> str:
+    from supportlake.functions import lexicons as lex
+
+    bad = "regexp_matches(t, '(?i)" + "|".join(f"(?:{p})" for p in lex.INPUT_ATTACKS) + "')"
+    return f"SELECT conv_id, turn, {bad} AS flagged, NOT {bad} AND length(t) > 5000 AS truncated, CASE WHEN {bad} THEN 0 ELSE least(5000, length(t)) END AS n, {bad} AS told FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"
+
+
+C01_SQL = r"""SELECT CAST(doc_id AS VARCHAR) AS source_file, 0 AS para_index, md5(trim(regexp_replace(array_to_string(l, ' '), '[ 	]{2,}', ' ', 'g'))) AS text_md5
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) WHERE len(l) > 0"""
+
+
 def g02_findings(spark, sf_dir):
     """Findings of all rules with their masks."""
     return sa.pii_findings(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "type", "original", "masked")
@@ -185,7 +207,7 @@ def g02_findings(spark, sf_dir):
 
 def g05_input_guard(spark, sf_dir):
     """Turns of conversations that look like attacks on the prompt."""
-    return sa.check_input(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "flagged", F.length("safe_text").alias("n"))
+    return sa.check_input(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "flagged", "truncated", F.length("safe_text").alias("n"), F.col("message").isNotNull().alias("told"))
 
 
 def x05_emotion(spark, sf_dir):
@@ -220,7 +242,7 @@ QUERIES = {
 }
 ORACLES = {
     "s02_doc_type": S02_SQL, "s07_main_text": _main_sql(), "s08_table_markdown": S08_SQL, "t03_page_triage": T03_SQL, "c06_dedup_lines": C06_SQL, "h01_token_estimate": H01_SQL, "h12_chunk_summary": H12_SQL,
-    "k01_index_rows": f"SELECT chunk_id, least(length(text), 8000) AS n_chars, access_level FROM {CHUNKS}", "k02_replace_by_source": K02_SQL, "k03_delete_sources": K03_SQL,
-    "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension FROM embeddings", "k08_content_hash": K08_SQL,
+    "k01_index_rows": f"SELECT chunk_id, length(text) AS n_chars, false AS truncated, access_level FROM {CHUNKS}", "k02_replace_by_source": K02_SQL, "k03_delete_sources": K03_SQL,
+    "c01_paragraphs": C01_SQL, "g05_input_guard": _g05_sql(), "g01_redact": _g01_sql(), "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension, 'given' AS model FROM embeddings", "k08_content_hash": K08_SQL,
     "k09_unique_source": "SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 12) || '_' || source || '.txt' AS name FROM documents", "k11_index_report": K11_SQL, "x01_intent": X01_SQL, "x05_emotion": X05_SQL,
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supportlake.plans import knowledge, retrieval, service
+from supportlake.plans import knowledge, retrieval, rulesets, service
 
-MODULES = (retrieval, knowledge, service)
+MODULES = (retrieval, knowledge, service, rulesets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

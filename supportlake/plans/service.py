@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
@@ -11,12 +12,21 @@ from supportlake.operators import orders as od
 from supportlake.operators import safety as sa
 from supportlake.operators import sessions as se
 from supportlake.plans.derived import LOG, log, messages, orders, table, tracking
+from supportlake.streaming import jobs
 
 MSG = "(SELECT conv_id AS session_id, turn AS msg_id, role, text AS content FROM conversations)"
 
 
 def _turns(spark, sf_dir):
-    return messages(spark, sf_dir).filter("role = 'user'").select("session_id", F.col("msg_id").alias("turn"), F.col("content").alias("user_text"))
+    """A user's message with the assistant's next one, if that comes before the user's next."""
+    w = Window.partitionBy("session_id").orderBy("msg_id")
+    m = messages(spark, sf_dir).filter("role in ('user', 'assistant')").withColumn("_r", F.lead("role").over(w)).withColumn("_t", F.lead("content").over(w))
+    reply = F.when(F.col("_r") == "assistant", F.col("_t"))
+    return m.filter("role = 'user'").select("session_id", F.col("msg_id").alias("turn"), F.col("content").alias("user_text"), reply.alias("assistant_text"))
+
+
+TURNS = f"""(SELECT session_id, msg_id AS turn, content AS user_text, reply AS assistant_text FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(content) OVER w END AS reply FROM {MSG}
+ WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY msg_id)) WHERE role = 'user')"""
 
 
 def m01_turn_counts(spark, sf_dir):
@@ -32,9 +42,10 @@ def m03_context_window(spark, sf_dir):
 
 
 M03_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY msg_id DESC) AS rn, count(*) OVER (PARTITION BY session_id) AS c FROM {MSG}),
-u AS (SELECT *, greatest(1, floor((sum(CASE WHEN rn <= 2 THEN length(coalesce(content, '')) END) OVER (PARTITION BY session_id) + least(2, c) - 1) / 1.8)) AS used,
- sum(CASE WHEN rn > 2 THEN greatest(1, floor(length(coalesce(content, '')) / 1.8)) ELSE 0 END) OVER (PARTITION BY session_id ORDER BY msg_id DESC ROWS UNBOUNDED PRECEDING) AS older FROM r)
-SELECT session_id, msg_id FROM u WHERE rn <= 2 OR older <= 600 - used"""
+j AS (SELECT *, sum(CASE WHEN rn <= 2 THEN length(coalesce(content, '')) END) OVER (PARTITION BY session_id) + least(2, c) - 1 AS joined FROM r),
+u AS (SELECT *, CASE WHEN joined = 0 THEN 0 ELSE greatest(1, floor(joined / 1.8)) END AS used,
+ sum(CASE WHEN rn > 2 AND length(coalesce(content, '')) > 0 THEN greatest(1, floor(length(content) / 1.8)) ELSE 0 END) OVER (PARTITION BY session_id ORDER BY msg_id DESC ROWS UNBOUNDED PRECEDING) AS older FROM j)
+SELECT session_id, msg_id FROM u WHERE rn <= 2 OR (used < 600 AND older <= 600 - used)"""
 
 
 def m06_entities(spark, sf_dir):
@@ -55,17 +66,18 @@ def m09_recall(spark, sf_dir):
 
 
 PAIRS = "list_distinct(list_transform(range(1, length({a})), lambda i: substring({a}, i, 2)))"
-M09_SQL = f"""WITH t AS (SELECT session_id, msg_id AS turn, content AS u, row_number() OVER (PARTITION BY session_id ORDER BY msg_id DESC) AS rn FROM {MSG} WHERE role = 'user'),
-s AS (SELECT q.session_id AS query_id, t.turn, round(CASE WHEN length(q.u) >= 2 THEN len(list_intersect({PAIRS.format(a="q.u")}, {PAIRS.format(a="t.u")})) / len({PAIRS.format(a="q.u")}) ELSE 0 END, 6) AS score FROM t q JOIN t ON t.session_id = q.session_id WHERE q.rn = 1 AND t.rn > 1)
+M09_SQL = f"""WITH t AS (SELECT session_id, turn, user_text AS u, '用户: ' || coalesce(user_text, '') || ' 客服: ' || coalesce(assistant_text, '') AS both, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM {TURNS}),
+s AS (SELECT q.session_id AS query_id, t.turn, round(CASE WHEN length(q.u) >= 2 THEN len(list_intersect({PAIRS.format(a="q.u")}, {PAIRS.format(a="t.both")})) / len({PAIRS.format(a="q.u")}) ELSE 0 END, 6) AS score FROM t q JOIN t ON t.session_id = q.session_id WHERE q.rn = 1 AND t.rn > 1)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn) AS rank, turn, score FROM s WHERE score > 0.15) WHERE rank <= 2"""
 
 
 def m11_rolling_summary(spark, sf_dir):
+    """What the turns before the last one leave."""
     return se.rolling_summary(_turns(spark, sf_dir), 1).select("session_id", F.md5("summary").alias("summary_md5"))
 
 
 M11_SQL = f"""WITH t AS (SELECT session_id, msg_id, content, row_number() OVER (PARTITION BY session_id ORDER BY msg_id DESC) AS rn FROM {MSG} WHERE role = 'user')
-SELECT session_id, md5(string_agg('[' || substring(content, 1, 40) || ']', chr(10) ORDER BY msg_id)) AS summary_md5 FROM t WHERE rn > 1 GROUP BY session_id"""
+SELECT session_id, md5(string_agg('[' || substring(coalesce(content, ''), 1, 40) || ']', chr(10) ORDER BY msg_id)) AS summary_md5 FROM t WHERE rn > 1 GROUP BY session_id"""
 
 
 def m13_history(spark, sf_dir):
@@ -77,16 +89,17 @@ SELECT session_id, md5(string_agg(role || ': ' || substring(coalesce(content, ''
 
 
 def b01_order_lookup(spark, sf_dir):
-    """Every customer asks for every order of his nation's first customer; owners alone get an answer."""
+    """A request for each order: every second one by its owner, the others by the next customer, every tenth as an admin. All get a reply."""
     o = orders(spark, sf_dir)
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit(" ord"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("order_no"), (F.col("o_custkey") + F.pmod("o_orderkey", F.lit(2))).alias("user_id"), (F.pmod("o_orderkey", F.lit(10)) == 0).alias("is_admin"))
-    found = od.order_reply(od.order_lookup(asked, o, tracking(spark, sf_dir)))
-    return found.select("request_id", "order_no", "status", "carrier", "tracking_number", F.col("eta").cast("string").alias("eta"), F.length("reply").alias("reply_chars"))
+    out = od.order_replies(asked, od.order_lookup(asked, o, tracking(spark, sf_dir)))
+    return out.select("request_id", "found", F.md5(F.regexp_replace("reply", "下单时间: .*", "下单时间")).alias("reply_md5"))
 
 
 B01_SQL = """WITH t AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber)) AS carrier, arg_max('T-' || l_orderkey || '-' || l_linenumber, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber)) AS tracking_number, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
-o AS (SELECT o_orderkey AS request_id, 'ORD' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_no, o_orderstatus AS status, o_totalprice AS price, carrier, tracking_number, CAST(CAST(shipped AS DATE) + 3 AS VARCHAR) AS eta FROM orders LEFT JOIN t ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 OR o_orderkey % 10 = 0)
-SELECT request_id, order_no, status, carrier, tracking_number, eta, length('订单 ' || order_no || '，状态：' || status || '，金额：' || format('{:,.2f}', price) || ' 元' || coalesce('，预计送达：' || eta, '')) AS reply_chars FROM o"""
+o AS (SELECT o_orderkey AS request_id, 'ORD' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_no, o_orderstatus AS status, o_totalprice AS price, carrier, tracking_number, CAST(CAST(shipped AS DATE) + 3 AS VARCHAR) AS eta, o_orderkey % 2 = 0 OR o_orderkey % 10 = 0 AS found FROM orders LEFT JOIN t ON l_orderkey = o_orderkey)
+SELECT request_id, found, md5(CASE WHEN found THEN '订单 ' || order_no || '：' || status || chr(10) || '- 下单时间' || chr(10) || '- 订单金额: ¥' || CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) || coalesce(chr(10) || '- 承运商: ' || carrier || ' (' || tracking_number || ')', '') || coalesce(chr(10) || '- 预计送达: ' || eta, '')
+ ELSE '未查询到订单 ' || order_no || ' 的记录（或不属于当前账号），请核对订单号，或联系人工客服查询。' END) AS reply_md5 FROM o"""
 
 
 def b04_ticket_queue(spark, sf_dir):
@@ -110,10 +123,13 @@ N01_SQL = f"""SELECT model_used, count(*) AS n, round(sum(round(CASE model_used
 
 
 def n02_daily_stats(spark, sf_dir):
-    return ol.daily_stats(ol.with_cost(log(spark, sf_dir))).select(F.col("day").cast("string").alias("day"), "n_queries", "avg_ms", "hallucination_rate", "cache_hit_rate")
+    return ol.daily_stats(ol.with_cost(log(spark, sf_dir))).withColumn("day", F.col("day").cast("string"))
 
 
-N02_SQL = f"""SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, count(*) AS n_queries, round(avg(total_time_ms), 4) AS avg_ms, round(avg(CASE WHEN hallucination_detected THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate, round(avg(CASE WHEN cache_hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS cache_hit_rate FROM {LOG} GROUP BY 1"""
+PRICE = """round(CASE model_used WHEN 'qwen-plus' THEN prompt_tokens / 1000 * 0.001 + completion_tokens / 1000 * 0.002 WHEN 'qwen3.7-plus' THEN prompt_tokens / 1000 * 0.004 + completion_tokens / 1000 * 0.012 ELSE prompt_tokens / 1000 * 0.001 + completion_tokens / 1000 * 0.002 END, 6)"""
+N02_SQL = f"""SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, count(*) AS n_queries, round(sum({PRICE}), 4) AS llm_cost, round(sum(embedding_cost), 4) AS embedding_cost, round(sum({PRICE} + embedding_cost), 4) AS cost, round(avg(total_time_ms), 1) AS avg_ms,
+ round(avg(CASE WHEN hallucination_detected THEN 1.0 ELSE 0.0 END), 4) AS hallucination_rate, round(avg(CASE WHEN cache_hit = 'hit' THEN 1.0 ELSE 0.0 END), 4) AS cache_hit_rate, CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt_tokens,
+ CAST(sum(completion_tokens) AS BIGINT) AS total_completion_tokens, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens FROM {LOG} GROUP BY 1"""
 
 
 def n03_intent_mix(spark, sf_dir):
@@ -137,10 +153,10 @@ def n05_recent_queries(spark, sf_dir):
 
 def n06_alerts(spark, sf_dir):
     daily = ol.daily_stats(ol.with_cost(log(spark, sf_dir))).join(ol.rank_p99(log(spark, sf_dir)), "day")
-    return ol.alerts(daily, {"hallucination_rate": 0.05, "p99_ms": 100.0}).select(F.col("day").cast("string").alias("day"), "metric", F.round("value", 6).alias("value"), "limit_value")
+    return ol.alerts(daily, {"hallucination_rate": 0.05, "p99_ms": 100.0, "cost": 10.0}).select(F.col("day").cast("string").alias("day"), "metric", F.round("value", 6).alias("value"), "limit_value")
 
 
-N06_SQL = f"""WITH d AS ({N02_SQL}), p AS ({N04_SQL}) SELECT day, 'hallucination_rate' AS metric, hallucination_rate AS value, 0.05::DOUBLE AS limit_value FROM d WHERE hallucination_rate > 0.05 UNION ALL SELECT day, 'p99_ms', round(p99_ms, 6), 100.0::DOUBLE FROM p WHERE p99_ms > 100"""
+N06_SQL = f"""WITH d AS ({N02_SQL}), p AS ({N04_SQL}) SELECT day, 'hallucination_rate' AS metric, hallucination_rate AS value, 0.05::DOUBLE AS limit_value FROM d WHERE hallucination_rate > 0.05 UNION ALL SELECT day, 'p99_ms', round(p99_ms, 6), 100.0::DOUBLE FROM p WHERE p99_ms > 100 UNION ALL SELECT day, 'cost', round(cost, 6), 10.0::DOUBLE FROM d WHERE cost > 10"""
 
 
 def n07_hit_rate(spark, sf_dir):
@@ -153,9 +169,8 @@ def _since_epoch(unit: str, column: str):
 
 
 def w02_request_rate(spark, sf_dir):
-    """W2's batch twin: requests of a user in fixed windows of a minute."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "60 seconds").alias("w"), "user_id").agg(F.count("*").alias("requests")).select(_since_epoch("SECOND", "w.start").alias("start"), "user_id", "requests", (F.col("requests") > 3).alias("over"))
+    """W2 over a table: requests of a user in fixed windows of a minute, by the stream's own operator."""
+    return jobs.stream_rate(table(spark, sf_dir, "events"), "user_id", 60, 3).withColumn("start", _since_epoch("SECOND", "start"))
 
 
 def w07_failure_runs(spark, sf_dir):
@@ -202,6 +217,6 @@ ORACLES = {
     "m02_recent": f"SELECT session_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY msg_id DESC) AS rn FROM {MSG}) WHERE rn <= 2",
     "m03_context_window": M03_SQL, "m06_entities": M06_SQL, "m09_recall": M09_SQL, "m11_rolling_summary": M11_SQL, "m13_history": M13_SQL, "b01_order_lookup": B01_SQL, "b04_ticket_queue": B04_SQL, "n01_cost_by_model": N01_SQL,
     "n02_daily_stats": N02_SQL, "n03_intent_mix": N03_SQL, "n04_rank_p99": N04_SQL, "n05_recent_queries": f'SELECT query_id, intent, total_time_ms FROM {LOG} ORDER BY "timestamp" DESC, query_id LIMIT 20', "n06_alerts": N06_SQL,
-    "n07_hit_rate": f"SELECT round(avg(CASE WHEN cache_hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM {LOG}",
+    "n07_hit_rate": f"SELECT round(count(*) FILTER (cache_hit = 'hit') / count(*) FILTER (cache_hit IN ('hit', 'miss')), 6) AS hit_rate FROM {LOG}",
     "w02_request_rate": "SELECT CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS start, user_id, count(*) AS requests, count(*) > 3 AS over FROM events GROUP BY 1, 2", "w07_failure_runs": W07_SQL, "a02_claim_scores": A02_SQL, "a06_quality_gate": A06_SQL,
 }

@@ -26,11 +26,12 @@ def main_text(html: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: F.length(x) > 2), "\n")
 
 
-def table_markdown(df: DataFrame, sheet: str, order: str, columns: Sequence[str], cap: int = 5000) -> DataFrame:
-    """One Markdown table a sheet: header, separator and at most `cap` rows (the rest is reported)."""
+def table_markdown(df: DataFrame, sheet: str, order: str, columns: Sequence[str], cap: int | None = 5000) -> DataFrame:
+    """One Markdown table a sheet: header, separator and at most `cap` rows (`truncated` tells of more); None takes all."""
     n = F.count("*").over(Window.partitionBy(sheet))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(sheet).orderBy(order))).withColumn("_n", n).filter(F.col("_rn") <= cap)
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(sheet).orderBy(order))).withColumn("_n", n)
+    ranked = ranked if cap is None else ranked.filter(F.col("_rn") <= cap)
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
     head = f"| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |"
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rn", row.alias("x")))), lambda s: s["x"]), "\n")
-    return ranked.groupBy(sheet).agg(F.concat(F.lit(head + "\n"), lines).alias("markdown"), (F.max("_n") > cap).alias("truncated"))
+    return ranked.groupBy(sheet).agg(F.concat(F.lit(head + "\n"), lines).alias("markdown"), (F.lit(False) if cap is None else F.max("_n") > cap).alias("truncated"))
