@@ -14,15 +14,20 @@ def with_cost(log: DataFrame, prices: dict[str, tuple[float, float]] = lex.PRICE
     return log.withColumn("llm_cost", F.round(F.col("prompt_tokens") / 1000 * side(0) + F.col("completion_tokens") / 1000 * side(1), 6))
 
 
-def daily_stats(log: DataFrame) -> DataFrame:
-    """One row a day."""
+def daily_columns() -> list:
+    """N2's aggregates of a day, and an approximate 99th percentile that streams can hold."""
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
-    return log.groupBy(F.to_date("timestamp").alias("day")).agg(
+    return [
         F.count("*").alias("n_queries"), F.round(F.sum("llm_cost"), 4).alias("llm_cost"), F.round(F.sum("embedding_cost"), 4).alias("embedding_cost"),
         F.round(F.sum(F.col("llm_cost") + F.col("embedding_cost")), 4).alias("cost"), F.round(F.avg("total_time_ms"), 1).alias("avg_ms"),
         rate(F.col("hallucination_detected")).alias("hallucination_rate"), rate(F.col("cache_hit") == "hit").alias("cache_hit_rate"),
-        *(F.sum(c).alias(f"total_{c}") for c in ("prompt_tokens", "completion_tokens")), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
-    )
+        *(F.sum(c).alias(f"total_{c}") for c in ("prompt_tokens", "completion_tokens")), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), F.percentile_approx("total_time_ms", 0.99, 10_000).alias("p99_ms"),
+    ]
+
+
+def daily_stats(log: DataFrame) -> DataFrame:
+    """One row a day."""
+    return log.groupBy(F.to_date("timestamp").alias("day")).agg(*daily_columns()).drop("p99_ms")
 
 
 def intent_mix(log: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supportlake.plans import knowledge, retrieval, rulesets, service
+from supportlake.plans import knowledge, retrieval, rulesets, service, upkeep
 
-MODULES = (retrieval, knowledge, service, rulesets)
+MODULES = (retrieval, knowledge, service, rulesets, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,12 +127,15 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
-def read_jdbc_table(spark: SparkSession, url: str, table: str, props: dict[str, str]) -> DataFrame:
-    """Orders and tracking from a database; filters and columns are pushed down."""
-    return spark.read.jdbc(url, table, properties=props)
+def read_jdbc_table(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
+    """Orders and tracking from a database; filters and columns are pushed down. With a numeric `column` and its bounds, `parts` tasks read ranges of it."""
+    if column is None:
+        return spark.read.jdbc(url, table, properties=props)
+    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=props)
 
 
-def load_report(parsed: DataFrame) -> DataFrame:
-    """Counts by status, paragraphs and cost."""
+def load_report(parsed: DataFrame, errors: str = "errors") -> DataFrame:
+    """Counts by status, paragraphs, cost, and the errors of all files (an array column, one entry an error) in order."""
     by = [F.count_if(F.col("status") == s).alias(s) for s in ("success", "partial", "failed", "skipped")]
-    return parsed.agg(*by, F.sum("n_paragraphs").alias("n_paragraphs"), F.round(F.sum("api_cost"), 4).alias("api_cost"))
+    told = F.sort_array(F.flatten(F.collect_list(errors))) if errors in parsed.columns else F.array().cast("array<string>")
+    return parsed.agg(*by, F.sum("n_paragraphs").alias("n_paragraphs"), F.round(F.sum("api_cost"), 4).alias("api_cost"), told.alias("errors"))

@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from supportlake.operators import clean, index
+from supportlake.operators import clean, index, oplog
 
 
 def stream_daily_stats(log: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """One row a day once the watermark has passed it; later rows are dropped."""
-    return (
-        log.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", "1 day")).agg(F.count("*").alias("n_queries"), F.sum("total_time_ms").alias("sum_ms"))
-        .select(F.col("window.start").alias("day"), "n_queries", F.round(F.col("sum_ms") / F.col("n_queries"), 4).alias("avg_ms"))
-    )
+    """The columns of the daily statistics, one row a day once the watermark has passed it; later rows are dropped. Also over a table."""
+    n = log.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", "1 day")).agg(*oplog.daily_columns())
+    return n.select(F.col("window.start").alias("day"), *(c for c in n.columns if c != "window"))
 
 
 def stream_rate(events: DataFrame, key: str, seconds: int = 60, limit: int = 120, watermark: str = "5 minutes") -> DataFrame:
@@ -65,9 +63,9 @@ def stream_ingest(spark: SparkSession, source: DataFrame, folder: str, checkpoin
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_alerts(log: DataFrame, slow_ms: float = 3000.0, watermark: str = "1 day") -> DataFrame:
-    """Days whose mean latency is above the limit."""
-    return stream_daily_stats(log, watermark).filter(F.col("avg_ms") > slow_ms)
+def stream_alerts(log: DataFrame, limits: dict[str, float] | None = None, watermark: str = "1 day") -> DataFrame:
+    """One row a day and metric of the daily statistics above its limit. `p99_ms` is the approximate percentile, as a stream keeps no ranks."""
+    return oplog.alerts(stream_daily_stats(log, watermark), limits or oplog.LIMITS)
 
 
 def stream_tickets(changes: DataFrame) -> DataFrame:
