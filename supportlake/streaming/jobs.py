@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from supportlake.operators import clean, index, oplog
+from supportlake.functions import lexicons as lex
+from supportlake.operators import chunk, clean, index, oplog
 
 
 def stream_daily_stats(log: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -24,45 +27,83 @@ def stream_rate(events: DataFrame, key: str, seconds: int = 60, limit: int = 120
     return n.select(F.col("window.start").alias("start"), key, "requests", (F.col("requests") > limit).alias("over"))
 
 
-MEMORY = "session_id string, turns int, last_text string"
+MEMORY = "session_id string, turns int, last_text string, n_entities int, ledger string"
+#: Turns that a session's state keeps, and characters of each.
+KEPT_TURNS, KEPT_CHARS = 60, 180
 
 
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    turns, texts = state.get if state.exists else (0, "")
-    kept = [t for t in texts.split("\x1f") if t]
-    for b in batches:
-        for t in b.sort_values("msg_id").content.fillna(""):
-            turns += 1
-            kept = [*kept[-59:], t[:180]]
-    state.update((turns, "\x1f".join(kept)))
-    state.setTimeoutDuration(30 * 60 * 1000)
-    yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "last_text": [kept[-1] if kept else ""]})
+def _values(text: str, rules) -> Iterator[tuple[str, str]]:
+    """(type, value) of the entities of a text, as the batch operator extracts them."""
+    for kind, pattern in rules:
+        for found in re.findall(pattern, text):
+            if kind == "coupon":
+                yield kind, re.sub(r"\s+", "", found)
+            elif kind == "order":
+                yield kind, re.sub(r"^订单号\s*[:：]?\s*", "", found).strip()
+            else:
+                yield kind, found.strip()
 
 
-def stream_session_memory(messages: DataFrame) -> DataFrame:
-    """Turns and recent texts of a session as keyed state, dropped after half an hour of silence."""
-    users = messages.filter("role = 'user'").select("session_id", "msg_id", "content")
-    return users.groupBy("session_id").applyInPandasWithState(_remember, MEMORY, "turns int, texts string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def _remember(kept_turns: int, kept_chars: int, idle_minutes: int, rules):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turns, texts, known = state.get if state.exists else (0, "[]", "{}")
+        kept, ledger = json.loads(texts), json.loads(known)
+        for b in batches:
+            for number, t in b.sort_values("msg_id")[["msg_id", "content"]].fillna({"content": ""}).itertuples(index=False):
+                turns += 1
+                kept = [*kept, t[:kept_chars]][-kept_turns:]
+                for kind, value in _values(t, rules):
+                    ledger[f"{kind}:{value}"] = int(number)  # the latest message, in order of first sight
+        state.update((turns, json.dumps(kept), json.dumps(ledger)))
+        state.setTimeoutDuration(idle_minutes * 60 * 1000)
+        yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "last_text": [kept[-1] if kept else ""], "n_entities": [len(ledger)], "ledger": [json.dumps(ledger, ensure_ascii=False)]})
 
+    return step
 
-def stream_ingest(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str):
-    """New documents (source_file, text) cleaned and put in place of their source's rows, batch by batch."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        rows = clean.clean(batch).withColumn("access_level", F.lit(0))
-        touched = index.index_rows(rows)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            old = spark.read.parquet(folder).join(F.broadcast(touched.select("source_bucket").distinct()), "source_bucket", "left_semi")  # at most 64 buckets
-            touched = index.replace_by_source(old, touched)
-        touched.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(folder)
+def stream_session_memory(messages: DataFrame, kept_turns: int = KEPT_TURNS, kept_chars: int = KEPT_CHARS, idle_minutes: int = 30, rules=lex.ENTITIES) -> DataFrame:
+    """Turns, recent texts and the entity ledger of a session as keyed state, dropped after silence."""
+    users = messages.filter("role = 'user'").select("session_id", "msg_id", "content")
+    return users.groupBy("session_id").applyInPandasWithState(_remember(kept_turns, kept_chars, idle_minutes, rules), MEMORY, "turns int, texts string, ledger string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_ingest(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str, overlap: int = 80):
+    """New documents (source_file, text) cleaned, chunked and put in place of their source's rows, batch by batch.
+
+    The rows of the touched buckets are written aside first, so no folder is read while it is replaced; a source
+    whose text comes to nothing loses its rows.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(batch: DataFrame, number: int) -> None:
+        cleaned = batch.select("source_file", clean.clean_text(F.col("text")).alias("text"), F.lit(None).cast("string").alias("doc_type"))
+        rows = chunk.number_chunks(chunk.with_overlap(chunk.split_chosen(cleaned, overlap=overlap))).withColumn("access_level", F.lit(0))
+        fresh = index.index_rows(rows)
+        names = batch.select("source_file", F.pmod(F.xxhash64("source_file"), F.lit(index.BUCKETS)).cast("int").alias("source_bucket")).distinct()
+        if fs.exists(path(folder)):
+            old = spark.read.parquet(folder).join(F.broadcast(names.select("source_bucket").distinct()), "source_bucket", "left_semi")  # at most 64 buckets
+            fresh = old.join(names.select("source_file"), "source_file", "left_anti").unionByName(fresh, allowMissingColumns=True)
+        aside = f"{folder}.aside-{number}"
+        fresh.write.mode("overwrite").parquet(aside)
+        whole = spark.read.schema(fresh.schema).parquet(aside)
+        whole.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(folder)
+        touched = {r.source_bucket for r in names.select("source_bucket").distinct().collect()}
+        for bucket in touched - {r.source_bucket for r in whole.select("source_bucket").distinct().collect()}:
+            fs.delete(path(f"{folder}/source_bucket={bucket}"), True)
+        fs.delete(path(aside), True)
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_agent_replies(messages: DataFrame) -> DataFrame:
+    """New replies of agents (id, session_id, role, content), each once, as the checkpoint remembers what was sent."""
+    return messages.filter("role = 'agent'").select("session_id", "id", "content")
+
+
 def stream_alerts(log: DataFrame, limits: dict[str, float] | None = None, watermark: str = "1 day") -> DataFrame:
     """One row a day and metric of the daily statistics above its limit. `p99_ms` is the approximate percentile, as a stream keeps no ranks."""
     return oplog.alerts(stream_daily_stats(log, watermark), limits or oplog.LIMITS)

@@ -9,7 +9,7 @@ import pytest
 from supportlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(set(registry.queries()) & set(registry.oracle_sql()) - {"r16_rerank"})
+NAMES = sorted(set(registry.queries()) & set(registry.oracle_sql()))
 
 
 @pytest.fixture(scope="module")

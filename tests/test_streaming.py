@@ -1,11 +1,12 @@
 """Streams run to their end over files and agree with their batch twins."""
 
 import datetime as dt
+import json
 import tempfile
 
 from pyspark.sql import functions as F
 
-from supportlake.operators import oplog
+from supportlake.operators import oplog, sessions
 from supportlake.streaming import jobs
 
 
@@ -23,10 +24,14 @@ def stream_of(spark, df):
 
 
 def test_daily_stats(spark):
-    rows = [(dt.datetime(2024, 1, d, 5), float(d)) for d in (1, 1, 2, 9)]
-    log = spark.createDataFrame(rows, "timestamp timestamp, total_time_ms double")
-    got = {r.day.day: (r.n_queries, r.avg_ms) for r in drained(jobs.stream_daily_stats(stream_of(spark, log))).collect()}
-    assert got == {1: (2, 1.0), 2: (1, 2.0)}
+    rows = [(dt.datetime(2024, 1, d, 5), float(d), 6.0, 0.5, d == 2, "hit" if d == 1 else None, 10, 5) for d in (1, 1, 2, 9)]
+    log = spark.createDataFrame(rows, "timestamp timestamp, total_time_ms double, llm_cost double, embedding_cost double, hallucination_detected boolean, cache_hit string, prompt_tokens long, completion_tokens long")
+    got = {r.day.day: (r.n_queries, r.avg_ms, r.cost, r.hallucination_rate, r.cache_hit_rate, r.total_tokens) for r in drained(jobs.stream_daily_stats(stream_of(spark, log))).collect()}
+    assert got == {1: (2, 1.0, 13.0, 0.0, 1.0, 30), 2: (1, 2.0, 6.5, 1.0, 0.0, 15)}
+    batch = {r.day.day: (r.n_queries, r.avg_ms, r.cost, r.hallucination_rate, r.cache_hit_rate, r.total_tokens) for r in oplog.daily_stats(log).collect()}
+    assert {d: v for d, v in batch.items() if d < 9} == got
+    alerts = sorted((r.day.day, r.metric) for r in drained(jobs.stream_alerts(stream_of(spark, log), {"hallucination_rate": 0.05, "cost": 10.0, "p99_ms": 1.5})).collect())
+    assert alerts == [(1, "cost"), (2, "hallucination_rate"), (2, "p99_ms")]
 
 
 def test_request_rate(spark):
@@ -36,9 +41,16 @@ def test_request_rate(spark):
 
 
 def test_session_memory(spark):
-    m = spark.createDataFrame([("s", 1, "user", "a"), ("s", 2, "assistant", "b"), ("s", 3, "user", "c"), ("t", 1, "user", None)], "session_id string, msg_id int, role string, content string")
-    out = {r.session_id: (r.turns, r.last_text) for r in drained(jobs.stream_session_memory(stream_of(spark, m)), "update").collect()}
-    assert out == {"s": (2, "c"), "t": (1, "")}
+    m = spark.createDataFrame([("s", 1, "user", "满 300 减 50 券"), ("s", 2, "assistant", "b"), ("s", 3, "user", "OD123456 满300减50券 30元"), ("t", 1, "user", None)], "session_id string, msg_id int, role string, content string")
+    out = {r.session_id: (r.turns, r.last_text, r.ledger) for r in drained(jobs.stream_session_memory(stream_of(spark, m)), "update").collect()}
+    assert out["t"] == (1, "", "{}") and out["s"][:2] == (2, "OD123456 满300减50券 30元")
+    batch = {f"{r.type}:{r.value}": r.last_msg for r in sessions.ledger(sessions.entities(m.filter("role = 'user'"))).collect() if r.session_id == "s"}
+    assert json.loads(out["s"][2]) == batch
+
+
+def test_agent_replies_are_sent_once(spark):
+    m = spark.createDataFrame([("s", 1, "agent", "a"), ("s", 2, "user", "b")], "session_id string, id int, role string, content string")
+    assert [(r.session_id, r.id) for r in drained(jobs.stream_agent_replies(stream_of(spark, m))).collect()] == [("s", 1)]
 
 
 def test_tickets_keep_latest_state(spark):
@@ -59,5 +71,7 @@ def test_ingest_replaces_sources(spark):
     for text in ("the first version of it", "the second version of it"):
         src = stream_of(spark, spark.createDataFrame([("a", text), ("b", "another text of some length")], "source_file string, text string"))
         jobs.stream_ingest(spark, src, folder, tempfile.mkdtemp(dir=ck)).awaitTermination(120)
-    out = spark.read.parquet(folder).select("source_file", F.col("text")).collect()
-    assert sorted(map(tuple, out)) == [("a", "the second version of it"), ("b", "another text of some length")]
+    out = spark.read.parquet(folder).select("source_file", F.col("text"), "chunk_index", "chunk_total").collect()
+    assert sorted(map(tuple, out)) == [("a", "the second version of it", 0, 1), ("b", "another text of some length", 0, 1)]
+    jobs.stream_ingest(spark, stream_of(spark, spark.createDataFrame([("a", " ")], "source_file string, text string")), folder, tempfile.mkdtemp(dir=ck)).awaitTermination(120)
+    assert [r.source_file for r in spark.read.parquet(folder).collect()] == ["b"]
