@@ -47,9 +47,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from supportlake.llm.rollups import corpus_rollup
 
-    return corpus_rollup(spark, sf_dir)
+    first, second = (public_tokenizers.path("byte_bpe_50k.json"), None), (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return corpus_rollup(spark, documents(spark, sf_dir), first, second)
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from supportlake.llm.quality import quality_sql
-    from supportlake.llm.rollups import ORACLE as ROLLUP_SQL
 
-    return {"op6_token_rollups": ROLLUP_SQL, "op10_quality_rules": quality_sql()}
+    return {"op10_quality_rules": quality_sql()}

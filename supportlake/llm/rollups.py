@@ -9,17 +9,23 @@ replayed commit changes nothing. `compact` folds committed batches into one, whi
 
 Defined results: null source, language or version are keys of their own; a null count is 0; repeated
 rows count each time (the change feed says what happened); an empty batch commits no deltas but its
-id; groups whose documents are all gone are left out of totals; unknown kinds of change raise.
+id; groups whose documents are all gone are left out of totals; unknown kinds of change raise. Counts are
+of whole texts, whatever their length; a null text has no ids; an empty table gives empty totals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import SPACE, documents, scratch, store
+from supportlake.llm.common import scratch, store
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -50,8 +56,14 @@ class Rollup:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
 
     def _live(self) -> dict[str, set[str]]:
-        """Folders that count, with their batch ids. A folder whose ids are all in a larger one is superseded."""
-        ids = {n: {r.value for r in self.spark.read.text(f"{self.folder}/batches/{n}/ids").collect()} for n in self._names()}
+        """Folders that count, with their batch ids, read in one job. A folder whose ids are all in a larger one is superseded."""
+        names = self._names()
+        if not names:
+            return {}
+        rows = self.spark.read.text([f"{self.folder}/batches/{n}/ids" for n in names]).select("value", F.col("_metadata.file_path").alias("path")).collect()
+        ids: dict[str, set[str]] = {n: set() for n in names}
+        for r in rows:
+            ids[unquote(r.path.rsplit("/", 3)[1])].add(r.value)
         return {n: own for n, own in ids.items() if not any(own < other for other in ids.values())}
 
     def committed(self) -> list[str]:
@@ -59,13 +71,24 @@ class Rollup:
         return sorted(set().union(*self._live().values()))
 
     def _put(self, name: str, ids: list[str], rows: DataFrame) -> bool:
+        """Write aside, then rename into place. Of two committers one wins: a rename onto a folder fails, or on some file systems lands inside it, and is then taken back."""
         aside, place = self._path(scratch(self.spark, "rollup")), self._path(f"{self.folder}/batches/{name}")
         rows.write.parquet(f"{aside}/deltas")
         self.spark.createDataFrame([(i,) for i in ids], "value string").coalesce(1).write.text(f"{aside}/ids")
         self._fs.mkdirs(place.getParent())
-        if self._fs.exists(place):
+        inside = self._path(f"{self.folder}/batches/{name}/{aside.getName()}")
+        won = not self._fs.exists(place) and self._rename(aside, place) and not self._fs.exists(inside)
+        for left in (aside, inside) if not won else ():
+            self._fs.delete(left, True)
+        return won
+
+    def _rename(self, old, new) -> bool:
+        try:
+            return self._fs.rename(old, new)
+        except Py4JJavaError:  # some file systems raise where the target is there
+            if not self._fs.exists(new):
+                raise
             return False
-        return self._fs.rename(aside, place)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch once; False if it was there already."""
@@ -88,51 +111,41 @@ class Rollup:
             self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
 
 
-def word_count(text: Column) -> Column:
-    """Version words-1: runs of characters other than ASCII white space."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
+def token_counts(docs: DataFrame, vocabularies: dict[str, tuple[str, str | None]], keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """Columns of `keep` and one column a vocabulary with the number of ids of each whole text (null: none).
 
+    vocabularies: name -> (path, split pattern); with a pattern the file holds ranks for tiktoken, else a tokenizers file.
+    """
+    shape = ", ".join(f"{c} {t}" for c, t in docs.select(*keep).dtypes) + "".join(f", {name} long" for name in vocabularies)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from supportlake.llm.tokens import by_bytes, library_encoder, rank_encoder
 
-def mark_count(text: Column) -> Column:
-    """Version words-2: runs of ASCII letters and digits or of other characters that are not white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[A-Za-z0-9]+|[^A-Za-z0-9{SPACE[1:]}+")).cast("long")
+        for b in by_bytes(frames):
+            counts = [np.diff((rank_encoder(path, pattern) if pattern else library_encoder(path)).encode_column(b["text"])[1]) for path, pattern in vocabularies.values()]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *map(pa.array, counts)], names=[*keep, *vocabularies])
 
+    return docs.select(*keep, "text").mapInArrow(run, shape)
 
-def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def corpus_rollup(spark: SparkSession, docs: DataFrame, first: tuple[str, str | None], second: tuple[str, str | None], least: int = 20) -> DataFrame:
     """Four commits over all documents and the totals after them.
 
-    All documents arrive under words-1; those with fewer than 20 words are deleted; all that are left
-    are counted under words-2 as well; the words-1 counts are revised to leave out words that hold a
-    digit. Every batch is committed twice, which must not matter.
+    All documents arrive under the first vocabulary; those of fewer than `least` ids are deleted; all that are
+    left are counted under the second one as well; the first counts of English documents are revised to
+    hold an end id. Every batch is committed twice, which must not matter.
     """
-    docs = documents(spark, sf_dir).select("source", "lang", word_count(F.col("text")).alias("n"), mark_count(F.col("text")).alias("m"), _digit_words(F.col("text")).alias("d"))
-    docs = store(docs, "rollup-counts")
-    one = docs.withColumn("tokenizer", F.lit("words-1"))
-    left = one.filter("n >= 20")
+    docs = store(token_counts(docs, {"a": first, "b": second}), "rollup-counts")
+    one, old = docs.withColumn("tokenizer", F.lit("byte-50k")), F.lit(None).cast("long").alias("old_tokens")
+    left = one.filter(F.col("a") >= least)
     batches = {
-        "0001-arrival": one.select(*KEYS, F.lit("insert").alias("op"), F.col("n").alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")),
-        "0002-short": one.filter("n < 20").select(*KEYS, F.lit("delete").alias("op"), F.col("n").alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")),
-        "0003-second-version": left.withColumn("tokenizer", F.lit("words-2")).select(*KEYS, F.lit("insert").alias("op"), F.col("m").alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")),
-        "0004-revision": left.filter("d > 0").select(*KEYS, F.lit("revise").alias("op"), (F.col("n") - F.col("d")).alias("n_tokens"), F.col("n").alias("old_tokens")),
+        "0001-arrival": one.select(*KEYS, F.lit("insert").alias("op"), F.col("a").alias("n_tokens"), old),
+        "0002-short": one.filter(F.col("a") < least).select(*KEYS, F.lit("delete").alias("op"), F.col("a").alias("n_tokens"), old),
+        "0003-second-version": left.withColumn("tokenizer", F.lit("byte-multi-50k")).select(*KEYS, F.lit("insert").alias("op"), F.col("b").alias("n_tokens"), old),
+        "0004-end-ids": left.filter("lang = 'en'").select(*KEYS, F.lit("revise").alias("op"), (F.col("a") + 1).alias("n_tokens"), F.col("a").alias("old_tokens")),
     }
     rollup = Rollup(spark, scratch(spark, "token-rollup"))
-    for name, changes in batches.items():
-        rollup.commit(name, changes)
-    for name, changes in batches.items():
-        rollup.commit(name, changes)
+    for _ in range(2):
+        for name, changes in batches.items():
+            rollup.commit(name, changes)
     return rollup.totals()
-
-
-def _digit_words(text: Column) -> Column:
-    """Words that hold a digit: from a word's first digit to its end is one match."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[0-9][^{SPACE[1:]}*")).cast("long")
-
-
-ORACLE = r"""
-WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
-                  len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+')) AS m,
-                  len(regexp_extract_all(coalesce(text, ''), '[^0-9\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*')) AS g FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(n - g) AS BIGINT) AS n_tokens FROM d WHERE n >= 20 GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'words-2', count(*), CAST(sum(m) AS BIGINT) FROM d WHERE n >= 20 GROUP BY source, lang
-"""

@@ -166,6 +166,19 @@ def vocabulary_size(vocabulary: str) -> int:
     return _tokenizer(vocabulary).get_vocab_size()
 
 
+@cache
+def rank_encoder(path: str, pattern: str) -> PieceEncoder:
+    """One encoder a worker and file of ranks, backed by the tiktoken library."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return PieceEncoder(encode, lambda word, spaced: encode(" " + word if spaced else word), len(ranks))
+
+
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 

@@ -188,6 +188,37 @@ def test_rollups_are_idempotent(spark):
         r.commit("4", spark.createDataFrame([("a", "en", "v1", "odd", 1, None)], change))
 
 
+def test_a_lost_race_leaves_nothing(spark):
+    change = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long"
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], change)
+    r = rollups.Rollup(spark, scratch(spark, "rollup-race"))
+    assert r._put("1", ["1"], rollups.deltas(rows)) and not r._put("1", ["1"], rollups.deltas(rows))
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)] and r.committed() == ["1"]
+
+
+def test_corpus_rollup_counts_ids(spark, docs, corpus):
+    import base64
+
+    import tiktoken
+
+    t = Tokenizer.from_file(VOCABULARY)
+    t.encode_special_tokens = True
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, x in enumerate(corpus):
+        a, b = len(t.encode(x or "", add_special_tokens=False).ids), len(other.encode_ordinary(x or ""))
+        if a >= 20:
+            for key, n in (("byte-50k", a + 1), ("byte-multi-50k", b)):
+                got = want["src0" if i % 3 else "src1", "en", key]
+                got[0], got[1] = got[0] + 1, got[1] + n
+    first, second = (VOCABULARY, None), (path, P.PATTERN)
+    rows = rollups.corpus_rollup(spark, docs, first, second).collect()
+    assert {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rows} == dict(want)
+    assert rollups.corpus_rollup(spark, docs.filter("doc_id < 0"), first, second).count() == 0
+
+
 def check_pieces(rows, texts, end_id, window=2048):
     t = Tokenizer.from_file(VOCABULARY)
     t.encode_special_tokens = True
