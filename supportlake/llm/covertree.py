@@ -9,9 +9,10 @@ levels, radii halving) and the pair of roots is traversed. A node pair is pruned
 d - r1 - r2 exceeds the threshold; pairs of small nodes are compared exactly, in double precision.
 
 Defined results: rows with a null label, a null vector, a zero vector, null or non-finite components
-or a length unlike others of the label link with nothing (lengths that differ never match); rows
-that share a vec_id are one vector; a null vec_id has no component and is kept; an empty table gives
-an empty one; other columns are ignored.
+or a length unlike others of the label link with nothing (lengths that differ never match); rows that
+share a vec_id are one vector: each of their embeddings may link it, its links add up, and its rows share
+one component; a cosine equal to the threshold is a link; a null vec_id has no component and is kept; an
+empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import batches, store
+from supportlake.llm.common import store
 from supportlake.llm.components import connected_components
 from supportlake.llm.minhash import Forest
 
@@ -100,25 +100,49 @@ def leaf_pairs(a: Node, b: Node, limit: float) -> Iterator[tuple[np.ndarray, np.
 
 
 def clean_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, label, vector, w): one row for each distinct usable vector of a label, w rows hold it."""
+    """(vec_id, label, vector, key): the distinct usable vectors of each id. Equal vectors of a label share the 128-bit key."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     usable = table.filter("vec_id is not null and label is not null and embedding is not null").filter(some & ~F.coalesce(bad, F.lit(True)))
     plain = F.transform(v, lambda x: x + 0.0)  # -0.0 and 0.0 are one value
-    return usable.select(F.col("vec_id").cast("long"), "label", plain.alias("vector")).distinct()
+    rows = usable.select(F.col("vec_id").cast("long"), "label", plain.alias("vector"))
+    key = F.struct(F.xxhash64("label", "vector").alias("h"), F.xxhash64(F.lit(7), "vector", "label").alias("g"))
+    return rows.withColumn("key", key).dropDuplicates(["vec_id", "key"])
 
 
-def cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Points with their cell and part, and the cells (label, cell, center, radius, parts).
+def distinct_points(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each distinct vector of a label (key, id, least, label, vector, w), w rows hold it; and links (u, v) of points that share a vec_id.
+
+    A point is named by its smallest vec_id, or by a hash where that vec_id has several vectors.
+    """
+    sums = rows.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
+    many = store(rows.groupBy("vec_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("vec_id", "lo"), "cover-many")
+    name = F.when(F.col("lo").isNull(), F.col("least")).otherwise(F.col("key.h"))
+    points = store(sums.join(many, F.col("least") == F.col("vec_id"), "left").select("key", name.alias("id"), "least", "label", "vector", "w"), "cover-points")
+    named = points.select("key", "id")
+    each = rows.select("vec_id", "key").join(many, "vec_id").join(named.withColumnRenamed("id", "u"), "key")
+    return points, store(each.join(named.select(F.col("key").alias("lo"), F.col("id").alias("v")), "lo").select("u", "v"), "cover-same")
+
+
+#: Points that one task compares with its label's centres.
+PLACED = 20_000
+
+
+def cells(points: DataFrame, limit: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Points with their cell and its number of parts, and the pairs of cells of a label whose covering balls come within `limit`.
 
     Centres: as many as the label has blocks, MAX_CELLS at most, from a sample of about 8 points a centre
-    by hash, each the furthest from those before. Only speed depends on them.
+    by hash, each the furthest from those before. Only speed depends on them. Points meet the centres in
+    tasks of PLACED points of a label, as one matrix product; pairs of cells are found in one task a label,
+    which holds MAX_CELLS cells at most.
     """
+    kind = dict(points.dtypes)["label"]
     sized = points.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     wanted = F.least(F.ceil(F.col("n") / block), F.lit(MAX_CELLS))
-    sample = points.withColumn("dim", F.size("vector")).join(sized.select("label", "dim", "n"), ["label", "dim"])
-    sample = sample.filter((wanted > 1) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.least(wanted * 8_000_000 / F.col("n"), F.lit(1_000_000))))
+    known = points.withColumn("dim", F.size("vector")).join(sized, ["label", "dim"])
+    share = F.least(wanted * 8_000_000 / F.col("n"), F.lit(1_000_000))
+    sample = known.filter((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share) | (F.col("n") <= 8 * block))
 
     def spread(g: pd.DataFrame) -> pd.DataFrame:
         x, k = unit(np.stack(g.sort_values("id").vector.tolist())), min(math.ceil(g.n.iloc[0] / block), MAX_CELLS)
@@ -126,51 +150,61 @@ def cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         while len(picked) < min(k, len(x)):
             picked.append(int(near.argmax()) if picked else 0)
             near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(axis=1))
-        return pd.DataFrame({"label": g.label.iloc[0], "dim": g.dim.iloc[0], "centers": [x[picked].ravel()]})
+        return pd.DataFrame({"label": g.label.iloc[0], "dim": g.dim.iloc[0], "n": g.n.iloc[0], "centers": [x[picked].ravel()]})
 
-    kind = dict(points.dtypes)["label"]
-    centers = sample.groupBy("label", "dim").applyInPandas(spread, f"label {kind}, dim int, centers array<double>")
-    placed = points.withColumn("dim", F.size("vector")).join(sized.select("label", "dim"), ["label", "dim"]).join(store(centers, "cover-centers"), ["label", "dim"], "left")
-
-    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(frames, 512):
-            cell, dist = [], []
-            for v, flat in zip(b["vector"].to_pylist(), b["centers"].to_pylist(), strict=True):
-                x = np.array(v)
-                x /= np.sqrt((x * x).sum())
-                d = np.sqrt(((np.array(flat).reshape(-1, len(x)) - x) ** 2).sum(axis=1)) if flat else np.array([2.0])
-                cell.append(int(d.argmin()))
-                dist.append(float(d.min()))
-            keep = b.select(["id", "label", "dim", "w", "vector"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(cell, pa.int32()), pa.array(dist)], names=[*keep.schema.names, "cell", "dist"])
+    centers = store(sample.select("id", "label", "dim", "n", "vector").groupBy("label", "dim").applyInPandas(spread, f"label {kind}, dim int, n long, centers array<double>"), "cover-centers")
+    deals = F.ceil(F.col("n") / PLACED).cast("int")
+    dealt = known.select("id", "label", "dim", "w", "vector", F.pmod(F.xxhash64(F.lit(3), "id"), deals).cast("int").alias("deal"))
+    copies = centers.select("label", "dim", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), "centers")
+
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        cell, dist = np.zeros(len(left), dtype=np.int32), np.full(len(left), 2.0)
+        if len(left) and len(right):
+            x, c = unit(np.stack(left.vector.tolist())), np.asarray(right.centers.iloc[0]).reshape(-1, int(left.dim.iloc[0]))
+            for at in range(0, len(x), 2048):
+                dots = x[at : at + 2048] @ c.T
+                best = dots.argmax(axis=1)
+                cell[at : at + 2048] = best
+                dist[at : at + 2048] = np.sqrt(((x[at : at + 2048] - c[best]) ** 2).sum(axis=1))
+        return left.drop(columns="deal").assign(cell=cell, dist=dist)
 
     schema = f"id long, label {kind}, dim int, w long, vector array<double>, cell int, dist double"
-    in_cells = store(placed.select("id", "label", "dim", "w", "vector", "centers").mapInArrow(place, schema), "cover-cells")
-    summary = in_cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.min_by("vector", "dist").alias("near"), F.min("dist").alias("least"))
-    return in_cells, summary.withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    placed = dealt.groupBy("label", "dim", "deal").cogroup(copies.groupBy("label", "dim", "deal")).applyInPandas(place, schema)
+    in_cells = store(placed, "cover-cells")
+    summary = in_cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"))
+    parts = F.ceil(F.col("n") / block).cast("int").alias("parts")
+
+    def near_cells(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["label", "dim", "c1", "c2", "k1", "k2"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=names)
+        at, radius, k = left.cell.to_numpy(), left.radius.to_numpy(), left.parts.to_numpy()
+        c = np.asarray(right.centers.iloc[0]).reshape(-1, int(left.dim.iloc[0]))[at]
+        one, two = [], []
+        for i in range(len(c)):
+            apart = np.sqrt(((c[i:] - c[i]) ** 2).sum(axis=1))
+            j = i + np.flatnonzero((apart - radius[i:] - radius[i] <= limit + 1e-6) | (np.arange(len(c) - i) == 0))
+            one.append(np.full(len(j), i)), two.append(j)
+        i, j = np.concatenate(one), np.concatenate(two)
+        return pd.DataFrame({"label": left.label.iloc[0], "dim": left.dim.iloc[0], "c1": at[i], "c2": at[j], "k1": k[i], "k2": k[j]})[names]
+
+    rows = summary.select("label", "dim", "cell", "radius", parts)
+    pairs = rows.groupBy("label", "dim").cogroup(centers.groupBy("label", "dim")).applyInPandas(near_cells, f"label {kind}, dim int, c1 int, c2 int, k1 int, k2 int")
+    return in_cells.join(rows.drop("radius"), ["label", "dim", "cell"]), pairs
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row an input row."""
     limit = math.sqrt(2 - 2 * cosine)
     rows = store(clean_vectors(table), "cover-rows")
-    points = store(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "cover-points")
-    in_cells, summary = cells(points)
-
-    # Cells around `near` (a point of the cell, within `least` of its centre): balls that cannot touch are left out.
-    ball = F.struct("near", (F.col("radius") + F.col("least")).alias("reach"))
-    one = summary.select("label", "dim", F.col("cell").alias("c1"), F.col("parts").alias("k1"), ball.alias("b1"))
-    two = summary.select("label", "dim", F.col("cell").alias("c2"), F.col("parts").alias("k2"), ball.alias("b2"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("b1.near", "b2.near", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot / (norm(F.col("b1.near")) * norm(F.col("b2.near")))))
-    pairs = one.join(two, ["label", "dim"]).filter("c1 <= c2").filter((F.col("c1") == F.col("c2")) | (apart - F.col("b1.reach") - F.col("b2.reach") <= limit + 1e-6))
-    parts = F.explode(F.sequence(F.lit(0), F.col("k1") - 1))
-    tasks = pairs.select("label", "dim", "c1", "c2", "k2", parts.alias("p1")).select("label", "dim", "c1", "c2", "p1", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)).alias("p2"))
-    tasks = store(tasks.filter("c1 < c2 or p1 <= p2").withColumn("task", F.xxhash64("label", "dim", "c1", "c2", "p1", "p2")), "cover-tasks")
-
-    held = in_cells.join(summary.select("label", "dim", "cell", "parts"), ["label", "dim", "cell"])
-    held = held.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    points, same = distinct_points(rows)
+    in_cells, pairs = cells(points, limit)
+
+    parts = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    tasks = pairs.select("label", "dim", "c1", "c2", "k2", parts("k1").alias("p1")).select("label", "dim", "c1", "c2", "p1", parts("k2").alias("p2"))
+    tasks = store(tasks.filter("c1 <> c2 or p1 <= p2").withColumn("task", F.xxhash64("label", "dim", "c1", "c2", "p1", "p2")), "cover-tasks")
+
+    held = in_cells.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     side = lambda c, p, s: tasks.select("label", "dim", F.col(c).alias("cell"), F.col(p).alias("part"), "task", F.lit(s).alias("side"), ((F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))).alias("self"))
     sides = side("c1", "p1", 0).union(side("c2", "p2", 1).filter("not self"))
     dealt = held.join(sides, ["label", "dim", "cell", "part"]).select("task", "side", "self", "id", "w", "vector")
@@ -213,10 +247,11 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     hits = store(dealt.groupBy("task").applyInPandas(compare, "id long, links long, root long"), "cover-hits")
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = store(connected_components(hits.select(F.col("id").alias("u"), F.col("root").alias("v"))), "cover-groups")
-    known = points.join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    each = rows.join(known, ["label", "vector"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
+    groups = store(connected_components(hits.select(F.col("id").alias("u"), F.col("root").alias("v")).union(same)), "cover-groups")
+    known = points.select("key", "id", "least", "w").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    # A group's id is the smallest vec_id of its points.
+    named = known.join(known.groupBy("group").agg(F.min("least").alias("smallest")), "group").select("key", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "smallest")
+    each = rows.select("vec_id", "key").join(named, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("smallest").alias("smallest"))
     out = table.select(F.col("vec_id").cast("long")).join(each, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

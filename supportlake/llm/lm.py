@@ -6,7 +6,7 @@ counts held out from training: one fold is deleted, the other training folds giv
 Scores then use the counts of all training folds.
 
 Documents are dealt into chunks by hash. A chunk sends its distinct unigrams and bigrams (64-bit
-hashes, counted) to count buckets, one packed row for each chunk and bucket; so a frequent word costs
+hashes, of which bigrams keep 48 bits inside a bucket, counted) to count buckets, one packed row for each chunk and bucket; so a frequent word costs
 one entry a chunk. A bucket sums the counts of all chunks and returns to each chunk, entry by entry in the
 order it sent them, what the rest of the corpus adds. A second pass over the texts meets these sums.
 Chunks and buckets keep a fixed size, their number grows with the input.
@@ -70,7 +70,7 @@ def counted(keys: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, kept.astype(np.int64), gone.astype(np.int64)
 
 
-#: Bytes kept of a key. Its count bucket is told by the bits above, so 48 bits are compared within one bucket only.
+#: Bytes kept of a key. Its count bucket is told by its upper half, so 48 bits are compared within one bucket only.
 KINDS = {"uni": 8, "bi": 6}
 COUNTS = ", ".join(f"{k}_{f} binary" for k in KINDS for f in ("kept", "gone"))
 FIELDS = ", ".join(f"{k}_keys binary" for k in KINDS) + ", " + COUNTS
@@ -117,7 +117,7 @@ class Chunk:
 
     def dealt(self, kind: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the keys by count bucket, sorted within, and where each bucket begins."""
-        part = ((self.counts[kind][0] >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        part = ((self.counts[kind][0] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 

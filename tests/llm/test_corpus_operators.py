@@ -120,6 +120,7 @@ def test_components(spark):
 def test_vector_links(spark, block, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK", block)
     monkeypatch.setattr(covertree.cells, "__defaults__", (block,))
+    monkeypatch.setattr(covertree, "PLACED", 50)
     rnd = np.random.RandomState(0)
     seeds = rnd.randn(20, 8)
     rows = [(i, [float(x) for x in seeds[i % 20] + rnd.randn(8) * rnd.choice([0, 0.05, 0.2])], i % 3) for i in range(200)]
@@ -138,6 +139,13 @@ def test_vector_links(spark, block, monkeypatch):
     assert covertree.near_vectors(df.filter("vec_id < 0")).count() == 0
 
 
+def test_vectors_that_share_an_id_and_the_exact_threshold(spark):
+    rows = [(3, [1.0, 0.0], "a"), (3, [0.0, 1.0], "a"), (5, [2.0, 0.0], "a"), (9, [0.0, 3.0], "a"), (3, [1.0, 0.0], "a"), (20, [0.6, 0.8], "b"), (21, [1.0, 0.0], "b"), (30, [1.0, 0.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("key", F.lit("mine"))
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df, 0.6).collect()}
+    assert got == {(3, 2, 3, True), (5, 1, 3, False), (9, 1, 3, False), (20, 1, 20, True), (21, 1, 20, False), (30, 0, 30, True)}
+
+
 @pytest.mark.parametrize("chunk", [16_000_000, 3_000])
 def test_language_model(docs, corpus, chunk, monkeypatch):
     learned = []
