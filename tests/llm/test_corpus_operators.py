@@ -284,6 +284,28 @@ def test_packing_deals_related_documents_to_one_shard(spark):
     assert sum(shards[a] == shards[b] for a, b in pairs) >= 0.6 * len(pairs)
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    good = " ".join(f"the word{i} and it{i}" for i in range(60))
+    other = " ".join(f"a thing{i} in place{i}" for i in range(60))
+    long = " ".join(f"the item{i} of that{i}" for i in range(40_000))
+    rows = [(1, good), (2, good), (2, other), (7, other), (None, good), (9, None), (10, ""), (11, "short"), (12, good + " password=hunter22abc"), (1, good), (13, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text"), "kept": F.lit("mine"), "node": F.lit(5)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, found, str(tmp_path))
+        assert found.columns == df.columns, name
+    assert sorted((str(r.doc_id), r.kept, r.node) for r in found.collect()) == [("1", "mine", 5), ("1", "mine", 5), ("13", "mine", 5), ("None", "mine", 5)]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, None, 13} and sum(r.length for r in pieces if r.doc_id == 13) > 100_000
+    empty = df.filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    nulls = spark.createDataFrame([(None, None), (4, None)], df.select("doc_id", "text").schema)
+    assert corpus_pipeline.near_duplicate_stage(spark, nulls, "").count() == 2 and corpus_pipeline.secret_stage(spark, nulls, "").filter("text is null").count() == 2
+    assert sorted((str(r.doc_id), r.length) for r in corpus_pipeline.packing_stage(spark, nulls, "").collect()) == [("4", 1), ("None", 1)]
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     found = spark.read.parquet(f"{sf}/documents.parquet")
