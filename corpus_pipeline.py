@@ -2,6 +2,16 @@
 
 Each stage reads what its predecessor kept; run() writes each stage's result to the shared folder and
 reads it back, so a lost executor never repeats more than one stage.
+
+Defined results, for each stage and for run():
+- a null text counts as an empty one: the quality rules reject it; near-duplicates and secrets leave it as it is
+  (null), packing gives it the end id alone;
+- a null doc_id is a document like others: it is never a duplicate, and its pieces carry a null doc_id;
+- repeated rows and ties: rows that share a doc_id are one document for near-duplicates, so the rows of the smallest
+  doc_id of a group stay, all of them; the other stages treat each row by itself;
+- very long texts are read whole in every stage and cut only into windows;
+- an empty table gives an empty one, with the stage's columns;
+- further columns pass through all stages but the last, under their own names, also those that clash with names used inside.
 """
 
 from __future__ import annotations
