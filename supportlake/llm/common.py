@@ -24,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. Only a session on one machine may lack the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,10 +56,11 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the scratch folder behind a table made by store()."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop(df.sparkSession, folder)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the scratch folders behind tables made by store()."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop(df.sparkSession, folder)
 
 
 def let(value: Column, body) -> Column:

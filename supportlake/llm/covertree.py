@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import store
+from supportlake.llm.common import drop_table, store
 from supportlake.llm.components import connected_components
 from supportlake.llm.minhash import Forest
 
@@ -129,8 +129,8 @@ def distinct_points(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 PLACED = 20_000
 
 
-def cells(points: DataFrame, limit: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Points with their cell and its number of parts, and the pairs of cells of a label whose covering balls come within `limit`.
+def cells(points: DataFrame, limit: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points with their cell and its number of parts, the pairs of cells of a label whose covering balls come within `limit`, and the two scratch tables behind them.
 
     Centres: as many as the label has blocks, MAX_CELLS at most, from a sample of about 8 points a centre
     by hash, each the furthest from those before. Only speed depends on them. Points meet the centres in
@@ -190,7 +190,7 @@ def cells(points: DataFrame, limit: float, block: int = BLOCK) -> tuple[DataFram
 
     rows = summary.select("label", "dim", "cell", "radius", parts)
     pairs = rows.groupBy("label", "dim").cogroup(centers.groupBy("label", "dim")).applyInPandas(near_cells, f"label {kind}, dim int, c1 int, c2 int, k1 int, k2 int")
-    return in_cells.join(rows.drop("radius"), ["label", "dim", "cell"]), pairs
+    return in_cells.join(rows.drop("radius"), ["label", "dim", "cell"]), pairs, in_cells, centers
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -198,13 +198,13 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     limit = math.sqrt(2 - 2 * cosine)
     rows = store(clean_vectors(table), "cover-rows")
     points, same = distinct_points(rows)
-    in_cells, pairs = cells(points, limit)
+    placed, pairs, *scratch = cells(points, limit)
 
     parts = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     tasks = pairs.select("label", "dim", "c1", "c2", "k2", parts("k1").alias("p1")).select("label", "dim", "c1", "c2", "p1", parts("k2").alias("p2"))
     tasks = store(tasks.filter("c1 <> c2 or p1 <= p2").withColumn("task", F.xxhash64("label", "dim", "c1", "c2", "p1", "p2")), "cover-tasks")
 
-    held = in_cells.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    held = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     side = lambda c, p, s: tasks.select("label", "dim", F.col(c).alias("cell"), F.col(p).alias("part"), "task", F.lit(s).alias("side"), ((F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))).alias("self"))
     sides = side("c1", "p1", 0).union(side("c2", "p2", 1).filter("not self"))
     dealt = held.join(sides, ["label", "dim", "cell", "part"]).select("task", "side", "self", "id", "w", "vector")
@@ -246,6 +246,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
         return pd.DataFrame({"id": ids[found], "links": count[found], "root": group[found]})
 
     hits = store(dealt.groupBy("task").applyInPandas(compare, "id long, links long, root long"), "cover-hits")
+    drop_table(tasks, *scratch)
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
     groups = store(connected_components(hits.select(F.col("id").alias("u"), F.col("root").alias("v")).union(same)), "cover-groups")
     known = points.select("key", "id", "least", "w").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import store
+from supportlake.llm.common import drop_table, store
 
 CHUNK_CHARS = 8_000_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
@@ -250,6 +250,8 @@ def lm_scores(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     both = dealt.groupBy("chunk").cogroup(back.drop("n_kept", "v_kept", "n", "v").withColumnRenamed("chunk", "c").groupBy("c"))
 
     cells = both.applyInPandas(lambda a, b: held_out_cells(a, b, totals, parts), "bucket int, q2 int, q1 int, n double, p2 double, p1 double")
-    found = store(cells.groupBy("bucket", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))), "lm-cells").collect()
+    summed_cells = store(cells.groupBy("bucket", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))), "lm-cells")
+    found = summed_cells.collect()
+    drop_table(summed_cells)
     weights = learn_weights([(r.bucket, r.n, r.p2 / r.n, r.p1 / r.n, 1 / (totals.v_kept + 1)) for r in sorted(found, key=lambda r: (r.bucket, r.q2, r.q1))])
     return both.applyInPandas(lambda a, b: score_chunk(a, b, totals, parts, weights), SCORES)

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import batches, store
+from supportlake.llm.common import batches, drop_table, store
 from supportlake.llm.components import connected_components
 
 ROWS = 5
 BITS = 4
 #: A block holds about so many shingles; a node counts as NODE_SHINGLES at least, so that many short texts fill one too.
-BLOCK_SHINGLES, NODE_SHINGLES = 400_000, 100
+BLOCK_SHINGLES, NODE_SHINGLES = 100_000, 50
 BUCKET_BLOCK = 1024
 
 
@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         F.least("x", "y").alias("a_block"), F.greatest("x", "y").alias("b_block"),
         F.array(F.when(first, F.col("node")).otherwise(F.col("center"))).alias("a"), F.array(F.when(first, F.col("center")).otherwise(F.col("node"))).alias("b"),
     )
-    links = store(confirm(store(star, "minhash-star"), placed, texts, width, percent), "minhash-links")
+    star = store(star, "minhash-star")
+    links = store(confirm(star, placed, texts, width, percent), "minhash-links")
     once = store(connected_components(links.union(same)), "minhash-once")
 
     now = placed.select("node", "block").join(once, "node", "left").select("node", "block", F.coalesce("component", "node").alias("component"))
@@ -293,10 +294,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     several = members.filter("size > 2").join(now, "node")
     mixed = several.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     open_ = several.join(mixed, "bucket").select("bucket", "size", "node", "component", "block").join(nodes.select("node", "n", "buckets", "packed"), "node")
-    rest = store(remaining(store(open_, "minhash-open"), percent, bands, bits), "minhash-rest")
+    open_ = store(open_, "minhash-open")
+    rest = store(remaining(open_, percent, bands, bits), "minhash-rest")
     more = store(confirm(rest, now, texts, width, percent), "minhash-more")
     final = store(connected_components(links.union(same).union(more)), "minhash-final")
 
+    drop_table(many, members, placed, texts, star, links, once, now, open_, rest, more, same)
+
     # A group's id is the smallest doc_id of its sets.
     grouped = nodes.select("set_key", "node", "least").join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("group"))
     mapped = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component")), "group").select("set_key", "component")
