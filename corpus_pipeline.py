@@ -19,7 +19,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from supportlake.llm.common import documents, store
+from supportlake.llm.common import documents, drop_table, store
 from supportlake.llm.minhash import drop_near_duplicates
 from supportlake.llm.packing import pack
 from supportlake.llm.quality import keep_good
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            drop_table(before)
+        before = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop_table(docs)  # packing has written its own token table
+    return packed
