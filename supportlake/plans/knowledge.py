@@ -10,6 +10,7 @@ from supportlake.operators import clean as cl
 from supportlake.operators import index as ix
 from supportlake.operators import rules as ru
 from supportlake.operators import safety as sa
+from supportlake.plans import chunk_sql
 from supportlake.plans.derived import CHUNKS, chunks, table, vectors
 from supportlake.sources import files, pages
 
@@ -189,6 +190,44 @@ def _g01_sql() -> str:
     return f"SELECT doc_id, md5(t) AS text_md5, {marks} AS n_marks FROM (SELECT doc_id, {redacted_sql('text')} AS t FROM documents)"
 
 
+def _g02_sql() -> str:
+    """Each rule over what the earlier ones left; bounding characters are doubled first, so that two neighbours do not share one."""
+    from supportlake.plans.rulesets import BOUNDED
+
+    inner = {"邮箱": "A-Za-z0-9._%+@-", "IP地址": "0-9.", "订单号": "A-Za-z0-9"}
+    rest, found = "coalesce(text, '')", []
+    for label, p in BOUNDED:
+        doubled = f"regexp_replace({rest}, '([^{inner.get(label, '0-9Xx')}])', '\\1\\1', 'g')"
+        found.append(f"SELECT doc_id, '{label}' AS type, unnest(regexp_extract_all({doubled}, '{p}', 2)) AS original FROM documents")
+        for _ in range(2):
+            rest = f"regexp_replace({rest}, '{p}', '\\1□\\3', 'g')"
+    mask = "CASE WHEN length(original) <= 4 THEN '***' WHEN length(original) <= 8 THEN substring(original, 1, 2) || '***' || right(original, 1) ELSE substring(original, 1, 3) || '***' || right(original, 2) END"
+    return f"SELECT doc_id, type, original, {mask} AS masked FROM ({' UNION ALL '.join(found)})"
+
+
+def _c08_sql() -> str:
+    """Paragraphs by where they begin, noise patterns one after the other, then the filters and the first of each fingerprint."""
+    from supportlake.functions import lexicons as lex
+
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    alone = lambda x: f"(starts_with({x}, '#') OR starts_with({x}, '|') OR (starts_with({x}, '**') AND ends_with({x}, '**') AND length({x}) <= 60 AND len(string_split({x}, '**')) = 3))"
+    steps, last = [], "p0"
+    for k, (pattern, kind) in enumerate(lex.NOISE, 1):
+        p = f"(?i){pattern}"
+        steps.append(f"p{k} AS (SELECT s, i, regexp_replace(t, '{p}', '', 'g') AS t, CASE WHEN regexp_matches(t, '{p}') THEN list_append(hits, '{kind}') ELSE hits END AS hits FROM p{k - 1})")
+        last = f"p{k}"
+    space = strip(f"regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g')")
+    return f"""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS s, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: {strip("x")}), lambda x: x <> '')) AS b,
+     unnest(range(0, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: {strip("x")}), lambda x: x <> '')))) AS bi FROM documents),
+    l AS (SELECT s, bi, b, list_filter(list_transform(string_split(b, chr(10)), lambda x: {strip("x")}), lambda x: x <> '') AS l FROM b),
+    a AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = 1 OR {alone("l[i]")} OR {alone("l[i - 1]")}) AS st FROM l),
+    j AS (SELECT s, bi, CASE WHEN starts_with(b, '|') AND ends_with(b, '|') THEN [b] ELSE list_transform(range(1, len(st) + 1), lambda k: array_to_string(l[st[k]:coalesce(st[k + 1], len(l) + 1) - 1], ' ')) END AS ps FROM a),
+    u AS (SELECT s, bi, unnest(ps) AS t, unnest(range(0, len(ps))) AS k FROM j), p0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY bi, k) - 1 AS i, t, CAST([] AS VARCHAR[]) AS hits FROM u), {", ".join(steps)},
+    c AS (SELECT s, i, {space} AS t, hits FROM {last}), g AS (SELECT *, regexp_replace(substring(t, 1, 200), '[#*`\\[\\]()|_\\-]', '', 'g') AS f FROM c WHERE length(t) >= 10 AND length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g')) >= 3)
+    SELECT s AS source_file, i AS para_index, substring(md5(s || '#p' || i), 1, 12) AS chunk_id, length(t) AS char_count, coalesce(array_to_string(hits, ','), '') AS removed
+    FROM (SELECT *, row_number() OVER (PARTITION BY s, f ORDER BY i) AS rn FROM g) WHERE rn = 1"""
+
+
 def _g05_sql() -> str:
     from supportlake.functions import lexicons as lex
 
@@ -243,6 +282,6 @@ QUERIES = {
 ORACLES = {
     "s02_doc_type": S02_SQL, "s07_main_text": _main_sql(), "s08_table_markdown": S08_SQL, "t03_page_triage": T03_SQL, "c06_dedup_lines": C06_SQL, "h01_token_estimate": H01_SQL, "h12_chunk_summary": H12_SQL,
     "k01_index_rows": f"SELECT chunk_id, length(text) AS n_chars, false AS truncated, access_level FROM {CHUNKS}", "k02_replace_by_source": K02_SQL, "k03_delete_sources": K03_SQL,
-    "c01_paragraphs": C01_SQL, "g05_input_guard": _g05_sql(), "g01_redact": _g01_sql(), "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension, 'given' AS model FROM embeddings", "k08_content_hash": K08_SQL,
+    "c01_paragraphs": C01_SQL, "g05_input_guard": _g05_sql(), "g01_redact": _g01_sql(), "g02_findings": _g02_sql(), "h08_recursive": chunk_sql.recursive_sql(), "h09_sentences": chunk_sql.sentence_sql(), "h13_chunk_sweep": chunk_sql.sweep_sql(), "c08_clean": _c08_sql(), "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension, 'given' AS model FROM embeddings", "k08_content_hash": K08_SQL,
     "k09_unique_source": "SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 12) || '_' || source || '.txt' AS name FROM documents", "k11_index_report": K11_SQL, "x01_intent": X01_SQL, "x05_emotion": X05_SQL,
 }
