@@ -39,7 +39,7 @@ def _main_sql() -> str:
     c = "coalesce(html, '')"
     for tag in pages.DROPPED:
         c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
-    region = ", ".join(rf"nullif(regexp_extract(c, '(?is)<{t}\b[^>]*>(.*)</{t}\s*>', 1), '')" for t in ("main", "article", "body"))
+    region = ", ".join("nullif(regexp_extract(c, '(?is)<" + begin.replace("'", "''") + rf">(.*)</{end}\s*>', 1), '')" for begin, end in pages.REGIONS)
     t = r"regexp_replace(r, '(?s)<[^>]*>', chr(10), 'g')"
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = f"replace({t}, '{name}', '{mark}')"

@@ -116,15 +116,30 @@ def layout_markdown(df: DataFrame, raw: str = "raw") -> DataFrame:
 CASES = T.StructType([T.StructField(c, T.StringType()) for c in ("question", "ground_truth_answer")] + [T.StructField("must_contain_keywords", T.ArrayType(T.StringType()))] + [T.StructField(c, T.StringType()) for c in ("intent", "difficulty")])
 
 
-def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """The labelled question set."""
+def read_eval_cases(spark: SparkSession, path: str, default: DataFrame | None = None) -> DataFrame:
+    """The labelled question set; where there is none at the path, the caller's default cases."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if default is not None and not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return default
     return spark.read.schema(CASES).option("multiLine", True).json(path)
 
 
+def write_eval_cases(cases: DataFrame, path: str) -> None:
+    """The set written back, one JSON object a line, which read_eval_cases reads too."""
+    cases.select(*CASES.names).write.mode("overwrite").json(path)
+
+
+#: The catalogue's columns.
+CATALOGUE = ("商品ID", "名称", "类别", "品牌", "价格", "库存", "颜色", "材质", "尺寸", "重量", "保修月数", "上架时间")
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """A product list with a header; a byte-order mark in front of it goes."""
+    """A product list with the catalogue's header: price, stock, months and date are typed (null where they do not parse); a byte-order mark goes; missing columns are null, others stay."""
     df = spark.read.option("header", True).csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+    types = {"价格": "decimal(10,2)", "库存": "int", "保修月数": "int", "上架时间": "date"}
+    known = [(F.col(c).try_cast(types[c]) if c in types else F.col(c)).alias(c) if c in df.columns else F.lit(None).cast(types.get(c, "string")).alias(c) for c in CATALOGUE]
+    return df.select(*known, *(c for c in df.columns if c not in CATALOGUE))
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:

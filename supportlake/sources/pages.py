@@ -12,12 +12,19 @@ from supportlake.functions.text import empty
 DROPPED = ("script", "style", "nav", "footer", "header", "aside", "noscript")
 
 
+#: Regions in order of preference, each with the name that closes it. A region reaches to the last closing tag of its name.
+REGIONS = (
+    (r"main\b[^>]*", "main"), (r"article\b[^>]*", "article"), (r"div\b[^>]*\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?detail(?:\s[^\"'>]*)?[\"'][^>]*", "div"),
+    (r"div\b[^>]*\bid\s*=\s*[\"']detail[\"'][^>]*", "div"), (r"body\b[^>]*", "body"),
+)
+
+
 def main_text(html: Column) -> Column:
-    """Boilerplate regions out; the first of main, article, body, else all; tags out; stripped lines of more than 2 characters."""
+    """Boilerplate regions out; the first of main, article, a detail division, body, else all; tags out; stripped lines of more than 2 characters."""
     c = empty(html)
     for tag in DROPPED:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    regions = [F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("main", "article", "body")]
+    regions = [F.regexp_extract(c, rf"(?is)<{begin}>(.*)</{end}\s*>", 1) for begin, end in REGIONS]
     body = F.coalesce(*(F.when(r != "", r) for r in regions), c)
     text = F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
