@@ -59,6 +59,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], binary_column(ids, edges), pa.array(np.diff(edges)), b["deal"], pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "ids", "n", "deal", "df"]
             )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
         if df.any():
             packed = zlib.compress(df.astype("<u8").tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
