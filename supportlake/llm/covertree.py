@@ -38,6 +38,8 @@ SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors. Rows are first scaled by a power of two, which is exact, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

@@ -13,7 +13,7 @@ a probability that is their Jaccard similarity weighted by idf. Shards are range
 the same number of ids, so a common first rank is divided by the second, copies by the hash, and equal rows in
 turn. The edges come from a sample, so they may differ between runs over other file splits, and so may windows.
 
-The strings of special tokens inside texts are ordinary text.
+The string of a special token inside a text is that token's id, as the library has it.
 
 Defined results: a null text is an empty one and has the end id alone; every row is packed, repeated
 rows too, and rows with a null doc_id; a text longer than a window is cut into several; an empty table

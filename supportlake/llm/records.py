@@ -11,8 +11,8 @@ under a name of its own in a folder of attempts, then moves it into place; a rep
 task only replaces the file by an equal one, and what stopped attempts leave goes with their folder.
 The number of shards grows with the text (`SHARD_CHARS`). The index is a Parquet table.
 
-Defined results: a null text is an empty one (its record holds the end id alone); the strings of
-special tokens inside texts are ordinary text; a null doc_id sorts first; rows with equal ids follow
+Defined results: a null text is an empty one (its record holds the end id alone); the string of a
+special token inside a text is that token's id, as the library has it; a null doc_id sorts first; rows with equal ids follow
 each other, by text; an empty table has no shards and an empty index; other columns are ignored.
 Records are the result of `write_records` and stay in the folder the caller names.
 """

@@ -5,7 +5,8 @@ revised; a revision carries the old count. Each batch becomes signed deltas, sum
 language and tokenizer version before anything is stored, and is committed as one folder under its
 batch id. Totals are the sum of committed deltas, so a batch can be added in any order. A batch is
 written aside and moved into place: one that is already there stays as it is, so a retried or
-replayed commit changes nothing. `compact` folds committed batches into one, which remembers their ids.
+replayed commit changes nothing. `compact` folds committed batches into one, which remembers their ids;
+batches and compactions may share a name.
 
 Defined results: null source, language or version are keys of their own; a null count is 0; repeated
 rows count each time (the change feed says what happened); an empty batch commits no deltas but its
@@ -51,32 +52,42 @@ class Rollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self) -> list[str]:
-        top = self._path(f"{self.folder}/batches")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+    def _names(self) -> list[tuple[str, str]]:
+        """(kind, name) of all folders. Batches and compactions have name spaces of their own."""
+        found = []
+        for kind in ("batches", "compacted"):
+            top = self._path(f"{self.folder}/{kind}")
+            found += [(kind, s.getPath().getName()) for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted(found)
 
-    def _live(self) -> dict[str, set[str]]:
-        """Folders that count, with their batch ids, read in one job. A folder whose ids are all in a larger one is superseded."""
+    def _held(self) -> dict[tuple[str, str], set[str]]:
+        """Batch ids of each folder, read in one job."""
         names = self._names()
         if not names:
             return {}
-        rows = self.spark.read.text([f"{self.folder}/batches/{n}/ids" for n in names]).select("value", F.col("_metadata.file_path").alias("path")).collect()
-        ids: dict[str, set[str]] = {n: set() for n in names}
+        rows = self.spark.read.text([f"{self.folder}/{k}/{n}/ids" for k, n in names]).select("value", F.col("_metadata.file_path").alias("path")).collect()
+        ids: dict[tuple[str, str], set[str]] = {n: set() for n in names}
         for r in rows:
-            ids[unquote(r.path.rsplit("/", 3)[1])].add(r.value)
-        return {n: own for n, own in ids.items() if not any(own < other for other in ids.values())}
+            kind, name = r.path.rsplit("/", 4)[1:3]
+            ids[kind, unquote(name)].add(r.value)
+        return ids
+
+    def _live(self) -> dict[tuple[str, str], set[str]]:
+        """Folders that count. One whose ids are all in a larger one is superseded; of those with equal ids the last in order counts, so of two compactions one."""
+        ids = self._held()
+        return {n: own for n, own in ids.items() if not any(own < other or (own == other and n < m) for m, other in ids.items())}
 
     def committed(self) -> list[str]:
         """Ids of all committed batches, those folded by compaction too."""
-        return sorted(set().union(*self._live().values()))
+        return sorted(set().union(*self._held().values()))
 
-    def _put(self, name: str, ids: list[str], rows: DataFrame) -> bool:
+    def _put(self, kind: str, name: str, ids: list[str], rows: DataFrame) -> bool:
         """Write aside, then rename into place. Of two committers one wins: a rename onto a folder fails, or on some file systems lands inside it, and is then taken back."""
-        aside, place = self._path(scratch(self.spark, "rollup")), self._path(f"{self.folder}/batches/{name}")
+        aside, place = self._path(scratch(self.spark, "rollup")), self._path(f"{self.folder}/{kind}/{name}")
         rows.write.parquet(f"{aside}/deltas")
         self.spark.createDataFrame([(i,) for i in ids], "value string").coalesce(1).write.text(f"{aside}/ids")
         self._fs.mkdirs(place.getParent())
-        inside = self._path(f"{self.folder}/batches/{name}/{aside.getName()}")
+        inside = self._path(f"{self.folder}/{kind}/{name}/{aside.getName()}")
         won = not self._fs.exists(place) and self._rename(aside, place) and not self._fs.exists(inside)
         for left in (aside, inside) if not won else ():
             self._fs.delete(left, True)
@@ -94,21 +105,25 @@ class Rollup:
         """Commit a batch once; False if it was there already."""
         if batch in self.committed():
             return False
-        return self._put(batch, [batch], deltas(changes))
+        return self._put("batches", batch, [batch], deltas(changes))
 
     def totals(self) -> DataFrame:
-        names = self._live()
-        parts = [self.spark.read.schema(DELTA).parquet(f"{self.folder}/batches/{n}/deltas") for n in names]
+        return self._sums(list(self._live()))
+
+    def _sums(self, names: list[tuple[str, str]]) -> DataFrame:
+        parts = [self.spark.read.schema(DELTA).parquet(f"{self.folder}/{k}/{n}/deltas") for k, n in names]
         every = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], DELTA))
         return every.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self, name: str) -> None:
-        """Fold all committed batches into one folder. It is put in place first and supersedes the others, which then go."""
+        """Fold all committed batches into one folder of its own name space. It is put in place first and supersedes the others, which then go."""
         old = self._live()
-        if len(old) < 2 or not self._put(name, sorted(set().union(*old.values())), self.totals()):
+        every = set().union(*old.values())
+        if len(old) < 2 or not self._put("compacted", name, sorted(every), self._sums(list(old))):
             return
-        for n in old:
-            self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
+        for (kind, n), ids in self._held().items():
+            if ids <= every and (kind, n) != ("compacted", name) and (kind, n) not in self._live():
+                self._fs.delete(self._path(f"{self.folder}/{kind}/{n}"), True)
 
 
 def token_counts(docs: DataFrame, vocabularies: dict[str, tuple[str, str | None]], keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:

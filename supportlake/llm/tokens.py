@@ -37,8 +37,11 @@ def id_type(size: int) -> str:
 class PieceEncoder:
     """`encode_piece` gives the ids of any text, `encode_word(word, spaced)` those of letters alone, with or without a space before them."""
 
-    def __init__(self, encode_piece: Callable[[str], Iterable[int]], encode_word: Callable[[str, bool], Iterable[int]], size: int, limit: int = CACHE_PIECES):
+    def __init__(self, encode_piece: Callable[[str], Iterable[int]], encode_word: Callable[[str, bool], Iterable[int]], size: int, limit: int = CACHE_PIECES, added: dict[str, int] | None = None):
+        """`added`: strings that the library takes for one id wherever a text holds them; texts are cut around them."""
         self.encode_piece, self.encode_word, self.limit, self.dtype = encode_piece, encode_word, limit, np.dtype(id_type(size))
+        self.added = added or {}
+        self._cuts = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.size = size
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.plain: dict[str, bytes] = {}
@@ -80,6 +83,19 @@ class PieceEncoder:
         first, *rest = _SAFE_SPACE.split(text)
         return self._pack(self.encode_piece(first)) + b"".join(self._part(r, True) if r.isalpha() else self._pack(self.encode_piece(" " + r)) for r in rest)
 
+    def _whole(self, text: str) -> bytes:
+        parts = self._cuts.split(text) if self._cuts else [text]
+        return b"".join(self._pack([self.added[p]]) if k % 2 else self._slow(p) for k, p in enumerate(parts) if p)
+
+    def _strange(self, column: pa.Array, odd: np.ndarray, index: np.ndarray, first: np.ndarray) -> list[int]:
+        """Places of the texts that words alone cannot give: a space before white space, or an added string."""
+        found = np.zeros(len(column), dtype=bool)
+        if odd.any():
+            found = np.add.reduceat(np.concatenate([odd, np.zeros(len(first), dtype=bool)])[index], first) > 0
+        for a in self.added:
+            found |= pc.fill_null(pc.match_substring(column, a), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found).tolist()
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where each text's ids begin, with the end of the last; a null text has none."""
         if len(self.spaced) + len(self.plain) > self.limit:
@@ -102,10 +118,9 @@ class PieceEncoder:
                 entries[k] = self._kept(known, w, self._piece(w, True))
         entries += [self._piece(names[k], False) if names[k] else b"" for k in index[first].tolist()]
         index[first] = number + np.arange(len(first))
-        if odd.any():
-            strange = np.concatenate([odd, np.zeros(len(first), dtype=bool)])[index]
-            for i in np.flatnonzero(np.add.reduceat(strange, first)).tolist():
-                entries[number + i] = self._slow(column[i].as_py())
+        if strange := self._strange(column, odd, index, first):
+            for i in strange:
+                entries[number + i] = self._whole(column[i].as_py())
                 index[first[i] + 1 : starts[i + 1]] = len(entries)
             entries.append(b"")
             index[index == len(entries)] = len(entries) - 1
@@ -156,9 +171,7 @@ def _tokenizer(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    return t
+    return Tokenizer.from_file(vocabulary)
 
 
 @cache
@@ -193,5 +206,6 @@ def library_encoder(vocabulary: str, end_id: int = 0) -> PieceEncoder:
             raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
             return [x.id for x in model.tokenize(space + raw if spaced else raw)]
 
-        _encoders[vocabulary, end_id] = PieceEncoder(lambda piece: t.encode(piece, add_special_tokens=False).ids, encode_word, max(t.get_vocab_size(), end_id + 1))
+        added = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
+        _encoders[vocabulary, end_id] = PieceEncoder(lambda piece: t.encode(piece, add_special_tokens=False).ids, encode_word, max(t.get_vocab_size(), end_id + 1), added=added)
     return _encoders[vocabulary, end_id]

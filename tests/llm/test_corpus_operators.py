@@ -146,6 +146,12 @@ def test_vectors_that_share_an_id_and_the_exact_threshold(spark):
     assert got == {(3, 2, 3, True), (5, 1, 3, False), (9, 1, 3, False), (20, 1, 20, True), (21, 1, 20, False), (30, 0, 30, True)}
 
 
+def test_vectors_of_extreme_length(spark):
+    rows = [(i, [s * 3.0, s * 4.0, s * 1e-3], 1) for i, s in enumerate([1.0, 1e200, 1e-200, 2.5e307, 1e-310, 7e150])] + [(9, [1e200, -1e200, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
+    assert got == {i: (5, 0) for i in range(6)} | {9: (0, 9)}
+
+
 @pytest.mark.parametrize("chunk", [16_000_000, 3_000])
 def test_language_model(docs, corpus, chunk, monkeypatch):
     learned = []
@@ -200,17 +206,34 @@ def test_a_lost_race_leaves_nothing(spark):
     change = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long"
     rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], change)
     r = rollups.Rollup(spark, scratch(spark, "rollup-race"))
-    assert r._put("1", ["1"], rollups.deltas(rows)) and not r._put("1", ["1"], rollups.deltas(rows))
+    assert r._put("batches", "1", ["1"], rollups.deltas(rows)) and not r._put("batches", "1", ["1"], rollups.deltas(rows))
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)] and r.committed() == ["1"]
 
 
+def test_compactions_and_batches_may_share_a_name(spark):
+    change = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long"
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], change)
+    r = rollups.Rollup(spark, scratch(spark, "rollup-names"))
+    assert r.commit("b1", rows) and r.commit("b2", rows)
+    r.compact("b3")
+    assert r.commit("b3", rows) and [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 3, 30)] and r.committed() == ["b1", "b2", "b3"]
+    r.compact("b3")  # the name is taken: nothing happens
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 3, 30)]
+    sums = r.totals()
+    assert r._put("compacted", "x", ["b1", "b2", "b3"], sums) and r._put("compacted", "y", ["b1", "b2", "b3"], sums)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 3, 30)]
+    r.compact("z")
+    assert r.commit("b4", rows) and not r.commit("b2", rows)
+    r.compact("w")
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 4, 40)] and r._names() == [("compacted", "w")]
+
+
 def test_corpus_rollup_counts_ids(spark, docs, corpus):
     import base64
 
     import tiktoken
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -229,7 +252,6 @@ def test_corpus_rollup_counts_ids(spark, docs, corpus):
 
 def check_pieces(rows, texts, end_id, window=2048):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     by = collections.defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
