@@ -83,11 +83,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.lexical import ranked
+
+    return ranked(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.negatives import hard_negatives
+
+    return hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from supportlake.llm.warc import archive_digest
+
+    return archive_digest(spark, documents(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
+    from supportlake.llm.lexical import lexical_sql
+    from supportlake.llm.negatives import negatives_sql
     from supportlake.llm.quality import quality_sql
+    from supportlake.llm.warc import archive_sql
 
-    return {"op10_quality_rules": quality_sql()}
+    return {"op10_quality_rules": quality_sql(), "op11_ranked_search": lexical_sql(), "op12_hard_negatives": negatives_sql(), "op13_web_archives": archive_sql()}
