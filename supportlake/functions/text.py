@@ -48,10 +48,11 @@ def est_tokens(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """L1: lower-case runs of letters and digits; runs of Han characters as bigrams."""
-    words = F.filter(F.split(F.lower(empty(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """L1: lower-case runs of letters and digits; runs of Han characters as bigrams. Texts without Han take no second look at their words."""
+    t = F.lower(empty(c))
+    words = F.array_remove(F.split(t, r"[^\p{L}\p{N}]+"), "")
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(HAN) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    return F.when(t.rlike(HAN), F.flatten(F.transform(words, lambda w: F.when(w.rlike(HAN) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))).otherwise(words)
 
 
 def bigrams(c: Column) -> Column:

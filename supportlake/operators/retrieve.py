@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
 from supportlake.functions.text import any_of, dot, empty, norm, tokens
+from supportlake.operators.lexindex import bm25_topk
 
 ROUND = 6
 
@@ -27,25 +28,6 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank); queries (query_id, query), chunks (chunk_id, text).
-
-    Only terms that some query holds are exploded into postings, lengths are counted beside them, and
-    partial sums meet by (query, chunk). Ties by chunk_id. Queries without a known term have no rows.
-    """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("words")).select("*", F.size("words").alias("dl"))
-    n = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = q.select("term").distinct()
-    tf = words.select("chunk_id", "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = q.join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", "avgdl", idf.alias("idf"))  # n is one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(known, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), ROUND).alias("score"))
-    return top(scored.filter("score > 0"), k, F.desc("score"), F.col("chunk_id"))
-
-
 def l2_normalise(df: DataFrame, vec: str = "vector") -> DataFrame:
     """Unit length; a vector without length stays as it is."""
     v = F.col(vec).cast("array<double>")

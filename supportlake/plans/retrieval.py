@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from supportlake.functions import text as tx
 from supportlake.operators import evaluate as ev
 from supportlake.operators import retrieve as rt
+from supportlake.operators.lexindex import LexicalIndex, bm25_topk
 from supportlake.plans.derived import CHUNKS, INDEXED, chunks, indexed, messages, questions, table, vector_queries, vectors
 
 TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -15,7 +16,7 @@ TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lamb
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The best chunks for every question, over all chunks."""
-    return rt.bm25_topk(questions(spark, sf_dir), chunks(spark, sf_dir), k)
+    return bm25_topk(questions(spark, sf_dir), chunks(spark, sf_dir), k)
 
 
 def bm25_sql(k: int, where: str = "true", k1: float = 1.2, b: float = 0.75) -> str:
@@ -53,9 +54,11 @@ FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqr
 
 
 def _arms(spark, sf_dir):
-    """Two full rankings of all chunks for all questions, with different saturation and length constants."""
-    q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
-    return rt.bm25_topk(q, c, 10), rt.bm25_topk(q, c, 10, 0.6, 0.3)
+    """Two full rankings of all chunks for all questions, with different saturation and length constants, scored from one index."""
+    index = LexicalIndex(chunks(spark, sf_dir))
+    both = index.search(questions(spark, sf_dir), 10, ((1.2, 0.75), (0.6, 0.3)))
+    index.drop()
+    return tuple(both.filter(F.col("setting") == i).drop("setting") for i in (0, 1))
 
 
 FORCE = "access_level <= 1 AND effective_from <= DATE '2024-04-01' AND effective_to >= DATE '2024-04-01'"
