@@ -6,6 +6,7 @@ session on one machine may lack it, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from uuid import uuid4
 
@@ -22,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_kept: dict[str, OwnTable] = {}
+
+
+@atexit.register
+def _drop_rest() -> None:
+    """What callers did not drop goes with the session, as long as that still runs."""
+    for table in list(_kept.values()):
+        if table.spark.sparkContext._jsc and not table.spark.sparkContext._jsc.sc().isStopped():
+            table.drop()
+
+
 class OwnTable:
     """A DataFrame written once under a fresh name; `df` reads it, `drop` deletes it."""
 
@@ -29,11 +41,13 @@ class OwnTable:
         self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(self.path)
         self.schema = df.schema
+        _kept[self.path] = self
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
+        _kept.pop(self.path, None)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -43,9 +43,15 @@ def partial_answer(claims: DataFrame) -> DataFrame:
 
 
 def accepted_round(rounds: DataFrame, min_score: float = 0.8, max_rounds: int = 2, max_calls: int = 8) -> DataFrame:
-    """A5: the first round without hallucination and with enough faithfulness, else the last one allowed by rounds and by the budget of model calls (`calls` up to a round, where given)."""
+    """A5: the first round without hallucination and with enough faithfulness, else the last one allowed.
+
+    The budget is asked before a round: it runs if fewer than `max_calls` model calls were made up to then (`calls` counts them up
+    to a round's end, where given), and may itself go beyond. The first round always runs.
+    """
     inside = rounds.filter(F.col("round") <= max_rounds)
-    inside = inside.filter((F.col("calls") <= max_calls) | (F.col("round") == 1)) if "calls" in rounds.columns else inside
+    if "calls" in rounds.columns:
+        made = F.max("calls").over(Window.partitionBy("answer_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
+        inside = inside.withColumn("_made", made).filter(F.coalesce(F.col("_made") < max_calls, F.lit(True))).drop("_made")
     ok = ~F.col("has_hallucination") & (F.col("faithfulness") >= min_score)
     order = Window.partitionBy("answer_id").orderBy(F.desc(ok.cast("int")), F.when(ok, F.col("round")).otherwise(-F.col("round")))
     return inside.withColumn("accepted", ok).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions.text import empty, norm
+from supportlake.operators import segments
+from supportlake.operators.indexstore import IndexStore
 
 #: The reference's column width. Longer texts are cut to it and flagged; None keeps them whole.
 MAX_TEXT = 8000
@@ -20,9 +24,11 @@ def index_rows(chunks: DataFrame, max_text: int | None = MAX_TEXT) -> DataFrame:
     return cut.withColumn("access_level", F.coalesce("access_level", F.lit(0)).cast("tinyint")).withColumn("source_bucket", F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).cast("int"))
 
 
-def write_index(chunks: DataFrame, path: str, max_text: int | None = MAX_TEXT) -> None:
-    """K1, K2 on disk: only the partitions of the batch's buckets are replaced."""
-    index_rows(chunks, max_text).repartition("source_bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(path)
+def write_index(chunks: DataFrame, path: str, max_text: int | None = MAX_TEXT, batch_id: str | None = None) -> IndexStore:
+    """K1, K2 on disk: the batch's sources are replaced, all others stay. Returns the store, whose `read` gives the rows; a repeated batch id has no effect."""
+    store = IndexStore(chunks.sparkSession, path, BUCKETS)
+    store.replace(batch_id or uuid4().hex, index_rows(chunks, max_text))
+    return store
 
 
 def replace_by_source(index: DataFrame, batch: DataFrame) -> DataFrame:
@@ -144,15 +150,24 @@ def page_issue(text_length: Column, images: Column) -> Column:
     return F.when((text_length < 50) & (images >= 1), "scanned").when((text_length == 0) & (images == 0), "blank").when((text_length < 20) & (images == 0), "little text")
 
 
-def page_route(df: DataFrame, max_pages: int | None = 50, cost: float = 0.005) -> DataFrame:
+def page_route(df: DataFrame, max_pages: int | None = 50, cost: float = 0.005, largest: int = segments.LARGEST) -> DataFrame:
     """T4: (file, page, text_length, image_count): text or OCR for each page, and the file's cost.
 
     Pages after the first `max_pages` stay, flagged `over_limit`; they are not routed and cost nothing. None routes all pages.
+    Files of more than `largest` pages are numbered and added up by ranges. Pages of a file have numbers of their own.
     """
+    wide = segments.giant(df, "file", largest)
     w = Window.partitionBy("file")
-    over = F.lit(False) if max_pages is None else F.row_number().over(w.orderBy("page")) > max_pages
+    if max_pages is None:
+        numbered = df.withColumn("over_limit", F.lit(False))
+    elif wide:
+        numbered = segments.with_sums(df, "file", [F.col("page")], running={"_n": F.lit(1)}).withColumn("over_limit", F.col("_n") > max_pages).drop("_n")
+    else:
+        numbered = df.withColumn("over_limit", F.row_number().over(w.orderBy("page")) > max_pages)
     route = F.when(~F.col("over_limit"), F.when((F.col("text_length") >= 50) & (F.col("image_count") == 0), "text").otherwise("ocr"))
-    return df.withColumn("over_limit", over).withColumn("route", route).withColumn("file_cost", F.round(F.sum(F.when(F.col("route") == "ocr", cost).otherwise(0.0)).over(w), 4))
+    routed, price = numbered.withColumn("route", route), F.when(F.col("route") == "ocr", cost).otherwise(0.0)
+    summed = segments.with_sums(routed, "file", [F.col("page")], totals={"file_cost": price}) if wide else routed.withColumn("file_cost", F.sum(price).over(w))
+    return summed.withColumn("file_cost", F.round("file_cost", 4))
 
 
 def page_stats(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
+from supportlake.operators import segments
 
 
 def with_cost(log: DataFrame, prices: dict[str, tuple[float, float]] = lex.PRICES, default: tuple[float, float] = (0.001, 0.002)) -> DataFrame:
@@ -67,8 +68,15 @@ def hit_rate(log: DataFrame) -> DataFrame:
     return log.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("cache_hit") == "hit"), F.count_if(F.col("cache_hit").isin("hit", "miss"))), F.lit(0.0)), 6).alias("hit_rate"))
 
 
-def failure_runs(events: DataFrame, n: int) -> DataFrame:
-    """Runs of at least n failures in a row, events (service, ts, seq, ok); a success ends a run."""
-    w = Window.partitionBy("service").orderBy("ts", "seq")
-    runs = events.withColumn("run", F.sum(F.col("ok").cast("int")).over(w)).filter(~F.col("ok"))
+def failure_runs(events: DataFrame, n: int, largest: int = segments.LARGEST) -> DataFrame:
+    """Runs of at least n failures in a row, events (service, ts, seq, ok); a success ends a run.
+
+    Successes are counted along each service. Where one has more than `largest` events they are counted by ranges.
+    """
+    good = F.col("ok").cast("int")
+    if segments.giant(events, "service", largest):
+        counted = segments.with_sums(events, "service", [F.col("ts"), F.col("seq")], running={"run": good})
+    else:
+        counted = events.withColumn("run", F.sum(good).over(Window.partitionBy("service").orderBy("ts", "seq")))
+    runs = counted.filter(~F.col("ok"))
     return runs.groupBy("service", "run").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("failures")).filter(F.col("failures") >= n).drop("run")

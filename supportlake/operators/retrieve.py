@@ -143,27 +143,34 @@ def rerank(hits: DataFrame, relevance: Column, n: int = 5, cap: int | None = 100
     return old.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def cascade(candidates: DataFrame, threshold: float = 0.7, gain: float = 0.05) -> DataFrame:
+STAGES = ("decomposed", "original", "rewritten", "expanded", "web")
+
+
+def cascade(candidates: DataFrame, threshold: float = 0.7, gain: float = 0.05, tries: int = 2) -> DataFrame:
     """Candidates (query_id, stage, attempt, first_score, max_score) to (query_id, level, method, best).
 
-    Stages in order: decomposed, original, rewritten, expanded, web. The first that is good enough wins;
-    a rewritten or expanded try must also beat the best score so far by more than `gain`.
+    Stages in order: decomposed, original, rewritten (the first `tries` attempts), expanded, web. A stage is enough if its first score
+    reaches the threshold. A decomposed try that is not enough is forgotten. The original's highest score is the best so
+    far; a rewritten or expanded try counts only if it beats that by more than `gain`, becomes the best then, and wins if it is
+    enough. Web results win if there are any; else the level is 5. Missing stages are skipped, null scores are 0.
     """
-    place = F.create_map(*[x for i, s in enumerate(("decomposed", "original", "rewritten", "expanded", "web")) for x in (F.lit(s), F.lit(i))])
-    steps = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(place[F.col("stage")].alias("p"), "attempt", "first_score", "max_score"))).alias("steps"))
-    start = F.struct(F.lit(0.0).alias("best"), F.lit(5).alias("level"), F.lit("none").alias("method"))
+    place = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
+    entry = F.struct(place[F.col("stage")].alias("p"), F.coalesce("attempt", F.lit(0)).alias("attempt"), F.coalesce("first_score", F.lit(0.0)).alias("first"), F.coalesce("max_score", F.lit(0.0)).alias("most"))
+    steps = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("steps"))
+    start = F.struct(F.lit(0.0).alias("best"), F.lit(5).alias("level"), F.lit("none").alias("method"), F.lit(0).alias("tried"))
 
     def step(a: Column, x: Column) -> Column:
-        first = (x["p"] <= 1) & (x["first_score"] >= threshold)
-        better = (x["p"].isin(2, 3)) & (x["max_score"] - a["best"] > gain) & (x["max_score"] >= threshold)
-        level = F.when(x["p"] <= 1, 1).otherwise(x["p"])
-        method = F.element_at(F.array(*map(F.lit, ("decomposed", "original", "rewritten", "expanded", "web"))), x["p"] + 1)
-        done = a["level"] < 5
-        hit = ~done & (first | better | (x["p"] == 4))
+        again, enough = x["p"].isin(2, 3), x["first"] >= threshold
+        late = (x["p"] == 2) & (a["tried"] >= tries)
+        better = again & ~late & (x["most"] > a["best"] + gain)
+        won = ((x["p"] <= 1) & enough) | (better & enough) | (x["p"] == 4)
+        skip = (a["level"] < 5) | late
+        raised = (x["p"] == 1) | better | ((x["p"] == 0) & enough)
         return F.struct(
-            F.when(done, a["best"]).otherwise(F.greatest(a["best"], x["max_score"])).alias("best"),
-            F.when(hit, level).otherwise(a["level"]).cast("int").alias("level"),
-            F.when(hit, method).otherwise(a["method"]).alias("method"),
+            F.when(~skip & raised, x["most"]).otherwise(a["best"]).alias("best"),
+            F.when(~skip & won, F.greatest(x["p"], F.lit(1))).otherwise(a["level"]).cast("int").alias("level"),
+            F.when(~skip & won, F.element_at(F.array(*map(F.lit, STAGES)), x["p"] + 1)).otherwise(a["method"]).alias("method"),
+            (a["tried"] + (x["p"] == 2).cast("int")).alias("tried"),
         )
 
     return steps.select("query_id", F.aggregate("steps", start, step).alias("r")).select("query_id", "r.level", "r.method", F.round("r.best", ROUND).alias("best"))

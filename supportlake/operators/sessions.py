@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
 from supportlake.functions.text import bigram_overlap, empty
+from supportlake.operators import segments
 
 
 def _newest() -> Window:
@@ -30,19 +31,25 @@ def message_tokens(c: Column) -> Column:
     return F.when(F.length(empty(c)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(empty(c)) / 1.8).cast("int")))
 
 
-def context_window(messages: DataFrame, budget: int = 6000, keep: int = 4) -> DataFrame:
+def context_window(messages: DataFrame, budget: int = 6000, keep: int = 4, largest: int = segments.LARGEST) -> DataFrame:
     """M3: the last `keep` always; older ones newest first while the running total fits what they leave of the budget.
 
-    The running total only grows, so `total <= budget` is the same as stopping at the first overflow.
+    The running total only grows, so `total <= budget` is the same as stopping at the first overflow. Sessions of more
+    than `largest` messages are numbered and added up by ranges.
     """
-    ranked = messages.withColumn("_rn", F.row_number().over(_newest()))
-    length = F.sum(F.when(F.col("_rn") <= keep, F.length(empty(F.col("content"))))).over(Window.partitionBy("session_id"))
-    number = F.least(F.lit(keep), F.count("*").over(Window.partitionBy("session_id")))
-    joined = length + number - 1  # joined by spaces
+    last, size = F.col("_rn") <= keep, F.length(empty(F.col("content")))
+    kept_length, kept_number, older = F.when(last, size), F.when(last, 1), F.when(~last, message_tokens(F.col("content"))).otherwise(0)
+    if segments.giant(messages, "session_id", largest):
+        order = [F.desc("msg_id")]
+        ranked = segments.with_sums(messages, "session_id", order, running={"_rn": F.lit(1)})
+        sized = segments.with_sums(ranked, "session_id", order, running={"_older": older}, totals={"_length": kept_length, "_number": kept_number})
+    else:
+        whole, upto = Window.partitionBy("session_id"), _newest().rowsBetween(Window.unboundedPreceding, 0)
+        ranked = messages.withColumn("_rn", F.row_number().over(_newest()))
+        sized = ranked.withColumns({"_older": F.sum(older).over(upto), "_length": F.sum(kept_length).over(whole), "_number": F.sum(kept_number).over(whole)})
+    joined = F.col("_length") + F.col("_number") - 1  # joined by spaces
     used = F.when(joined == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(joined / 1.8).cast("int")))
-    older = F.sum(F.when(F.col("_rn") > keep, message_tokens(F.col("content"))).otherwise(0)).over(_newest().rowsBetween(Window.unboundedPreceding, 0))
-    sized = ranked.withColumn("_used", used).withColumn("_older", older)
-    return sized.filter((F.col("_rn") <= keep) | ((F.col("_used") < budget) & (F.col("_older") <= budget - F.col("_used")))).drop("_rn", "_used", "_older")
+    return sized.withColumn("_used", used).filter(last | ((F.col("_used") < budget) & (F.col("_older") <= budget - F.col("_used")))).drop("_rn", "_used", "_older", "_length", "_number")
 
 
 def sessions(messages: DataFrame, limit: int | None = None) -> DataFrame:

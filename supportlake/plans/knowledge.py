@@ -63,7 +63,7 @@ FROM r GROUP BY l_suppkey"""
 def t03_page_triage(spark, sf_dir):
     """Quality, route and cost of pages, a file being a host."""
     p = ix.page_stats(table(spark, sf_dir, "pages")).withColumn("file", F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).withColumn("page", F.col("page_id"))
-    routed = ix.page_route(p)
+    routed = ix.page_route(p.select("page_id", "file", "page", "text_length", "image_count"), largest=30)
     size = F.col("text_length"), F.col("image_count")
     return routed.select("page_id", ix.page_triage(*size).alias("quality"), ix.page_issue(*size).alias("issue"), "route", "over_limit", "file_cost")
 

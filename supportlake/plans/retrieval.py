@@ -144,15 +144,22 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relev
 
 
 def r17_cascade(spark, sf_dir):
-    """Stages from three rankings of growing reach, scores scaled by the best question's."""
+    """All five stages from two rankings: a third of the questions were decomposed, two rewrites and an expansion scale the second ranking, a fifth have web results."""
     a, b = _arms(spark, sf_dir)
-    scored = lambda df, stage, n: df.groupBy("query_id").agg(F.lit(stage).alias("stage"), F.lit(n).alias("attempt"), F.max("score").alias("s")).select("query_id", "stage", "attempt", F.round(F.col("s") / 200, 6).alias("first_score"), F.round(F.col("s") / 200, 6).alias("max_score"))
-    return rt.cascade(scored(b, "original", 0).union(scored(a, "rewritten", 1)))
-
-
-R17_SQL = f"""{ARMS_SQL}, o AS (SELECT query_id, round(max(score) / 200, 6) AS o FROM b GROUP BY query_id), r AS (SELECT query_id, round(max(score) / 200, 6) AS r FROM a GROUP BY query_id)
-SELECT query_id, CASE WHEN o >= 0.7 THEN 1 WHEN r >= 0.7 AND r - coalesce(o, 0) > 0.05 THEN 2 ELSE 5 END AS level, CASE WHEN o >= 0.7 THEN 'original' WHEN r >= 0.7 AND r - coalesce(o, 0) > 0.05 THEN 'rewritten' ELSE 'none' END AS method,
- round(CASE WHEN o >= 0.7 THEN o ELSE greatest(coalesce(o, 0), coalesce(r, 0)) END, 6) AS best FROM o FULL JOIN r USING (query_id)"""
+    top = lambda df, name: df.groupBy("query_id").agg(F.max("score").alias(name))
+    s = top(a, "a").join(top(b, "b"), "query_id")
+    third, fifth = F.pmod("query_id", F.lit(3)) == 0, F.pmod("query_id", F.lit(5)) == 0
+    stages = [("decomposed", 0, F.when(third, F.col("b") / 60), 1.0), ("original", 0, F.col("b") / 55, 1.0), ("rewritten", 0, F.col("a") / 58, 1.0), ("rewritten", 1, F.col("a") / 52, 1.0), ("expanded", 0, F.col("a") / 45, 0.9), ("web", 0, F.when(fifth, F.lit(0.5)), 1.0)]
+    rows = F.array(*(F.struct(F.lit(n).alias("stage"), F.lit(i).alias("attempt"), F.round(v * part, 6).alias("first_score"), F.round(v, 6).alias("max_score")) for n, i, v, part in stages))
+    return rt.cascade(s.select("query_id", F.explode(rows).alias("c")).select("query_id", "c.*").filter("max_score is not null"))
+
+
+R17_SQL = f"""{ARMS_SQL}, s AS (SELECT query_id, sa, sb FROM (SELECT query_id, max(score) AS sa FROM a GROUP BY query_id) JOIN (SELECT query_id, max(score) AS sb FROM b GROUP BY query_id) USING (query_id)),
+v AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN round(sb / 60, 6) ELSE 0 END AS d, round(sb / 55, 6) AS o, round(sa / 58, 6) AS r1, round(sa / 52, 6) AS r2, round(sa / 45, 6) AS e, round(sa / 45 * 0.9, 6) AS ef, query_id % 5 = 0 AS web FROM s),
+t1 AS (SELECT *, CASE WHEN r1 > o + 0.05 THEN r1 ELSE o END AS b1 FROM v), t2 AS (SELECT *, CASE WHEN r2 > b1 + 0.05 THEN r2 ELSE b1 END AS b2 FROM t1), t3 AS (SELECT *, CASE WHEN e > b2 + 0.05 THEN e ELSE b2 END AS b3 FROM t2),
+w AS (SELECT *, CASE WHEN d >= 0.7 THEN 'decomposed' WHEN o >= 0.7 THEN 'original' WHEN r1 > o + 0.05 AND r1 >= 0.7 THEN 'rewritten' WHEN r2 > b1 + 0.05 AND r2 >= 0.7 THEN 'rewritten again' WHEN e > b2 + 0.05 AND ef >= 0.7 THEN 'expanded' WHEN web THEN 'web' ELSE 'none' END AS m FROM t3)
+SELECT query_id, CASE m WHEN 'decomposed' THEN 1 WHEN 'original' THEN 1 WHEN 'rewritten' THEN 2 WHEN 'rewritten again' THEN 2 WHEN 'expanded' THEN 3 WHEN 'web' THEN 4 ELSE 5 END AS level, CASE m WHEN 'rewritten again' THEN 'rewritten' ELSE m END AS method,
+ round(CASE m WHEN 'decomposed' THEN d WHEN 'original' THEN o WHEN 'rewritten' THEN b1 WHEN 'rewritten again' THEN b2 ELSE b3 END, 6) AS best FROM w"""
 
 
 def _judged(spark, sf_dir):

@@ -190,7 +190,7 @@ def a05_accepted_rounds(spark, sf_dir):
 
 
 A05_SQL = """WITH r AS (SELECT l_orderkey AS answer_id, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS round FROM lineitem),
-o AS (SELECT answer_id, round, l_returnflag <> 'A' AND l_quantity / 50 >= 0.8 AS accepted FROM r WHERE round <= 4 AND (round * 3 <= 8 OR round = 1))
+o AS (SELECT answer_id, round, l_returnflag <> 'A' AND l_quantity / 50 >= 0.8 AS accepted FROM r WHERE round <= 4 AND (round = 1 OR (round - 1) * 3 < 8))
 SELECT answer_id, round, accepted FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY accepted DESC, CASE WHEN accepted THEN round ELSE -round END) AS rn FROM o) WHERE rn = 1"""
 
 QUERIES = {

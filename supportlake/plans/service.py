@@ -175,7 +175,7 @@ def w02_request_rate(spark, sf_dir):
 
 def w07_failure_runs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("service"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return ol.failure_runs(e, 2).select("service", _since_epoch("MICROSECOND", "started").alias("started"), _since_epoch("MICROSECOND", "ended").alias("ended"), "failures")
+    return ol.failure_runs(e, 2, largest=1000).select("service", _since_epoch("MICROSECOND", "started").alias("started"), _since_epoch("MICROSECOND", "ended").alias("ended"), "failures")
 
 
 W07_SQL = """WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportlake.functions import lexicons as lex
-from supportlake.functions.text import empty
+from supportlake.functions.text import empty, stripped
 
 
 def _name(path: Column) -> Column:
@@ -81,17 +81,33 @@ def decode_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", body).withColumn("status", F.when(blank, "partial").otherwise("success"))
 
 
-LAYOUT = "array<struct<bbox:array<int>,category:string,text:string>>"
+ELEMENT = "struct<bbox:array<int>,category:string,text:string>"
+LAYOUT = f"array<{ELEMENT}>"
+
+
+def _mended(c: Column) -> Column:
+    """Missing commas between objects put in, commas before a closing bracket taken out."""
+    return F.regexp_replace(F.regexp_replace(c, r"\}\s*\{", "},{"), r",\s*([\]}])", "$1")
+
+
+def _strictly(c: Column, shape: str) -> Column:
+    """Parsed if the whole text is sound JSON, else null; a lenient parse would keep a part and lose the rest."""
+    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, shape))
 
 
 def repair_json(c: Column) -> Column:
-    """Fence off, then as it is, then salvaged objects that hold a bbox, then with commas mended; null if nothing helps."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")
-    objects = F.regexp_extract_all(bare, F.lit(r"\{[^{}]*\"bbox\"[^{}]*\}"), F.lit(0))
-    mended = F.regexp_replace(F.regexp_replace(bare, r"\}\s*\{", "},{"), r",\s*([\]}])", "$1")
-    good = lambda x: F.when(F.size(F.filter(x, lambda e: e["category"].isNotNull())) > 0, x)
-    parsed = lambda s: good(F.from_json(s, LAYOUT))
-    return F.coalesce(parsed(bare), parsed(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))), parsed(mended))
+    """The layout elements of a model's output, null if nothing can be read.
+
+    The fence goes. An array that is sound as it stands is taken. Else each object that holds a bbox is salvaged, parsed and mended by
+    itself, so one damaged object costs no other. Else the whole text is mended and its array brackets are completed.
+    """
+    bare = F.regexp_replace(F.regexp_replace(stripped(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    objects = F.regexp_extract_all(bare, F.lit(r"\{[^{}]*\"bbox\"\s*:\s*\[[^\]]*\][^{}]*\}"), F.lit(0))
+    salvaged = F.filter(F.transform(objects, lambda o: F.coalesce(_strictly(o, ELEMENT), _strictly(_mended(o), ELEMENT))), lambda e: e.isNotNull())
+    whole = _mended(bare)
+    opened = F.when(whole.startswith("["), whole).otherwise(F.concat(F.lit("["), whole))
+    closed = F.when(opened.endswith("]"), opened).otherwise(F.concat(F.regexp_replace(opened, r"[,\s]+$", ""), F.lit("]")))
+    return F.coalesce(F.when(bare.startswith("["), _strictly(bare, LAYOUT)), F.when(F.size(salvaged) > 0, salvaged), _strictly(closed, LAYOUT))
 
 
 def layout_markdown(df: DataFrame, raw: str = "raw") -> DataFrame:

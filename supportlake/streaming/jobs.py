@@ -70,31 +70,31 @@ def stream_session_memory(messages: DataFrame, kept_turns: int = KEPT_TURNS, kep
     return users.groupBy("session_id").applyInPandasWithState(_remember(kept_turns, kept_chars, idle_minutes, rules), MEMORY, "turns int, texts string, ledger string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_ingest(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str, overlap: int = 80):
+def latest_versions(batch: DataFrame, order: str | None) -> DataFrame:
+    """One row a source: the greatest of `order`, equal ones by the greater text; without an order the greater text. Nulls come first."""
+    by = F.struct(*([F.col(order).isNotNull(), F.col(order)] if order else []), F.col("text").isNotNull(), F.col("text"))
+    return batch.groupBy("source_file").agg(F.max_by("text", by).alias("text"), F.max(F.col(order) if order else F.lit(None)).cast("long").alias("_order"))
+
+
+def stream_ingest(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str, overlap: int = 80, order: str | None = None):
     """New documents (source_file, text) cleaned, chunked and put in place of their source's rows, batch by batch.
 
-    The rows of the touched buckets are written aside first, so no folder is read while it is replaced; a source
-    whose text comes to nothing loses its rows.
+    `order` names a whole-number column (a version, a time in microseconds) that orders the versions of a source within a batch and across
+    batches; an older one that comes late changes nothing. Without it a later batch replaces an earlier one. The index store
+    takes each batch once, under the checkpoint's name and the batch's number, so a batch that is repeated after a stop
+    has no effect. A source whose text comes to nothing loses its rows.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    store = index.IndexStore(spark, folder, index.BUCKETS)
 
     def put(batch: DataFrame, number: int) -> None:
-        cleaned = batch.select("source_file", clean.clean_text(F.col("text")).alias("text"), F.lit(None).cast("string").alias("doc_type"))
-        rows = chunk.number_chunks(chunk.with_overlap(chunk.split_chosen(cleaned, overlap=overlap))).withColumn("access_level", F.lit(0))
-        fresh = index.index_rows(rows)
-        names = batch.select("source_file", F.pmod(F.xxhash64("source_file"), F.lit(index.BUCKETS)).cast("int").alias("source_bucket")).distinct()
-        if fs.exists(path(folder)):
-            old = spark.read.parquet(folder).join(F.broadcast(names.select("source_bucket").distinct()), "source_bucket", "left_semi")  # at most 64 buckets
-            fresh = old.join(names.select("source_file"), "source_file", "left_anti").unionByName(fresh, allowMissingColumns=True)
-        aside = f"{folder}.aside-{number}"
-        fresh.write.mode("overwrite").parquet(aside)
-        whole = spark.read.schema(fresh.schema).parquet(aside)
-        whole.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_bucket").parquet(folder)
-        touched = {r.source_bucket for r in names.select("source_bucket").distinct().collect()}
-        for bucket in touched - {r.source_bucket for r in whole.select("source_bucket").distinct().collect()}:
-            fs.delete(path(f"{folder}/source_bucket={bucket}"), True)
-        fs.delete(path(aside), True)
+        last = latest_versions(batch, order)
+        cleaned = last.select("source_file", "_order", clean.clean_text(F.col("text")).alias("text"), F.lit(None).cast("string").alias("doc_type"))
+        rows = chunk.number_chunks(chunk.with_overlap(chunk.split_chosen(cleaned.drop("_order"), overlap=overlap))).withColumn("access_level", F.lit(0))
+        names = last.select("source_file", "_order")
+        placed = index.index_rows(rows)
+        if order is not None:
+            placed = placed.join(names.withColumnRenamed("source_file", "_s"), placed["source_file"].eqNullSafe(F.col("_s"))).drop("_s")
+        store.replace(f"{checkpoint}#{number}", placed, names, "_order" if order else None)
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

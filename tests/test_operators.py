@@ -136,6 +136,29 @@ def test_accepted_round(spark):
     assert [(r.answer_id, r.round, r.accepted) for r in answers.accepted_round(df).orderBy("answer_id").collect()] == [(1, 2, True), (2, 2, False)]
 
 
+def test_the_call_budget_is_asked_before_a_round(spark):
+    rows = [(1, 1, 0.5, 6), (1, 2, 0.9, 9), (2, 1, 0.5, 8), (2, 2, 0.9, 11), (3, 1, 0.9, 20), (4, 1, 0.1, 3), (4, 2, 0.2, 6), (4, 3, 0.9, 9), (4, 4, 0.3, 12)]
+    df = spark.createDataFrame([(a, r, f, False, c) for a, r, f, c in rows], "answer_id int, round int, faithfulness double, has_hallucination boolean, calls int")
+    assert [(r.answer_id, r.round, r.accepted) for r in answers.accepted_round(df, max_rounds=4).orderBy("answer_id").collect()] == [(1, 2, True), (2, 1, False), (3, 1, True), (4, 3, True)]
+
+
+def test_cascade_keeps_the_best_as_it_goes(spark):
+    """(stage, attempt, first, max) in any order; expected (level, method, best)."""
+    cases = [
+        ([("decomposed", 0, 0.7, 0.8), ("original", 0, 0.9, 0.9)], (1, "decomposed", 0.8)),
+        ([("original", 0, 0.66, 0.66), ("rewritten", 0, 0.695, 0.695), ("rewritten", 1, 0.715, 0.715)], (2, "rewritten", 0.715)),
+        ([("decomposed", 0, 0.69, 0.69), ("original", 0, 0.60, 0.60), ("rewritten", 0, 0.72, 0.72)], (2, "rewritten", 0.72)),
+        ([("original", 0, 0.6, 0.6), ("rewritten", 0, 0.66, 0.66), ("rewritten", 1, 0.7, 0.7), ("expanded", 0, 0.72, 0.72)], (3, "expanded", 0.72)),
+        ([("original", 0, 0.5, 0.6), ("rewritten", 0, 0.69, 0.8), ("expanded", 0, 0.84, 0.84), ("web", 0, 0.5, 0.5)], (4, "web", 0.8)),
+        ([("original", 0, 0.5, 0.5), ("rewritten", 0, 0.1, 0.1), ("rewritten", 1, 0.2, 0.2), ("rewritten", 2, 0.9, 0.9)], (5, "none", 0.5)),
+        ([("rewritten", 0, 0.8, 0.8)], (2, "rewritten", 0.8)),
+        ([("original", 0, None, None), ("expanded", 0, 0.6, 0.6)], (5, "none", 0.6)),
+    ]
+    rows = [(i, *x) for i, (steps, _) in enumerate(cases) for x in reversed(steps)]
+    df = spark.createDataFrame(rows, "query_id int, stage string, attempt int, first_score double, max_score double")
+    assert [(r.level, r.method, r.best) for r in retrieve.cascade(df).orderBy("query_id").collect()] == [want for _, want in cases]
+
+
 def test_fusion_and_cascade(spark):
     arms = spark.createDataFrame([(1, 0, 1, "a", 0.9), (1, 0, 2, "b", 0.8), (1, 1, 1, "b", 7.0), (1, 1, 2, "c", 6.0)], "query_id int, arm int, rank int, chunk_id string, score double")
     assert [(r.chunk_id, r.score) for r in retrieve.rrf(arms).orderBy("rank").collect()] == [("b", 0.8), ("a", 0.9), ("c", 6.0)]
@@ -194,6 +217,17 @@ def test_faq_source(spark):
     assert files.faq_markdown(rows).first().text == "## Q1: q1\na1\n*关键词: k*\n\n## Q3: q3\na3"
 
 
+def test_damaged_layouts_lose_no_other_element(spark):
+    one, three = '{"bbox":[1,2,3,4],"category":"Text","text":"one"}', '{"bbox":[5,6,7,8],"category":"Title","text":"three"}'
+    damaged, trailing = '{"bbox":[1,2],"category":"Text" "text":"two"}', '{"bbox":[1,2],"category":"Text","text":"two",}'
+    cases = {f"{one},{three}": 2, f"{one}\n{three}": 2, f"[{one},{damaged},{three}]": 2, f"[{one},{trailing},{three}": 3, f"```json\n[{one},{three}]\n```": 2, f"[{one},{three},]": 2, "[]": 0, "plain": None, "": 0, "[{": None, None: None}
+    df = spark.createDataFrame([(i, raw) for i, raw in enumerate(cases)], "id int, raw string")
+    got = df.select("id", files.repair_json(F.col("raw")).alias("e")).orderBy("id").collect()
+    assert [None if r.e is None else len(r.e) for r in got] == list(cases.values()) and got[3].e[1].text == "two"
+    shown = {r.id: r.markdown for r in files.layout_markdown(df).collect()}
+    assert shown[0] == shown[2] == "one\n\n# three" and shown[3] == "one\n\ntwo\n\n# three" and shown[7] == "plain"
+
+
 def test_layout_is_repaired(spark):
     raw = '```json\n[{"bbox":[1,2,3,4],"category":"Title","text":"T"} {"bbox":[1,2,3,4],"category":"Table","text":"<table><tr><td>a</td><td>b</td></tr></table>"},]\n```'
     out = [r.markdown for r in files.layout_markdown(spark.createDataFrame([(raw,), ("plain",)], "raw string")).collect()]

@@ -44,8 +44,7 @@ def test_index_keeps_whole_texts_on_request(spark, tmp_path):
     df = spark.createDataFrame([("s", "x" * 9000, None), ("t", "short", 2), ("u", None, 1)], "source_file string, text string, access_level int")
     assert sorted((r.source_file, r.truncated, r.access_level) for r in index.index_rows(df).collect()) == [("s", True, 0), ("t", False, 2), ("u", False, 1)]
     assert index.index_rows(df).filter("length(text) = 8000").count() == 1
-    index.write_index(df, f"file://{tmp_path}/ix", None)
-    assert spark.read.parquet(f"file://{tmp_path}/ix").filter("length(text) = 9000").count() == 1
+    assert index.write_index(df, f"file://{tmp_path}/ix", None).read().filter("length(text) = 9000").count() == 1
 
 
 def test_pages_past_the_limit_stay(spark):

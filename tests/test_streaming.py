@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from supportlake.operators import oplog, sessions
+from supportlake.operators.indexstore import IndexStore
 from supportlake.streaming import jobs
 
 
@@ -71,7 +72,28 @@ def test_ingest_replaces_sources(spark):
     for text in ("the first version of it", "the second version of it"):
         src = stream_of(spark, spark.createDataFrame([("a", text), ("b", "another text of some length")], "source_file string, text string"))
         jobs.stream_ingest(spark, src, folder, tempfile.mkdtemp(dir=ck)).awaitTermination(120)
-    out = spark.read.parquet(folder).select("source_file", F.col("text"), "chunk_index", "chunk_total").collect()
+    out = IndexStore(spark, folder).read().select("source_file", F.col("text"), "chunk_index", "chunk_total").collect()
     assert sorted(map(tuple, out)) == [("a", "the second version of it", 0, 1), ("b", "another text of some length", 0, 1)]
     jobs.stream_ingest(spark, stream_of(spark, spark.createDataFrame([("a", " ")], "source_file string, text string")), folder, tempfile.mkdtemp(dir=ck)).awaitTermination(120)
-    assert [r.source_file for r in spark.read.parquet(folder).collect()] == ["b"]
+    assert [r.source_file for r in IndexStore(spark, folder).read().collect()] == ["b"]
+
+
+def test_ingest_orders_versions(spark):
+    """Two versions in one batch, an older one in the next, then an emptied source whose old version comes late."""
+    folder, ck, src = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
+    shape = "source_file string, text string, version int"
+    text = "version number {} of this text"
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), shape).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_ingest(spark, spark.readStream.schema(shape).parquet(src), f"{folder}/ix", ck, order="version").awaitTermination(120)
+        return {(r.source_file, r.text) for r in IndexStore(spark, f"{folder}/ix").read().collect()}
+
+    assert feed(("a", text.format(2), 2), ("a", text.format(1), 1), ("b", text.format(5), 5)) == {("a", text.format(2)), ("b", text.format(5))}
+    assert feed(("a", text.format(3), 3), ("b", text.format(4), 4)) == {("a", text.format(3)), ("b", text.format(5))}
+    assert feed(("b", " ", 6), (None, text.format(0), 1)) == {("a", text.format(3)), (None, text.format(0))}
+    assert feed(("b", text.format(5), 5)) == {("a", text.format(3)), (None, text.format(0))}
+    assert feed(("b", text.format(7), 7)) == {("a", text.format(3)), (None, text.format(0)), ("b", text.format(7))}
+    at = IndexStore(spark, f"{folder}/ix").versions()
+    assert IndexStore(spark, f"{folder}/ix").replace(f"{ck}#1", spark.createDataFrame([("a", "x")], "source_file string, text string")) is False
+    assert IndexStore(spark, f"{folder}/ix").versions() == at
