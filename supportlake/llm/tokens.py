@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces kept by one worker, some 150 bytes each; beyond it the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 #: Bytes of text encoded at once; one longer text stands alone.
-COLUMN_BYTES = 2_000_000
+COLUMN_BYTES = 4_000_000
 
 _SAFE_SPACE = re.compile(r" (?=\S)")
 
