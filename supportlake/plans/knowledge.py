@@ -39,11 +39,19 @@ def _main_sql() -> str:
     c = "coalesce(html, '')"
     for tag in pages.DROPPED:
         c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
-    region = ", ".join("nullif(regexp_extract(c, '(?is)<" + begin.replace("'", "''") + rf">(.*)</{end}\s*>', 1), '')" for begin, end in pages.REGIONS)
+    quoted = [(begin.replace("'", "''"), name) for begin, name in pages.REGIONS]
+    each = lambda value: " ".join(f"WHEN {k} THEN {value(begin, name)}" for k, (begin, name) in enumerate(quoted, 1))
+    first = " ".join(f"WHEN regexp_matches(c, '(?is)<{begin}>') THEN {k}" for k, (begin, _) in enumerate(quoted, 1))
+    rest = each(lambda begin, _: f"regexp_extract(c, '(?is)<{begin}>(.*)', 1)")
+    tags = each(lambda _, name: rf"regexp_extract_all(r, '(?is)</?{name}\b[^>]*>')")
+    parts = each(lambda _, name: rf"string_split_regex(r, '(?is)</?{name}\b[^>]*>')")
+    opened = "2 * len(list_filter(g[1:i], lambda y: y NOT LIKE '</%')) - i"
     t = r"regexp_replace(r, '(?s)<[^>]*>', chr(10), 'g')"
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = f"replace({t}, '{name}', '{mark}')"
-    return rf"""WITH a AS (SELECT page_id, {c} AS c FROM pages), b AS (SELECT page_id, coalesce({region}, c) AS r FROM a),
+    return rf"""WITH a AS (SELECT page_id, {c} AS c FROM pages), k AS (SELECT page_id, c, CASE {first} ELSE 0 END AS k FROM a), e AS (SELECT page_id, k, CASE k {rest} ELSE c END AS r FROM k),
+    g AS (SELECT page_id, CASE k {tags} ELSE [] END AS g, CASE k {parts} ELSE [r] END AS p FROM e),
+    b AS (SELECT page_id, array_to_string(p[1:coalesce(list_min(list_filter(range(1, len(g) + 1), lambda i: 1 + {opened} = 0)), len(p))], chr(10)) AS r FROM g),
     t AS (SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 2), chr(10)), '') AS t FROM b)
     SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM t"""
 

@@ -7,30 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from supportlake.functions.text import empty
+from supportlake.functions.text import bind, empty
 
 DROPPED = ("script", "style", "nav", "footer", "header", "aside", "noscript")
 
 
-#: Regions in order of preference, each with the name that closes it. A region reaches to the last closing tag of its name.
+#: Regions in order of preference, each with its tag's name. A region ends at the closing tag of its own depth.
 REGIONS = (
     (r"main\b[^>]*", "main"), (r"article\b[^>]*", "article"), (r"div\b[^>]*\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?detail(?:\s[^\"'>]*)?[\"'][^>]*", "div"),
     (r"div\b[^>]*\bid\s*=\s*[\"']detail[\"'][^>]*", "div"), (r"body\b[^>]*", "body"),
 )
 
 
+def inside(html: Column, begin: str, name: str) -> Column:
+    """What the first tag `begin` encloses, tags of its name as line ends: a fold over the tags of that name keeps the depth, and the
+    region ends where it falls to zero. An unclosed region reaches to the end of the page."""
+    tag = F.lit(rf"(?is)</?{name}\b[^>]*>")
+    rest = F.regexp_extract(html, rf"(?is)<{begin}>(.*)", 1)
+
+    def step(a: Column, t: Column) -> Column:
+        depth = F.when(a["depth"] == 0, 0).otherwise(a["depth"] + F.when(t.startswith("</"), -1).otherwise(1))
+        return F.struct(depth.alias("depth"), (a["seen"] + (a["depth"] > 0).cast("int")).alias("seen"))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"))
+    folded = lambda r: F.aggregate(F.regexp_extract_all(r, tag, F.lit(0)), start, step)
+    cut = lambda r, end: F.array_join(F.slice(F.split(r, tag), F.lit(1), F.when(end["depth"] == 0, end["seen"]).otherwise(F.length(r) + 1)), "\n")
+    return bind(rest, lambda r: bind(folded(r), lambda end: cut(r, end)))
+
+
 def main_text(html: Column) -> Column:
     """Boilerplate regions out; the first of main, article, a detail division, body, else all; tags out; stripped lines of more than 2 characters."""
     c = empty(html)
     for tag in DROPPED:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    regions = [F.regexp_extract(c, rf"(?is)<{begin}>(.*)</{end}\s*>", 1) for begin, end in REGIONS]
-    body = F.coalesce(*(F.when(r != "", r) for r in regions), c)
-    text = F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
-    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(mark))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.array_join(F.filter(lines, lambda x: F.length(x) > 2), "\n")
+
+    def text_of(page: Column) -> Column:
+        body = page
+        for begin, name in reversed(REGIONS):
+            body = F.when(page.rlike(rf"(?is)<{begin}>"), inside(page, begin, name)).otherwise(body)
+        text = F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
+        for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+            text = F.replace(text, F.lit(name), F.lit(mark))
+        lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+        return F.array_join(F.filter(lines, lambda x: F.length(x) > 2), "\n")
+
+    return bind(c, text_of)
 
 
 def table_markdown(df: DataFrame, sheet: str, order: str, columns: Sequence[str], cap: int | None = 5000) -> DataFrame:

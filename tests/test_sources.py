@@ -40,6 +40,21 @@ def test_page_regions(spark, html, text):
     assert spark.createDataFrame([(html,)], "h string").select(pages.main_text(F.col("h")).alias("t")).first().t == text
 
 
+def test_regions_end_at_their_own_depth(spark):
+    cases = {
+        "<body><div class='x'>menu one</div><div class='detail'>first<div>inner text</div>last</div><div>after it</div></body>": "first\ninner text\nlast",
+        "<div id=detail2>nothing</div><div id='detail'>wanted<div><div>deep one</div></div></div><div>after it</div>": "wanted\ndeep one",
+        "<main>open <div>region</div> goes on": "open\nregion\ngoes on",
+        "<article></article><body>body text</body>": "",
+        "<main>one text</main><main>two text</main>": "one text",
+        "<div class='detail'>a long one</div></div></div>": "a long one",
+        "<p>plain page</p>": "plain page",
+        "<DIV CLASS=\"big detail\">upper<DIV>case text</DIV></DIV>rest of it": "upper\ncase text",
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(cases)], "i int, h string")
+    assert [r.t for r in df.select("i", pages.main_text(F.col("h")).alias("t")).orderBy("i").collect()] == list(cases.values())
+
+
 def test_index_keeps_whole_texts_on_request(spark, tmp_path):
     df = spark.createDataFrame([("s", "x" * 9000, None), ("t", "short", 2), ("u", None, 1)], "source_file string, text string, access_level int")
     assert sorted((r.source_file, r.truncated, r.access_level) for r in index.index_rows(df).collect()) == [("s", True, 0), ("t", False, 2), ("u", False, 1)]
