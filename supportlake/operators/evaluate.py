@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions.text import cosine, empty, word_overlap
+from supportlake.operators import segments
 
 
 def relevance(hits: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -56,17 +59,40 @@ def latency_percentiles(df: DataFrame, ms: str, by: list[str] | None = None) ->
     return n.groupBy(*(by or [])).agg(*(F.round(F.percentile("_v", F.lit(q / 100), F.col("_n")), 6).alias(f"p{q}") for q in (50, 95, 99)))
 
 
+def wide_percentiles(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """The exact 50th, 95th and 99th percentiles of a column of any size, one row (p50, p95, p99), with E9's interpolation.
+
+    Rows are counted by value, the distinct values are dealt into ranges and their counts summed along them, and the values at
+    the wanted places are picked out. No task holds more than a range of distinct values. Nulls do not count; no values give nulls.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    total = counted.agg(F.sum("_c")).first()[0] or 0
+    upto = segments.with_sums(counted.withColumn("_k", F.lit(0)), "_k", [F.col("_v")], running={"_n": F.col("_c")}, parts=parts)
+    at, out = lambda place: F.max(F.when((F.col("_n") > place) & (F.col("_n") - F.col("_c") <= place), F.col("_v"))), []
+    for q in (50, 95, 99):
+        spot = (total - 1) * (q / 100)
+        low, high = math.floor(spot), math.ceil(spot)
+        out.append((at(low) if low == high else (high - spot) * at(low) + (spot - low) * at(high)).alias(f"p{q}"))
+    return upto.agg(*out)
+
+
 MEANS = ("recall", "rr", "precision", "ndcg", "faithfulness", "coverage", "latency_score", "hallucination", "rounds")
 
 
-def summary(cases: DataFrame) -> DataFrame:
+def summary(cases: DataFrame, wide: bool = False) -> DataFrame:
     """Means over all cases, latency and its percentiles, rates; columns that a table of cases lacks are left out.
 
-    cases (recall, rr, precision, ndcg, faithfulness, coverage, latency_score, hallucination 0/1, rounds, latency_ms).
+    cases (recall, rr, precision, ndcg, faithfulness, coverage, latency_score, hallucination 0/1, rounds, latency_ms). With `wide` the
+    percentiles come from ranges of values: the same numbers, for tables with more distinct latencies than one task can hold.
     """
-    means = [F.round(F.avg(c), 4).alias(c) for c in MEANS if c in cases.columns]
-    ms = [F.round(F.avg("latency_ms"), 1).alias("avg_ms"), *(F.round(F.percentile("latency_ms", F.lit(q / 100)), 1).alias(f"p{q}_ms") for q in (50, 95, 99))] if "latency_ms" in cases.columns else []
-    return cases.agg(F.count("*").alias("n"), *means, *ms)
+    means = [F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in MEANS if c in cases.columns)]
+    if "latency_ms" not in cases.columns:
+        return cases.agg(*means)
+    means.append(F.round(F.avg("latency_ms"), 1).alias("avg_ms"))
+    if wide:
+        spots = wide_percentiles(cases, "latency_ms").select(*(F.round(f"p{q}", 1).alias(f"p{q}_ms") for q in (50, 95, 99)))
+        return cases.agg(*means).join(F.broadcast(spots))  # one row
+    return cases.agg(*means, *(F.round(F.percentile("latency_ms", F.lit(q / 100)), 1).alias(f"p{q}_ms") for q in (50, 95, 99)))
 
 
 def gate(result: DataFrame, limits: dict[str, float], failed: DataFrame | None = None) -> DataFrame:

@@ -6,14 +6,13 @@ top-k. Ranking windows are of the form row_number() <= k over the query, which S
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
 from supportlake.functions.text import any_of, dot, empty, norm, tokens
 from supportlake.operators.lexindex import bm25_topk
+from supportlake.operators.vectors import dense_topk
 
 ROUND = 6
 
@@ -35,38 +34,6 @@ def l2_normalise(df: DataFrame, vec: str = "vector") -> DataFrame:
     return df.withColumn(vec, F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
-#: Queries and vectors of a block; a pair of blocks is one matrix product.
-QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: float = 0.7) -> DataFrame:
-    """R2: exact inner products of every query with every vector, top k, then score >= threshold, rounded to 4.
-
-    queries (query_id, qvec), vectors (chunk_id, vector). Both sides are dealt into blocks; a task holds one block of
-    each and sends on the k best of each query, so products are never shuffled. Vectors of another length match nothing.
-    """
-    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.filter("qvec is not null").select("query_id", F.col("qvec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nv).alias("vb"))
-    v = vectors.filter("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("x"), F.pmod(F.xxhash64("chunk_id"), F.lit(nv)).cast("int").alias("vb"), spread(nq).alias("qb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": left.query_id[:0], "chunk_id": right.chunk_id[:0], "raw": np.zeros(0)})]
-        for dim, some in left.groupby(left.x.map(len)):
-            fits = right[right.x.map(len) == dim].sort_values("chunk_id")
-            if not len(fits):
-                continue
-            ids, raw = fits.chunk_id.to_numpy(), np.stack(some.x.tolist()) @ np.stack(fits.x.tolist()).T
-            for query, row in zip(some.query_id, raw, strict=True):
-                at = np.argsort(-np.round(row, ROUND), kind="stable")[:k]  # ties by chunk_id
-                parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids[at], "raw": row[at]}))
-        return pd.concat(parts, ignore_index=True)
-
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    scored = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, raw double")
-    return top(scored, k, F.desc(F.round("raw", ROUND)), F.col("chunk_id")).filter(F.col("raw") >= threshold).select("query_id", "chunk_id", F.round("raw", 4).alias("score"), "rank")
-
-
 def weighted_hybrid(sparse: DataFrame, dense: DataFrame, ws: float = 0.3, wd: float = 0.7, k: int = 5) -> DataFrame:
     """Each arm scaled to [0, 1] by the query's best score, weighted, missing sides count 0."""
     best = lambda df, name: df.select("query_id", "chunk_id", (F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).alias(name))

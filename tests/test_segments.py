@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from supportlake.functions.tables import OwnTable
-from supportlake.operators import index, oplog, segments, sessions
+from supportlake.operators import evaluate, index, oplog, segments, sessions
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,13 @@ def test_pages_and_messages_by_ranges(spark):
     said = spark.createDataFrame([(rnd.choice("ssst"), i, "user", rnd.choice(["", None, "x" * 30, "y" * 7])) for i in range(900)], "session_id string, msg_id int, role string, content string")
     for budget in (100, 900):
         assert sorted(map(tuple, sessions.context_window(said, budget, 3, largest=10).collect()), key=repr) == sorted(map(tuple, sessions.context_window(said, budget, 3).collect()), key=repr)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 777])
+def test_wide_percentiles_are_exact(spark, n):
+    rnd = random.Random(n)
+    df = spark.createDataFrame([(None if i == 5 else rnd.choice([1.0, 2.5, rnd.random() * 100]),) for i in range(n)], "latency_ms double")
+    want = df.agg(*(F.percentile("latency_ms", F.lit(q / 100)).alias(f"p{q}") for q in (50, 95, 99))).first()
+    got = evaluate.wide_percentiles(df, "latency_ms", 5).collect()
+    assert len(got) == 1 and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got[0], want, strict=True))
+    assert tuple(evaluate.summary(df, wide=True).first()) == tuple(evaluate.summary(df).first())
