@@ -40,6 +40,8 @@ SHARD_TOKENS = 1_000_000
 #: Sampled points a shard from which the ranges are cut.
 POINTS = 64
 K1, B = 1.2, 0.75
+#: A token's list is kept as a whole row once more than one document in this many holds it.
+DENSE = 8
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -181,13 +183,22 @@ class Index:
         self.weight = idf[token] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.starts = np.searchsorted(token, np.arange(len(idf) + 1))
         self.free = np.ones(len(docs), dtype=bool)
+        # Lists that hold more than a part in DENSE of all documents stand as whole rows, so that a query adds them in sequence; DENSE times the postings at most.
+        heavy = np.flatnonzero(np.diff(self.starts) * DENSE > len(docs))
+        self.row = np.full(len(idf), -1)
+        self.row[heavy] = np.arange(len(heavy))
+        self.rows, own = np.zeros((len(heavy), len(docs))), self.row[token]
+        self.rows[own[own >= 0], self.doc[own >= 0]] = self.weight[own >= 0]
 
     def neighbours(self, text: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score for the tokens of `text`; ties by place."""
-        t = np.unique(text)
+        t = np.sort(text)  # by radix for two-byte ids, faster than np.unique
+        t = t[np.concatenate([[True], t[1:] != t[:-1]])]
+        dense = self.row[t]
+        t, dense = t[dense < 0], dense[dense >= 0]
         size = self.starts[t + 1] - self.starts[t]
         at = np.repeat(self.starts[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.free))
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.free)) + self.rows[dense].sum(axis=0)
         score[~self.free] = -1
         left = int(self.free.sum())
         for most in (32, left):
