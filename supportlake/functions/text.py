@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from supportlake.functions.words import FEW, group_numbers
+
 HAN = "[一-鿿]"
 
 
@@ -94,10 +96,15 @@ def word_overlap(a: Column, s: Column) -> Column:
 
 def hits(c: Column, words: Sequence[str]) -> Column:
     """Those of `words` that the text holds, in order."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(empty(c), w))
+    listed = F.array(*map(F.lit, words))
+    if len(words) > FEW:
+        return F.transform(group_numbers(c, [(w,) for w in words]), lambda i: F.get(listed, i))
+    return F.filter(listed, lambda w: F.contains(empty(c), w))
 
 
 def any_of(c: Column, words: Sequence[str]) -> Column:
+    if len(words) > FEW:
+        return F.size(group_numbers(c, [words])) > 0
     found = F.lit(False)
     for w in words:
         found = found | F.contains(empty(c), F.lit(w))
@@ -144,11 +151,15 @@ def strip_inline_images(c: Column) -> Column:
     return F.regexp_replace(c, r"!\[[^\]]*\]\(data:image/[^;)]+;base64,[A-Za-z0-9+/=]+\)", "![图片]")
 
 
-def first_label(c: Column, rules: Sequence[tuple], default: Column) -> Column:
-    """The label of the first rule (priority, label, ..., words) of which the text holds a word."""
+def first_label(c: Column, rules: Sequence[tuple], default: Column, at: int = 1) -> Column:
+    """The label (or the entry `at` another place) of the first rule (priority, label, ..., words) of which the text holds a word."""
+    ordered = sorted(rules, key=lambda r: r[0])
+    if sum(len(r[-1]) for r in ordered) > FEW:
+        first = F.get(group_numbers(c, [r[-1] for r in ordered]), 0)
+        return F.coalesce(F.get(F.array(*(F.lit(r[at]) for r in ordered)), first), default)
     out = default
-    for rule in sorted(rules, key=lambda r: -r[0]):
-        out = F.when(any_of(c, rule[-1]), F.lit(rule[1])).otherwise(out)
+    for rule in reversed(ordered):
+        out = F.when(any_of(c, rule[-1]), F.lit(rule[at])).otherwise(out)
     return out
 
 

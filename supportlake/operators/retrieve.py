@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
 from supportlake.functions.text import any_of, dot, empty, norm, tokens
+from supportlake.functions.words import FEW, group_numbers
 from supportlake.operators.lexindex import bm25_topk
 from supportlake.operators.vectors import dense_topk
 
@@ -70,6 +71,11 @@ def in_force(df: DataFrame, today: str) -> DataFrame:
 def expand_synonyms(queries: DataFrame, groups: dict[str, tuple[str, ...]] = lex.SYNONYMS) -> DataFrame:
     """For each group of which the query holds a member, its absent members are appended in order."""
     q, extra = empty(F.col("query")), F.array().cast("array<string>")
+    members = [(head, *variants) for head, variants in groups.items()]
+    if sum(map(len, members)) > FEW:
+        listed = F.array(*(F.array(*map(F.lit, m)) for m in members))
+        extra = F.flatten(F.transform(group_numbers(q, members), lambda g: F.filter(F.get(listed, g), lambda w: ~F.contains(q, w))))
+        return queries.withColumn("expanded", F.concat_ws(" ", q, F.array_distinct(extra)))
     for head, variants in groups.items():
         members = (head, *variants)
         absent = F.filter(F.array(*map(F.lit, members)), lambda w: ~F.contains(q, w))

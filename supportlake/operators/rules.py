@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
 from supportlake.functions.text import any_of, empty, first_label, hits
+from supportlake.functions.words import FEW, group_numbers
 
 
 def classify_intent(df: DataFrame, rules: Sequence[tuple] = lex.INTENT_RULES, text: str = "text") -> DataFrame:
     """The first rule by priority gives intent and confidence."""
     c = F.lower(empty(F.col(text)))
-    confidence = F.lit(lex.DEFAULT_CONFIDENCE)
-    for rule in sorted(rules, key=lambda r: -r[0]):
-        confidence = F.when(any_of(c, rule[3]), F.lit(rule[2])).otherwise(confidence)
+    confidence = first_label(c, rules, F.lit(lex.DEFAULT_CONFIDENCE), 2)
     return df.withColumn("intent", first_label(c, rules, F.lit(lex.DEFAULT_INTENT))).withColumn("confidence", confidence)
 
 
@@ -55,15 +54,22 @@ def emotion(df: DataFrame, text: str = "text", extreme=lex.EXTREME, angry=lex.AN
     return df.withColumn("emotion", level).withColumn("emotion_confidence", F.round(sure, 4))
 
 
-def escalate(df: DataFrame, rules: Sequence[tuple] = lex.HUMAN_RULES, unsure: Sequence[str] = lex.UNSURE) -> DataFrame:
-    """(needs_human, scenario, priority) from emotion, intent, words of the text, the answer and the confidence."""
-    none = F.lit(None).cast("string")
-    by_rule = first_label(F.col("text"), rules, none)
-    low = any_of(F.col("answer"), unsure) | F.coalesce(F.col("confidence") < 0.4, F.lit(False))
-    hot = (F.col("emotion") == "extreme") | ((F.col("emotion") == "angry") & F.col("intent").isin("return_refund", "complaint", "order_query"))
-    scenario = F.when(hot, "high_emotion").otherwise(F.coalesce(by_rule, F.when(low, "low_confidence"), F.lit("")))
+def escalate(df: DataFrame, rules: Sequence[tuple] = lex.HUMAN_RULES, unsure: Sequence[str] = lex.UNSURE, reasons: Mapping[str, str] = lex.REASONS) -> DataFrame:
+    """(needs_human, scenario, priority, reason) from emotion, intent, words of the text, the answer and the confidence, in this order.
+
+    The reason is the text an agent reads; a rule of the caller's own without one has its label there. No escalation: empty strings.
+    """
+    extreme = F.col("emotion") == "extreme"
+    angry = (F.col("emotion") == "angry") & F.col("intent").isin("return_refund", "complaint", "order_query")
+    by_rule = first_label(F.col("text"), rules, F.lit(None).cast("string"))
+    doubted, low = any_of(F.col("answer"), unsure), F.coalesce(F.col("confidence") < 0.4, F.lit(False))
+    hot = F.coalesce(extreme | angry, F.lit(False))
+    scenario = F.when(hot, "high_emotion").otherwise(F.coalesce(by_rule, F.when(doubted | low, "low_confidence"), F.lit("")))
     ranks = F.create_map(*[F.lit(x) for r in rules for x in (r[1], r[2])], F.lit("high_emotion"), F.lit("high"), F.lit("low_confidence"), F.lit("low"))
-    return df.withColumn("scenario", scenario).withColumn("needs_human", F.col("scenario") != "").withColumn("priority", F.coalesce(ranks[F.col("scenario")], F.lit("")))
+    told = F.create_map(*[F.lit(x) for r in rules for x in (r[1], reasons.get(r[1], r[1]))], F.lit(""), F.lit(""))
+    label = F.col("scenario")
+    reason = F.when(label == "high_emotion", F.when(extreme, lex.EXTREME_REASON).otherwise(lex.ANGRY_REASON)).when(label == "low_confidence", F.when(doubted, lex.UNSURE_REASON).otherwise(lex.LOW_REASON)).otherwise(told[label])
+    return df.withColumn("scenario", scenario).withColumn("needs_human", label != "").withColumn("priority", F.coalesce(ranks[label], F.lit(""))).withColumn("reason", reason)
 
 
 def reply_template(scenario: Column) -> Column:
@@ -73,6 +79,9 @@ def reply_template(scenario: Column) -> Column:
 
 def policy_scenarios(text: Column, rules: Sequence[tuple] = lex.POLICY_RULES) -> Column:
     """All scenarios with a hit, in order."""
+    if sum(len(r[2]) for r in rules) > FEW:
+        ordered = sorted(rules)
+        return F.transform(group_numbers(text, [r[2] for r in ordered]), lambda i: F.get(F.array(*(F.lit(r[1]) for r in ordered)), i))
     return F.array_compact(F.array(*(F.when(any_of(text, words), F.lit(label)) for _, label, words in sorted(rules))))
 
 
@@ -89,9 +98,9 @@ def needs_web(n_docs: Column, level: Column) -> Column:
 
 
 def handoff(df: DataFrame, memory_chars: int = 500) -> DataFrame:
-    """X11: one JSON record for the agent; empty entities are left out, the memory is cut to `memory_chars`."""
+    """X11: one JSON record for the agent; empty entities are left out, the memory is cut to `memory_chars`, the reason is the escalation's."""
     entities = F.map_filter(F.create_map(*[x for c in ("order_id", "tracking_number", "product_name") for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: F.length(empty(v)) > 0)
-    record = F.struct("text", "intent", "emotion", entities.alias("entities"), F.substring(empty(F.col("memory")), 1, memory_chars).alias("memory"), "attempts", F.col("scenario").alias("reason"))
+    record = F.struct("text", "intent", "emotion", entities.alias("entities"), F.substring(empty(F.col("memory")), 1, memory_chars).alias("memory"), "attempts", "reason")
     return df.withColumn("handoff", F.to_json(record))
 
 

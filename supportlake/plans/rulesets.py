@@ -58,10 +58,13 @@ def _x06_sql() -> str:
     from supportlake.functions import lexicons as lex
 
     reply = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.REPLIES.items())
+    told = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.REASONS.items())
+    reason = f"""CASE scenario {told} WHEN 'high_emotion' THEN CASE WHEN emotion = 'extreme' THEN '{lex.EXTREME_REASON}' ELSE '{lex.ANGRY_REASON}' END
+     WHEN 'low_confidence' THEN CASE WHEN turn % 5 = 0 THEN '{lex.UNSURE_REASON}' ELSE '{lex.LOW_REASON}' END ELSE '' END"""
     rule = "CASE WHEN contains(text, 'oux') THEN 'refund_request' WHEN contains(text, 'ungen') THEN 'complaint' WHEN contains(text, 'ando') THEN 'high_value_order' WHEN turn % 5 = 0 OR confidence < 0.4 THEN 'low_confidence' ELSE '' END"
     return f"""WITH s AS (SELECT *, CASE WHEN emotion = 'extreme' OR (emotion = 'angry' AND intent IN ('return_refund', 'complaint', 'order_query')) THEN 'high_emotion' ELSE {rule} END AS scenario FROM {ASKED})
     SELECT conv_id, turn, scenario, CASE WHEN scenario IN ('high_emotion', 'refund_request', 'complaint') THEN 'high' WHEN scenario = 'high_value_order' THEN 'medium' WHEN scenario = 'low_confidence' THEN 'low' ELSE '' END AS priority,
-     md5(CASE scenario {reply} ELSE '{lex.DEFAULT_REPLY}' END) AS reply_md5, order_id, least(500, 3 * length(text)) AS memory_chars, scenario AS reason FROM s"""
+     md5(CASE scenario {reply} ELSE '{lex.DEFAULT_REPLY}' END) AS reply_md5, order_id, least(500, 3 * length(text)) AS memory_chars, {reason} AS reason FROM s"""
 
 
 def x09_policy_answers(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Operators on literal rows."""
 
+import json
 from datetime import date
 
 import pytest
@@ -91,6 +92,12 @@ def test_escalation_order(spark):
     rows = [("退款", "chitchat", "calm", "", 0.9), ("好", "complaint", "angry", "", 0.9), ("好", "chitchat", "calm", "不确定", None), ("好", "chitchat", "calm", "", 0.3), ("团购", "x", "calm", "", None), ("好", "x", "calm", "", None)]
     df = spark.createDataFrame(rows, "text string, intent string, emotion string, answer string, confidence double")
     assert [(r.scenario, r.priority) for r in rules.escalate(df).collect()] == [("refund_request", "high"), ("high_emotion", "high"), ("low_confidence", "low"), ("low_confidence", "low"), ("high_value_order", "medium"), ("", "")]
+    told = [r.reason for r in rules.escalate(df).collect()]
+    assert told == [lex.REASONS["refund_request"], lex.ANGRY_REASON, lex.UNSURE_REASON, lex.LOW_REASON, lex.REASONS["high_value_order"], ""]
+    own = rules.escalate(df.limit(1).withColumn("emotion", F.lit("extreme"))).first(), rules.escalate(df.limit(1), ((1, "mine", "high", ("退",)),)).first()
+    assert [(r.scenario, r.reason) for r in own] == [("high_emotion", lex.EXTREME_REASON), ("mine", "mine")]
+    handed = rules.escalate(df).limit(1).selectExpr("*", "'' order_id", "'' tracking_number", "'' product_name", "'m' memory", "2 attempts")
+    assert json.loads(rules.handoff(handed).first().handoff)["reason"] == lex.REASONS["refund_request"]
 
 
 def test_policy_answer_joins_scenarios(spark):
