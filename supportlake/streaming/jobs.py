@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from supportlake.functions import lexicons as lex
 from supportlake.operators import chunk, clean, index, oplog
@@ -44,30 +46,68 @@ def _values(text: str, rules) -> Iterator[tuple[str, str]]:
                 yield kind, found.strip()
 
 
-def _remember(kept_turns: int, kept_chars: int, idle_minutes: int, rules):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns, texts, known = state.get if state.exists else (0, "[]", "{}")
-        kept, ledger = json.loads(texts), json.loads(known)
-        for b in batches:
-            for number, t in b.sort_values("msg_id")[["msg_id", "content"]].fillna({"content": ""}).itertuples(index=False):
-                turns += 1
-                kept = [*kept, t[:kept_chars]][-kept_turns:]
-                for kind, value in _values(t, rules):
-                    ledger[f"{kind}:{value}"] = int(number)  # the latest message, in order of first sight
-        state.update((turns, json.dumps(kept), json.dumps(ledger)))
-        state.setTimeoutDuration(idle_minutes * 60 * 1000)
-        yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "last_text": [kept[-1] if kept else ""], "n_entities": [len(ledger)], "ledger": [json.dumps(ledger, ensure_ascii=False)]})
-
-    return step
+#: The store of keyed state that holds values, lists, maps and timers by key, so that a change writes what changed.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SessionMemory(StatefulProcessor):
+    """A session's state: its counts, a ring of its last texts by turn, and the ledger of entities by name. A turn writes one entry of the ring and one for each entity it names."""
+
+    def __init__(self, kept_turns: int, kept_chars: int, idle_minutes: int, rules):
+        self.kept_turns, self.kept_chars, self.idle, self.rules = kept_turns, kept_chars, idle_minutes * 60 * 1000, rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "turns int, last_msg long, last_text string")
+        self.ring = handle.getMapState("ring", "slot int", "turn int, text string")
+        self.ledger = handle.getMapState("ledger", "name string", "place int, msg long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        turns, last_msg, last_text = self.counts.get() if self.counts.exists() else (0, None, "")
+        known = {name: (place, msg) for (name,), (place, msg) in self.ledger.iterator()}
+        named, slots = set(), {}  # what this batch changes; each is written once
+        for b in rows:
+            for number, text in b.sort_values("msg_id")[["msg_id", "content"]].fillna({"content": ""}).itertuples(index=False):
+                turns, number, cut = turns + 1, int(number), text[: self.kept_chars]
+                slots[turns % self.kept_turns] = (turns, cut)
+                if last_msg is None or number >= last_msg:
+                    last_msg, last_text = number, cut
+                for kind, value in _values(text, self.rules):
+                    place, seen = known.get(f"{kind}:{value}", (len(known), number))
+                    known[f"{kind}:{value}"] = (place, max(seen, number))
+                    named.add(f"{kind}:{value}")
+        for slot, kept in slots.items():
+            self.ring.updateValue((slot,), kept)
+        for name in named:
+            self.ledger.updateValue((name,), known[name])
+        self.counts.update((turns, last_msg, last_text))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        told = json.dumps({name: msg for name, (_, msg) in sorted(known.items(), key=lambda x: x[1][0])}, ensure_ascii=False)
+        yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "last_text": [last_text], "n_entities": [len(known)], "ledger": [told]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        self.ring.clear()
+        self.ledger.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_session_memory(messages: DataFrame, kept_turns: int = KEPT_TURNS, kept_chars: int = KEPT_CHARS, idle_minutes: int = 30, rules=lex.ENTITIES) -> DataFrame:
-    """Turns, recent texts and the entity ledger of a session as keyed state, dropped after silence."""
-    users = messages.filter("role = 'user'").select("session_id", "msg_id", "content")
-    return users.groupBy("session_id").applyInPandasWithState(_remember(kept_turns, kept_chars, idle_minutes, rules), MEMORY, "turns int, texts string, ledger string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """Turns, recent texts and the entity ledger of a session as keyed state, dropped by a timer after silence.
+
+    One row for each session of a batch. What a turn writes does not grow with the session; the row's ledger is read whole. The last text is that of the
+    greatest msg_id, a ledger's entry names the latest message. Needs the RocksDB state store, which is set for the session where another is.
+    """
+    spark = messages.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    users = messages.filter("role = 'user'").select("session_id", F.col("msg_id").cast("long").alias("msg_id"), "content")
+    return users.groupBy("session_id").transformWithStateInPandas(SessionMemory(kept_turns, kept_chars, idle_minutes, rules), MEMORY, "Update", "ProcessingTime")
 
 
 def latest_versions(batch: DataFrame, order: str | None) -> DataFrame:
