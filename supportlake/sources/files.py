@@ -158,11 +158,61 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*known, *(c for c in df.columns if c not in CATALOGUE))
 
 
-def read_jdbc_table(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
-    """Orders and tracking from a database; filters and columns are pushed down. With a numeric `column` and its bounds, `parts` tasks read ranges of it."""
+def _read_jdbc(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str, bounds: tuple[int, int] | None, parts: int) -> DataFrame:
+    if bounds is None or parts == 1:
+        return spark.read.jdbc(url, table, properties=props)
+    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1] + 1, numPartitions=parts, properties=props)
+
+
+def key_bounds(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str) -> tuple[int, int] | None:
+    """The least and greatest key of a table, asked of the database in one row; None for a table without keys."""
+    asked = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) b"
+    least, greatest = spark.read.jdbc(url, asked, properties=props).first()
+    return None if least is None else (int(least), int(greatest))
+
+
+def read_jdbc_table(spark: SparkSession, url: str, table: str, props: dict[str, str], column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1) -> DataFrame:
+    """Orders and tracking from a database; filters and columns are pushed down.
+
+    With a whole-number `column`, `parts` tasks read ranges of it; bounds that are not given are asked of the database. All rows are read, whatever the bounds,
+    and rows without a key are in the first range.
+    """
     if column is None:
         return spark.read.jdbc(url, table, properties=props)
-    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=props)
+    return _read_jdbc(spark, url, table, props, column, bounds or key_bounds(spark, url, table, props, column), parts)
+
+
+class NewRows:
+    """S11 in steps: rows of a database table above the last key that was read, which the folder `marks` remembers.
+
+    `read()` gives the rows and their greatest key; `done(key)` is called once they are stored. A stop between the two reads the same rows
+    again; a mark is a folder named by its key, made in one step, and never goes back. Rows without a key, and changes of rows read
+    before, are not seen: the whole read has them.
+    """
+
+    def __init__(self, spark: SparkSession, url: str, table: str, props: dict[str, str], key: str, marks: str, parts: int = 1):
+        self.spark, self.source, self.key, self.parts = spark, (url, table, props), key, parts
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def last(self) -> int | None:
+        if not self.files.exists(self.path):
+            return None
+        return max((int(s.getPath().getName().removeprefix("key=")) for s in self.files.listStatus(self.path)), default=None)
+
+    def read(self) -> tuple[DataFrame, int | None]:
+        """New rows up to the greatest key of this moment, and that key (None: no new rows)."""
+        url, table, props = self.source
+        last = self.last()
+        above = f"(SELECT * FROM {table} WHERE {self.key} > {last}) n" if last is not None else table
+        bounds = key_bounds(self.spark, url, above, props, self.key)
+        rows = _read_jdbc(self.spark, url, above, props, self.key, bounds, self.parts)
+        upto = bounds[1] if bounds else None
+        return rows.filter(F.col(self.key) <= upto if bounds else F.lit(False)), upto
+
+    def done(self, key: int | None) -> None:
+        if key is not None:
+            self.files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(self.path, f"key={key}"))
 
 
 def load_report(parsed: DataFrame, errors: str = "errors") -> DataFrame:

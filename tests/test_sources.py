@@ -2,6 +2,8 @@
 
 import datetime as dt
 import decimal
+import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,30 @@ def test_redacted_write_and_long_input(spark, tmp_path):
 def test_files_tell_their_type(spark):
     df = spark.createDataFrame([(bytearray(b"%PDF-1"), "pdf"), (bytearray(b"%PDF-1"), "word"), (bytearray(b"plain"), "pdf"), (None, "pdf")], "content binary, doc_type string")
     assert [r.w for r in df.select(index.type_warning(F.col("content"), F.col("doc_type")).alias("w")).collect()] == [None, "content is pdf, not word", None, None]
+
+
+def test_database_is_read_by_ranges_and_in_steps(spark):
+    """An embedded database: bounds found by the reader, rows without a key, an empty table, then new rows alone and again after a stop."""
+    url, props = f"jdbc:derby:memory:{os.path.basename(tempfile.mkdtemp(prefix='spark-', dir='/tmp')).replace('-', '')};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    marks = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/marks"
+    put = lambda ids: spark.createDataFrame([(i, f"x{i}") for i in ids], "ID long, NAME string").coalesce(1).write.jdbc(url, "ORDERS", "append", props)
+    put([])
+    assert files.key_bounds(spark, url, "ORDERS", props, "ID") is None
+    new = files.NewRows(spark, url, "ORDERS", props, "ID", marks, 3)
+    rows, upto = new.read()
+    assert rows.count() == 0 and upto is None
+    put([*range(100), None])
+    whole = files.read_jdbc_table(spark, url, "ORDERS", props, "ID", parts=4)
+    assert files.key_bounds(spark, url, "ORDERS", props, "ID") == (0, 99)
+    assert whole.rdd.getNumPartitions() == 4 and sorted(r.ID for r in whole.filter("ID is not null").collect()) == list(range(100)) and whole.count() == 101
+    sizes = [n for n in whole.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert max(sizes) <= 27
+    rows, upto = new.read()
+    put([100])  # comes while the rows are stored: the next step's
+    assert upto == 99 and sorted(r.ID for r in rows.collect()) == list(range(100))
+    assert new.read()[1] == 100 and new.last() is None  # a stop before `done`: all again
+    new.done(upto)
+    rows, upto = files.NewRows(spark, url, "ORDERS", props, "ID", marks).read()
+    assert [r.ID for r in rows.collect()] == [100] and upto == 100
+    new.done(upto)
+    assert new.read()[1] is None and new.read()[0].count() == 0
