@@ -80,3 +80,38 @@ def sweep_sql() -> str:
     m AS (SELECT source_file, target, len(z) AS n, coalesce(list_avg(z), 0) AS a, coalesce(list_stddev_pop(z), 0) AS d FROM x),
     c AS (SELECT *, round(0.4 * CASE WHEN a > 0 THEN greatest(0, 1 - d / a) ELSE 0 END + 0.3 * greatest(0, 1 - abs(a - target) / target) + 0.3 * CASE WHEN n BETWEEN 5 AND 50 THEN 1 WHEN n < 5 THEN n / 5.0 ELSE greatest(0, 1 - (n - 50) / 100.0) END, 6) AS score FROM m)
     SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, target) AS rank, target, n AS n_chunks, round(a, 4) AS avg_size, round(d, 4) AS std_size, score FROM c"""
+
+
+def packed(items: str, limit: int) -> str:
+    """The starts (1-based) of runs of `items` whose token sums stay within the limit."""
+    sized = f"list_transform({items}, lambda c, i: {{'ss': [CAST(i AS INTEGER)], 't': {tokens('c')}}})"
+    return f"list_reduce({sized}, lambda a, v: CASE WHEN a.t + v.t <= {limit} THEN {{'ss': a.ss, 't': a.t + v.t}} ELSE {{'ss': list_concat(a.ss, v.ss), 't': v.t}} END).ss"
+
+
+#: A conversation as one text: a user's turn is a question, a paragraph begins after each full stop.
+TALK = r"""(SELECT CAST(conv_id AS VARCHAR) AS s, string_agg(CASE WHEN role = 'user' THEN '## Q' || turn || ': ' ELSE '' END || regexp_replace(coalesce(text, ''), '\.\s+', '.' || chr(10) || chr(10), 'g'), chr(10)
+ ORDER BY turn, role, coalesce(text, '')) AS t FROM conversations GROUP BY conv_id)"""
+
+
+def faq_sql(target: int, most: int) -> str:
+    """Pairs cut before each question mark; a long pair by paragraphs, later ones led by the question."""
+    marked = r"regexp_replace(t, '(?m)^(##\s*Q[0-9]+[：:])', chr(1) || '\1', 'g')"
+    pairs = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
+    first = "string_split(p, chr(10))[1]"
+    asked = rf"coalesce(nullif(regexp_extract({first}, '^#{{2,6}}\s*Q?[0-9]*[：:\s]*(.+)$', 1), ''), substring({first}, 1, 100))"
+    run = "array_to_string(w[st[k]:coalesce(st[k + 1], len(w) + 1) - 1], chr(10) || chr(10))"
+    led = f"CASE WHEN k = 1 THEN '' ELSE '_（接上问：' || q || '）_' || chr(10) || chr(10) END || {STRIP.format(run)}"
+    return f"""WITH a AS (SELECT s, unnest({pairs}) AS p, unnest(range(0, len({pairs}))) AS n FROM {TALK}), b AS (SELECT *, string_split(p, chr(10) || chr(10)) AS w, {asked} AS q FROM a),
+    c AS (SELECT *, {packed('w', most)} AS st FROM b),
+    d AS (SELECT s, n, CASE WHEN {tokens('p')} <= {max(most, 2 * target)} THEN [p] ELSE list_transform(range(1, len(st) + 1), lambda k: {led}) END AS x FROM c), e AS (SELECT s, n, unnest(x) AS x, unnest(range(0, len(x))) AS k FROM d)
+    SELECT s AS source_file, row_number() OVER (PARTITION BY s ORDER BY n, k) - 1 AS chunk_index, md5(x) AS text_md5 FROM e"""
+
+
+def markdown_sql(most: int) -> str:
+    """Sections by second-level headings; a section above the limit by its paragraphs. No paragraph of these conversations is longer, so the hard cut is left to the literal rows of the tests."""
+    sections = f"list_filter(string_split(regexp_replace(t, '\n(## )', chr(1) || '\\1', 'g'), chr(1)), lambda x: {STRIP.format('x')} <> '')"
+    paras = f"list_filter(string_split(p, chr(10) || chr(10)), lambda x: {STRIP.format('x')} <> '')"
+    run = STRIP.format("array_to_string(w[st[k]:coalesce(st[k + 1], len(w) + 1) - 1], chr(10) || chr(10))")
+    return f"""WITH z AS (SELECT s, {sections} AS z FROM {TALK}), a AS (SELECT s, unnest(z) AS p, unnest(range(0, len(z))) AS n, len(z) AS m FROM z), b AS (SELECT *, {paras} AS w FROM a), c AS (SELECT *, {packed('w', most)} AS st FROM b),
+    d AS (SELECT s, n, CASE WHEN m > 1 AND {tokens('p')} <= {most} THEN [{STRIP.format('p')}] ELSE list_transform(range(1, len(st) + 1), lambda k: {run}) END AS x FROM c), e AS (SELECT s, n, unnest(x) AS x, unnest(range(0, len(x))) AS k FROM d)
+    SELECT s AS source_file, row_number() OVER (PARTITION BY s ORDER BY n, k) - 1 AS chunk_index, md5(x) AS text_md5 FROM e WHERE x <> ''"""

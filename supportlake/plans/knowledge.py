@@ -111,6 +111,27 @@ def h01_token_estimate(spark, sf_dir):
 H01_SQL = r"""SELECT doc_id, CAST(floor(length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) / 1.5 + length(regexp_replace(coalesce(text, ''), '[一-鿿]', '', 'g')) / 3.5) AS INTEGER) AS tokens, 'markdown' AS strategy FROM documents"""
 
 
+def _talks(spark, sf_dir):
+    """Conversations as one text each: a user's turn is a question, a paragraph begins after each full stop."""
+    said = F.regexp_replace(tx.empty(F.col("text")), r"\.\s+", ".\n\n")
+    line = F.concat(F.when(F.col("role") == "user", F.concat(F.lit("## Q"), F.col("turn").cast("string"), F.lit(": "))).otherwise(""), said)
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", tx.empty(F.col("text")).alias("text"), line.alias("x"))))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("source_file")).agg(F.array_join(F.transform(ordered, lambda r: r["x"]), "\n").alias("text"))
+
+
+FAQ_SIZES, SECTION_SIZE = (24, 40), 300
+
+
+def h05_faq(spark, sf_dir):
+    """H5, H6: question and answer pairs of conversations, long ones by paragraphs that repeat the question."""
+    return ck.split_faq(_talks(spark, sf_dir), *FAQ_SIZES).select("source_file", "chunk_index", F.md5("content").alias("text_md5"))
+
+
+def h07_markdown(spark, sf_dir):
+    """H7: the same texts by headings, long sections by paragraphs."""
+    return ck.split_markdown(_talks(spark, sf_dir), SECTION_SIZE, SECTION_SIZE).select("source_file", "chunk_index", F.md5("content").alias("text_md5"))
+
+
 def h08_recursive(spark, sf_dir):
     out = ck.number_chunks(ck.split_recursive(_docs(spark, sf_dir), 512, 1024))
     return out.select("source_file", "chunk_index", "chunk_id", "char_count", "token_count", "chunk_total")
@@ -283,13 +304,13 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
 QUERIES = {
     f.__name__: f
     for f in (
-        s02_doc_type, s07_main_text, s08_table_markdown, t03_page_triage, c01_paragraphs, c06_dedup_lines, c08_clean, h01_token_estimate, h08_recursive, h09_sentences, h12_chunk_summary, h13_chunk_sweep, k01_index_rows,
+        s02_doc_type, s07_main_text, s08_table_markdown, t03_page_triage, c01_paragraphs, c06_dedup_lines, c08_clean, h01_token_estimate, h05_faq, h07_markdown, h08_recursive, h09_sentences, h12_chunk_summary, h13_chunk_sweep, k01_index_rows,
         k02_replace_by_source, k03_delete_sources, k05_index_stats, k08_content_hash, k09_unique_source, k11_index_report, g01_redact, g02_findings, g05_input_guard, x01_intent, x05_emotion,
     )
 }
 ORACLES = {
     "s02_doc_type": S02_SQL, "s07_main_text": _main_sql(), "s08_table_markdown": S08_SQL, "t03_page_triage": T03_SQL, "c06_dedup_lines": C06_SQL, "h01_token_estimate": H01_SQL, "h12_chunk_summary": H12_SQL,
     "k01_index_rows": f"SELECT chunk_id, length(text) AS n_chars, false AS truncated, access_level FROM {CHUNKS}", "k02_replace_by_source": K02_SQL, "k03_delete_sources": K03_SQL,
-    "c01_paragraphs": C01_SQL, "g05_input_guard": _g05_sql(), "g01_redact": _g01_sql(), "g02_findings": _g02_sql(), "h08_recursive": chunk_sql.recursive_sql(), "h09_sentences": chunk_sql.sentence_sql(), "h13_chunk_sweep": chunk_sql.sweep_sql(), "c08_clean": _c08_sql(), "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension, 'given' AS model FROM embeddings", "k08_content_hash": K08_SQL,
+    "c01_paragraphs": C01_SQL, "g05_input_guard": _g05_sql(), "g01_redact": _g01_sql(), "g02_findings": _g02_sql(), "h05_faq": chunk_sql.faq_sql(*FAQ_SIZES), "h07_markdown": chunk_sql.markdown_sql(SECTION_SIZE), "h08_recursive": chunk_sql.recursive_sql(), "h09_sentences": chunk_sql.sentence_sql(), "h13_chunk_sweep": chunk_sql.sweep_sql(), "c08_clean": _c08_sql(), "k05_index_stats": "SELECT count(*) > 0 AS present, count(*) AS n_rows, max(len(embedding)) AS dimension, 'given' AS model FROM embeddings", "k08_content_hash": K08_SQL,
     "k09_unique_source": "SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 12) || '_' || source || '.txt' AS name FROM documents", "k11_index_report": K11_SQL, "x01_intent": X01_SQL, "x05_emotion": X05_SQL,
 }

@@ -115,6 +115,18 @@ B04_SQL = """WITH r AS (SELECT o_custkey AS session_id, arg_max(o_orderpriority,
 SELECT * FROM r WHERE session_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')"""
 
 
+def b04_queue_head(spark, sf_dir):
+    """The first fifty open tickets by priority, then newest; orders as tickets."""
+    o = table(spark, sf_dir, "orders")
+    priority = F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").otherwise("low")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("resolved")
+    return od.ticket_queue(o.select(F.col("o_orderkey").alias("id"), priority.alias("priority"), status.alias("status"), F.col("o_orderdate").alias("created_at")), 50).select("id", "priority")
+
+
+B04_HEAD_SQL = """SELECT o_orderkey AS id, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS priority FROM orders WHERE o_orderstatus = 'O'
+ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 50"""
+
+
 def n01_cost_by_model(spark, sf_dir):
     return ol.with_cost(log(spark, sf_dir)).groupBy("model_used").agg(F.count("*").alias("n"), F.round(F.sum("llm_cost"), 4).alias("cost"))
 
@@ -208,14 +220,14 @@ SELECT query_id, CASE WHEN lc >= 3 THEN NOT (st AND below) ELSE NOT (below OR lv
 QUERIES = {
     f.__name__: f
     for f in (
-        m01_turn_counts, m02_recent, m03_context_window, m06_entities, m09_recall, m11_rolling_summary, m13_history, b01_order_lookup, b04_ticket_queue, n01_cost_by_model, n02_daily_stats, n03_intent_mix, n04_rank_p99,
+        m01_turn_counts, m02_recent, m03_context_window, m06_entities, m09_recall, m11_rolling_summary, m13_history, b01_order_lookup, b04_ticket_queue, b04_queue_head, n01_cost_by_model, n02_daily_stats, n03_intent_mix, n04_rank_p99,
         n05_recent_queries, n06_alerts, n07_hit_rate, w02_request_rate, w07_failure_runs, a02_claim_scores, a06_quality_gate,
     )
 }
 ORACLES = {
     "m01_turn_counts": f"SELECT session_id, count(*) FILTER (role = 'user') AS turns FROM {MSG} GROUP BY session_id",
     "m02_recent": f"SELECT session_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY msg_id DESC) AS rn FROM {MSG}) WHERE rn <= 2",
-    "m03_context_window": M03_SQL, "m06_entities": M06_SQL, "m09_recall": M09_SQL, "m11_rolling_summary": M11_SQL, "m13_history": M13_SQL, "b01_order_lookup": B01_SQL, "b04_ticket_queue": B04_SQL, "n01_cost_by_model": N01_SQL,
+    "m03_context_window": M03_SQL, "m06_entities": M06_SQL, "m09_recall": M09_SQL, "m11_rolling_summary": M11_SQL, "m13_history": M13_SQL, "b01_order_lookup": B01_SQL, "b04_ticket_queue": B04_SQL, "b04_queue_head": B04_HEAD_SQL, "n01_cost_by_model": N01_SQL,
     "n02_daily_stats": N02_SQL, "n03_intent_mix": N03_SQL, "n04_rank_p99": N04_SQL, "n05_recent_queries": f'SELECT query_id, intent, total_time_ms FROM {LOG} ORDER BY "timestamp" DESC, query_id LIMIT 20', "n06_alerts": N06_SQL,
     "n07_hit_rate": f"SELECT round(count(*) FILTER (cache_hit = 'hit') / count(*) FILTER (cache_hit IN ('hit', 'miss')), 6) AS hit_rate FROM {LOG}",
     "w02_request_rate": "SELECT CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS start, user_id, count(*) AS requests, count(*) > 3 AS over FROM events GROUP BY 1, 2", "w07_failure_runs": W07_SQL, "a02_claim_scores": A02_SQL, "a06_quality_gate": A06_SQL,
