@@ -11,10 +11,10 @@ EVENTS = "array<struct<time:string,desc:string>>"
 def order_lookup(requests: DataFrame, orders: DataFrame, tracking: DataFrame, arrival_days: int = 3) -> DataFrame:
     """B1: requests (request_id, order_no, user_id, is_admin); only the owner or an admin sees an order, nobody without identity.
 
-    One tracking row an order, the latest shipped. ETA: completion date, else shipping date + 3 days.
+    One tracking row an order, the latest shipped; of several, that with the highest tracking number, then carrier. ETA: completion date, else shipping date + 3 days.
     """
     asked = requests.withColumn("order_no", F.upper(F.trim("order_no"))).filter(F.col("user_id").isNotNull() | F.col("is_admin"))
-    one = tracking.groupBy("order_no").agg(F.max_by(F.struct("carrier", "tracking_number", "shipped"), F.struct("shipped", "tracking_number")).alias("t"))
+    one = tracking.groupBy("order_no").agg(F.max_by(F.struct("carrier", "tracking_number", "shipped"), F.struct("shipped", "tracking_number", "carrier")).alias("t"))
     seen = asked.join(orders.withColumnRenamed("user_id", "owner"), "order_no").filter(F.col("is_admin") | (F.col("owner") == F.col("user_id")))
     eta = F.coalesce(F.to_date("complete_time"), F.date_add(F.to_date("t.shipped"), arrival_days))
     created = F.col("create_time") if "create_time" in orders.columns else F.lit(None).cast("timestamp")

@@ -96,7 +96,7 @@ def b01_order_lookup(spark, sf_dir):
     return out.select("request_id", "found", F.md5(F.regexp_replace("reply", "下单时间: .*", "下单时间")).alias("reply_md5"))
 
 
-B01_SQL = """WITH t AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber)) AS carrier, arg_max('T-' || l_orderkey || '-' || l_linenumber, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber)) AS tracking_number, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
+B01_SQL = """WITH t AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber, l_returnflag)) AS carrier, arg_max('T-' || l_orderkey || '-' || l_linenumber, (l_shipdate, 'T-' || l_orderkey || '-' || l_linenumber, l_returnflag)) AS tracking_number, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
 o AS (SELECT o_orderkey AS request_id, 'ORD' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_no, o_orderstatus AS status, o_totalprice AS price, carrier, tracking_number, CAST(CAST(shipped AS DATE) + 3 AS VARCHAR) AS eta, o_orderkey % 2 = 0 OR o_orderkey % 10 = 0 AS found FROM orders LEFT JOIN t ON l_orderkey = o_orderkey)
 SELECT request_id, found, md5(CASE WHEN found THEN '订单 ' || order_no || '：' || status || chr(10) || '- 下单时间' || chr(10) || '- 订单金额: ¥' || CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) || coalesce(chr(10) || '- 承运商: ' || carrier || ' (' || tracking_number || ')', '') || coalesce(chr(10) || '- 预计送达: ' || eta, '')
  ELSE '未查询到订单 ' || order_no || ' 的记录（或不属于当前账号），请核对订单号，或联系人工客服查询。' END) AS reply_md5 FROM o"""

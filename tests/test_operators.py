@@ -198,6 +198,15 @@ def test_orders_hide_from_strangers(spark):
     assert one(spark, F.size(orders.parse_events(F.col("j"))), j='[["1","a"],["2","b"]]') == 2 and one(spark, F.size(orders.parse_events(F.col("j"))), j="broken") == 0
 
 
+def test_parcels_of_one_day_and_number_go_by_carrier(spark):
+    o = spark.createDataFrame([("ORD1", 7, "P", 5.0, None)], "order_no string, user_id long, status string, price double, complete_time timestamp")
+    asked = spark.createDataFrame([(1, "ORD1", 7, False)], "request_id int, order_no string, user_id long, is_admin boolean")
+    rows = [("ORD1", c, "t1", date(2024, 1, 1)) for c in "AN"]
+    for dealt in (rows, rows[::-1]):
+        t = spark.createDataFrame(dealt, "order_no string, carrier string, tracking_number string, shipped date").coalesce(1)
+        assert orders.order_lookup(asked, o, t).first().carrier == "N"
+
+
 def test_replace_by_source(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "source_file string, x int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "source_file string, x int")
