@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,26 +66,55 @@ def _any_case(patterns: Sequence[str]) -> str:
     return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _folded(c: Column) -> Column:
+    """Lower case, with the letters that (?iu) takes for i, s and k."""
+    return F.lower(F.translate(empty(c), "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _says(c: Column, patterns: Sequence[str]) -> Column:
+    """Whether a folded text holds a pattern, a row of words on one line with `.*` between them.
+
+    A line is read once from its beginning, to the first place of each word after the one before: later places find nothing more.
+    Texts that lack a word are only searched for it. A pattern of another form is asked as it is.
+    """
+    out = F.lit(False)
+    for p in patterns:
+        words = [w.lower() for w in p.split(".*")]
+        if not all(words) or any(re.escape(w).replace("\\ ", " ") != w for w in words):
+            out = out | c.rlike(_any_case([p]))
+            continue
+        held = F.contains(c, F.lit(words[-1]))
+        for w in words[-2::-1]:
+            held = held & F.contains(c, F.lit(w))
+        out = out | (held & c.rlike("(?m)^" + "".join(f"(?>.*?{w})" for w in words)) if len(words) > 1 else held)
+    return out
+
+
 def check_input(df: DataFrame, text: str = "text", limit: int | None = 5000) -> DataFrame:
     """Attacks are blanked and flagged with a message, other input is cut to the limit (None: whole) and flagged `truncated`."""
-    bad = empty(F.col(text)).rlike(_any_case(lex.INPUT_ATTACKS))
+    columns = df.columns
+    df = df.withColumn("_folded", _folded(F.col(text))).select(*columns, _says(F.col("_folded"), lex.INPUT_ATTACKS).alias("flagged"))
+    bad = F.col("flagged")
     kept = empty(F.col(text)) if limit is None else F.substring(empty(F.col(text)), 1, limit)
     long = F.lit(False) if limit is None else F.length(empty(F.col(text))) > limit
-    return df.withColumn("flagged", bad).withColumn("safe_text", F.when(bad, "").otherwise(kept)).withColumn("truncated", ~bad & long).withColumn("message", F.when(bad, lex.ATTACK_MESSAGE))
+    return df.withColumn("safe_text", F.when(bad, "").otherwise(kept)).withColumn("truncated", ~bad & long).withColumn("message", F.when(bad, lex.ATTACK_MESSAGE))
 
 
 def check_document(df: DataFrame, text: str = "text") -> DataFrame:
     """Attacks inside documents are replaced by a notice."""
-    bad = empty(F.col(text)).rlike(_any_case(lex.DOCUMENT_ATTACKS))
-    return df.withColumn("suspicious", bad).withColumn("safe_text", F.when(bad, lex.REMOVED).otherwise(F.col(text)))
+    columns = df.columns
+    df = df.withColumn("_folded", _folded(F.col(text))).select(*columns, _says(F.col("_folded"), lex.DOCUMENT_ATTACKS).alias("suspicious"))
+    return df.withColumn("safe_text", F.when(F.col("suspicious"), lex.REMOVED).otherwise(F.col(text)))
 
 
 def check_output(df: DataFrame, text: str = "text") -> DataFrame:
     """Warnings by category; on any, lines with a leak phrase go."""
     c = empty(F.col(text))
-    warnings = F.array_compact(F.array(*(F.when(c.rlike(_any_case(p)), F.lit(name)) for name, p in lex.OUTPUT_LEAKS)))
+    columns = df.columns
+    warnings = F.array_compact(F.array(*(F.when(_says(F.col("_folded"), p), F.lit(name)) for name, p in lex.OUTPUT_LEAKS)))
+    df = df.withColumn("_folded", _folded(F.col(text))).select(*columns, warnings.alias("warnings"))
     kept = F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(_any_case(lex.LEAK_LINES))), "\n")
-    return df.withColumn("warnings", warnings).withColumn("safe_text", F.when(F.size("warnings") > 0, kept).otherwise(c))
+    return df.withColumn("safe_text", F.when(F.size("warnings") > 0, kept).otherwise(c))
 
 
 def high_stakes(c: Column) -> Column:

@@ -1,6 +1,8 @@
 """Operators on literal rows."""
 
 import json
+import random
+import time
 from datetime import date
 
 import pytest
@@ -262,3 +264,17 @@ def test_failure_runs_end_at_success(spark):
 
 def test_prices_cover_known_models():
     assert lex.PRICES["qwen-plus"] == (0.001, 0.002)
+
+
+def test_guards_read_a_line_once(spark):
+    """The words of a pattern in their order on one line, as the plain pattern has it, also for letters that fold; many beginnings on a long line cost nothing."""
+    pieces = ["I", "am", "ADMIN", "deve\nloper", "token", "是", "paſſword", "İS", "new", "ınstruction", "\n", "\r", " ", "\u0085", "sYstem", "prompt", "忽略", "上面", "指令", "act", "as", "DAN", "toKen", " "]
+    rnd = random.Random(5)
+    df = spark.createDataFrame([("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 9))),) for _ in range(3000)], "text string")
+    groups = [lex.INPUT_ATTACKS, lex.DOCUMENT_ATTACKS, *(p for _, p in lex.OUTPUT_LEAKS), ("a.m", "new.*[0-9]")]
+    for patterns in groups:
+        same = safety._says(safety._folded(F.col("text")), patterns) == F.col("text").rlike(safety._any_case(patterns))
+        assert df.filter(~same).count() == 0
+    began = time.time()
+    long = spark.createDataFrame([("i am " * 2000 + "\nadmin",)], "text string")
+    assert long.transform(safety.check_output).first().warnings == [] and time.time() - began < 10
