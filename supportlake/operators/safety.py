@@ -30,24 +30,43 @@ def _mask(v: Column) -> Column:
     return F.when(n <= 4, "***").when(n <= 8, F.concat(F.substring(v, 1, 2), F.lit("***"), F.right(v, F.lit(1)))).otherwise(F.concat(F.substring(v, 1, 3), F.lit("***"), F.right(v, F.lit(2))))
 
 
+def _needed(df: DataFrame, c: Column, rules: Sequence[tuple[str, str, int]]) -> tuple[DataFrame, dict[str, Column]]:
+    """Columns that tell what a text must hold for each pattern; most texts hold none of it and are spared the patterns."""
+    needs = {p: lex.PII_NEEDS[p] for _, p, _ in rules if p in lex.PII_NEEDS}
+    names = {need: f"_need{i}" for i, need in enumerate(dict.fromkeys(needs.values()))}
+    return df.withColumns({n: c.rlike(need) for need, n in names.items()}), {p: F.col(names[need]) for p, need in needs.items()}
+
+
+def _by_rule(df: DataFrame, text: str, rules: Sequence[tuple[str, str, int]]) -> tuple[DataFrame, list[str]]:
+    """A column for each rule with what it finds; that is blanked for the later ones. A step a rule, so that each pattern runs once.
+
+    A find holds no blank, so it stands in the text itself: the needs are asked of the text.
+    """
+    columns, found = [F.col(c) for c in df.columns], []
+    df, need = _needed(df.withColumn("_rest", empty(F.col(text))), F.col("_rest"), rules)
+    needs = [c for c in df.columns if c.startswith("_need")]
+    for i, (_, pattern, group) in enumerate(rules):
+        values = F.regexp_extract_all("_rest", F.lit(pattern), F.lit(group))
+        df = df.withColumn(f"_found{i}", F.when(need.get(pattern, F.lit(True)), values).otherwise(F.array().cast("array<string>")))
+        found.append(f"_found{i}")
+        rest = F.when(F.size(f"_found{i}") > 0, F.regexp_replace("_rest", pattern, "□")).otherwise(F.col("_rest"))
+        df = df.select(*columns, *found, *needs, rest.alias("_rest"))
+    return df.select(*columns, *found), found
+
+
 def pii_findings(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str, int]] = lex.PII, key: str = "id") -> DataFrame:
-    """(key, type, pos, original, masked); what an earlier rule found is blanked at equal length for the later ones."""
-    rest, found = empty(F.col(text)), []
-    for label, pattern, group in rules:
-        values = F.regexp_extract_all(rest, F.lit(pattern), F.lit(group))
-        found.append(F.transform(values, _typed(label)))
-        rest = F.regexp_replace(rest, pattern, "□")
-    rows = df.select(F.col(key), F.posexplode(F.concat(*found)).alias("pos", "f"))
+    """(key, type, pos, original, masked); what an earlier rule found is blanked for the later ones."""
+    held, found = _by_rule(df.select(key, text), text, rules)
+    every = F.concat(*(F.transform(c, _typed(label)) for c, (label, _, _) in zip(found, rules, strict=True)))
+    rows = held.select(F.col(key), F.posexplode_outer(every).alias("pos", "f")).filter("f is not null")
     return rows.select(key, "f.type", "pos", F.col("f.original"), _mask(F.col("f.original")).alias("masked"))
 
 
 def detect_pii(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str, int]] = lex.PII) -> DataFrame:
     """`found`: the kinds a text holds, by rule, without changing it; what an earlier rule found counts for no later one."""
-    rest, kinds = empty(F.col(text)), []
-    for label, pattern, _ in rules:
-        kinds.append(F.when(rest.rlike(pattern), F.lit(label)))
-        rest = F.regexp_replace(rest, pattern, "□")
-    return df.withColumn("found", F.array_compact(F.array(*kinds)))
+    held, found = _by_rule(df, text, rules)
+    kinds = F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (label, _, _) in zip(found, rules, strict=True))))
+    return held.select(*df.columns, kinds.alias("found"))
 
 
 def _typed(label: str):
@@ -58,7 +77,8 @@ def is_safe(c: Column, rules: Sequence[tuple[str, str, int]] = lex.PII) -> Colum
     """G4."""
     ok = F.lit(True)
     for _, pattern, _ in rules:
-        ok = ok & ~empty(c).rlike(pattern)
+        held = empty(c).rlike(pattern)
+        ok = ok & ~(empty(c).rlike(lex.PII_NEEDS[pattern]) & held if pattern in lex.PII_NEEDS else held)
     return ok
 
 

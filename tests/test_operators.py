@@ -278,3 +278,13 @@ def test_guards_read_a_line_once(spark):
     began = time.time()
     long = spark.createDataFrame([("i am " * 2000 + "\nadmin",)], "text string")
     assert long.transform(safety.check_output).first().warnings == [] and time.time() - began < 10
+
+
+def test_each_rule_is_run_once(spark):
+    rules = lex.PII
+    df = spark.createDataFrame([(1, "a@b.co 13812345678 10.1.2.3 JD123456789012 姓名：王小明 4111111111111111, x@y.org"), (2, None), (3, "nothing")], "id int, text string")
+    found = safety.pii_findings(df)
+    assert [(r.type, r.original) for r in found.orderBy("id", "pos").collect()] == [
+        ("手机号", "13812345678"), ("银行卡", "4111111111111111"), ("邮箱", "a@b.co"), ("邮箱", "x@y.org"), ("IP地址", "10.1.2.3"), ("订单号", "JD123456789012"), ("姓名", "王小明")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(rules)
+    assert safety.detect_pii(df).orderBy("id").first().found == [label for label, _, _ in rules if label != "身份证"]
