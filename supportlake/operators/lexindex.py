@@ -33,6 +33,8 @@ from supportlake.functions.text import tokens
 
 #: Chunks of a block at most, and words after which it ends.
 BLOCK, WORDS = 4096, 2_000_000
+#: Chunks that come to a task at once; a block takes those of several such batches, so a task holds one block and one batch.
+BATCH, RECORDS = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Questions whose scores one group computes.
 QUESTIONS = 512
 #: Blocks from which a first round pays, and its share of them.
@@ -73,7 +75,13 @@ class LexicalIndex:
 
     def __init__(self, chunks: DataFrame, block: int = BLOCK):
         self.id_type = dict(chunks.dtypes)["chunk_id"]
-        self.table = OwnTable(self._lists(chunks, block), "lexical-index")
+        conf = chunks.sparkSession.conf
+        rows = conf.get(RECORDS)
+        conf.set(RECORDS, min(BATCH, int(rows)) if int(rows) > 0 else BATCH)
+        try:
+            self.table = OwnTable(self._lists(chunks, block), "lexical-index")
+        finally:
+            conf.set(RECORDS, rows)
         self.lists, self.heads = self.table.df.filter(F.col("term") != HEAD), self.table.df.filter(F.col("term") == HEAD)
         length = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
         known = self.heads.agg(F.count("*").alias("blocks"), F.sum(F.size("ids")).alias("n"), F.sum(length).alias("words")).first()
@@ -89,16 +97,28 @@ class LexicalIndex:
             from pyspark import TaskContext
 
             at = TaskContext.get().partitionId() << 32
+            held, n, words = [], 0, 0  # slices of batches that make up the next block
+
+            def inverted() -> pa.RecordBatch:
+                out = _invert(pa.Table.from_batches(held).combine_chunks().to_batches()[0], at)
+                held.clear()
+                return out
+
             for b in frames:
                 ends = b["words"].offsets.to_numpy().astype(np.int64)
                 start = 0
                 while start < b.num_rows:
-                    end = min(start + block, int(np.searchsorted(ends, ends[start] + WORDS, side="right")) - 1, b.num_rows)
-                    end = max(end, start + 1)
-                    part = b.slice(start, end - start)
-                    plain = pa.ListArray.from_arrays(pa.array((ends[start : end + 1] - ends[start]).astype(np.int32)), part["words"].flatten())
-                    yield _invert(pa.RecordBatch.from_arrays([part["chunk_id"], plain], names=["chunk_id", "words"]), at)
-                    start, at = end, at + 1
+                    end = min(start + block - n, int(np.searchsorted(ends, ends[start] + WORDS - words, side="right")) - 1, b.num_rows)
+                    end = max(end, start + (not held))
+                    if end > start:
+                        held.append(b.slice(start, end - start))
+                        n, words, start = n + end - start, words + int(ends[end] - ends[start]), end
+                    if start < b.num_rows or n == block:
+                        yield inverted()
+                        n, words, at = 0, 0, at + 1
+                        pa.default_memory_pool().release_unused()
+            if held:
+                yield inverted()
 
         shape = f"block long, term string, df int, places array<int>, tfs array<int>, ids array<{self.id_type}>"
         return rows.select("chunk_id", tokens(F.col("text")).alias("words")).mapInArrow(run, shape)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from supportlake.operators import lexindex
+from supportlake.plans import registry
 from supportlake.plans.derived import chunks, questions
 
 
@@ -101,3 +102,22 @@ def test_bounds_leave_most_pairs_out(spark):
     index.search(q, 10**6, scored=every).count()
     index.drop()
     assert scored.value * 5 <= 2 * every.value
+
+
+def test_blocks_gather_small_batches(spark, data, monkeypatch):
+    """Few chunks come to a task at once, whatever the session says; blocks are full all the same, and the setting is put back."""
+    texts, asked, chunked, queries = data
+    monkeypatch.setattr(lexindex, "BATCH", 7)
+    before = spark.conf.get(lexindex.RECORDS)
+    index = lexindex.LexicalIndex(chunked.coalesce(1).repartition(16), 20)
+    sizes = sorted(len(r.ids) for r in index.heads.select("ids").collect())
+    assert sum(sizes) == len(texts) and sizes[-1] == 20 and len(sizes) <= 16 * 2 and spark.conf.get(lexindex.RECORDS) == before
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in index.search(queries, 7).collect()}
+    assert got == {x: i for x, (i, _) in plain(texts, asked, 7, 1.2, 0.75).items()}
+    index.drop()
+
+
+def test_gate_builds_one_index(spark, monkeypatch):
+    built, plain_init = [], lexindex.LexicalIndex.__init__
+    monkeypatch.setattr(lexindex.LexicalIndex, "__init__", lambda self, *a: built.append(1) or plain_init(self, *a))
+    assert registry.queries()["e11_gate"](spark, "/root/testdata/sf0.001").count() == 3 and len(built) == 1
