@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
-from supportlake.functions.text import any_of, dot, empty, norm, tokens
+from supportlake.functions.text import any_of, dot, empty, exploded, norm, tokens
 from supportlake.functions.words import FEW, group_numbers
 from supportlake.operators.lexindex import bm25_topk
 from supportlake.operators.vectors import dense_topk
@@ -28,6 +28,19 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def term_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """L1: (term, df, cf): chunks that hold a term, and its occurrences in all.
+
+    Counted up in each task, so that a row a task and term is shuffled. Rows that share a chunk_id are one chunk; where there are such, pairs of term and chunk are counted.
+    """
+    if not chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return postings(chunks, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    one = lambda df, cf: lambda t: F.struct(t.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(cf).cast("long").alias("cf"))
+    words = chunks.select(tokens(F.col(text)).alias("_w"))
+    both = words.select(F.concat(F.transform(F.array_distinct("_w"), one(1, 0)), F.transform("_w", one(0, 1))).alias("_b"))
+    return exploded(both, [], F.col("_b"), "_t").groupBy("_t.term").agg(F.sum("_t.df").alias("df"), F.sum("_t.cf").alias("cf"))
+
+
 def l2_normalise(df: DataFrame, vec: str = "vector") -> DataFrame:
     """Unit length; a vector without length stays as it is."""
     v = F.col(vec).cast("array<double>")

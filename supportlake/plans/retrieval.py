@@ -246,8 +246,7 @@ SELECT session_id, msg_id, round(CASE WHEN len(cw) > 0 THEN len(list_intersect(c
 
 def l01_term_statistics(spark, sf_dir):
     """L1: document and corpus frequency of each term."""
-    p = rt.postings(chunks(spark, sf_dir))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return rt.term_statistics(chunks(spark, sf_dir))
 
 
 L01_SQL = f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term"

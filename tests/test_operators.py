@@ -288,3 +288,13 @@ def test_each_rule_is_run_once(spark):
         ("手机号", "13812345678"), ("银行卡", "4111111111111111"), ("邮箱", "a@b.co"), ("邮箱", "x@y.org"), ("IP地址", "10.1.2.3"), ("订单号", "JD123456789012"), ("姓名", "王小明")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(rules)
     assert safety.detect_pii(df).orderBy("id").first().found == [label for label, _, _ in rules if label != "身份证"]
+
+
+def test_term_statistics_equal_counted_pairs(spark):
+    rows = [(1, "a b a"), (2, "b c"), (3, None), (4, "退货退款")]
+    for more in ([], [(2, "c c d"), (None, "a"), (None, "a b")]):
+        df = spark.createDataFrame(rows + more, "chunk_id int, text string")
+        want = retrieve.postings(df).groupBy("term").agg(F.count("*"), F.sum("tf")).collect()
+        found = retrieve.term_statistics(df)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
+        assert more or found._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0 and "chunk_id" not in found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
