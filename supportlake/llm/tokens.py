@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces kept by one worker, some 150 bytes each; beyond it the cache starts anew.
+#: Distinct pieces kept by one worker, some 150 bytes each, in two halves: once the newer is full, the older goes.
 CACHE_PIECES = 500_000
 #: Bytes of text encoded at once; one longer text stands alone.
 COLUMN_BYTES = 2_000_000
@@ -46,6 +46,7 @@ class PieceEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
+        self.before: dict[str, bytes] = {}  # the last full `spaced`; what is met again goes on to the new one
 
     def _pack(self, ids: Iterable[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -60,6 +61,8 @@ class PieceEncoder:
         cached = self.spaced if spaced else self.plain
         if (known := cached.get(piece)) is not None:
             return known
+        if spaced and (known := self.before.get(piece)) is not None:
+            return self._kept(cached, piece, known)
         if piece.isalpha():
             return self._kept(cached, piece, self._pack(self.encode_word(piece, spaced)))
         stem = piece.rstrip(string.punctuation)
@@ -98,9 +101,8 @@ class PieceEncoder:
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where each text's ids begin, with the end of the last; a null text has none."""
-        if len(self.spaced) + len(self.plain) > self.limit:
-            self.spaced.clear()
-            self.plain.clear()
+        if len(self.spaced) + len(self.plain) > self.limit // 2:
+            self.before, self.spaced, self.plain = self.spaced, {}, {}
         if not len(column):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
         lists = pc.split_pattern(pc.fill_null(column, ""), " ")
@@ -110,12 +112,19 @@ class PieceEncoder:
         first, number, known = starts[:-1], len(names), self.spaced
         entries = list(map(known.get, names))
         odd = np.zeros(number, dtype=bool)
+        before, encode_word, code = self.before, self.encode_word, self.code
         for k in [k for k, packed in enumerate(entries) if packed is None]:
             w = names[k]
-            if w == "" or w[0].isspace():  # a space before white space, or a first word
+            if (packed := before.get(w)) is not None:
+                known[w] = entries[k] = packed
+            elif w.isalpha():
+                entries[k] = packed = array(code, encode_word(w, True)).tobytes()
+                if len(w) < 256:
+                    known[w] = packed
+            elif w == "" or w[0].isspace():  # a space before white space, or a first word
                 odd[k], entries[k] = True, b""
             else:
-                entries[k] = self._kept(known, w, self._piece(w, True))
+                entries[k] = self._piece(w, True)
         entries += [self._piece(names[k], False) if names[k] else b"" for k in index[first].tolist()]
         index[first] = number + np.arange(len(first))
         if strange := self._strange(column, odd, index, first):

@@ -55,6 +55,14 @@ def test_cache_starts_anew():
     assert len(small.spaced) == 4 and small.encode([]) == [] and [x.tolist() for x in small.encode(["e ff"])] == [[1, 3]] and len(small.spaced) == 2
 
 
+def test_words_met_again_stay_cached():
+    asked = []
+    small = tokens.PieceEncoder(lambda p: [len(p)], lambda w, spaced: asked.append(w) or [len(w)], 100, limit=4)
+    for text in ("x aa bb cc", "x aa dd", "x aa ee\nff"):
+        small.encode([text])
+    assert asked.count("aa") == 1 and "aa" in small.spaced and "ee\nff" not in small.spaced and "bb" not in small.before
+
+
 def test_wide_ids():
     wide = tokens.PieceEncoder(lambda p: [70_000], lambda w, spaced: [70_000 + spaced], 80_000)
     assert [x.tolist() for x in wide.encode(["a b", None])] == [[70_000, 70_001], []] and wide.dtype == np.dtype("<u4")
