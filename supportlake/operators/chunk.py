@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import lexicons as lex
-from supportlake.functions.text import HAN, WHITE, bind, empty, est_tokens, exploded, faq_like, has_headings, headings, section_title, short_id, strip_inline_images, stripped
+from supportlake.functions.text import HAN, WHITE, bind, empty, est_tokens, exploded, faq_like, han_count, has_headings, headings, section_title, short_id, strip_inline_images, stripped
 
 
 def choose_strategy(text: Column, doc_type: Column) -> Column:
@@ -58,7 +58,7 @@ SEPARATORS = ("\n\n", "\n", "。", "；", "！", "？", ". ", "; ", "! ", "? ",
 DROPPED = ("\n\n", "\n", " ")
 
 
-UNITS = "array<struct<b:int,t:int,x:string,target:int,most:int>>"
+UNITS = "array<struct<b:int,t:int,h:int,n:int,x:string,target:int,most:int>>"
 
 # The level passes are written as SQL text: they nest deeply, and text reaches the analyser in one call.
 
@@ -72,21 +72,26 @@ def _han_sql(x: str) -> str:
     return f"CASE WHEN {x} RLIKE '{HAN}' THEN length(regexp_replace({x}, '[^{HAN[1:]}', '')) ELSE 0 END"
 
 
-def _tokens_sql(x: str) -> str:
-    return _bound(_han_sql(x), "h", f"CAST(floor(h / 1.5D + (length({x}) - h) / 3.5D) AS INT)")
+def _fields(boundary: str, text: str, target: str, most: str) -> str:
+    """A unit with `h` Han characters of `n`: the level of the separator before it (the first part has that of the whole), its size, both counts, its text, and the sizes it is cut to."""
+    return f"named_struct('b', {boundary}, 't', CAST(floor(h / 1.5D + (n - h) / 3.5D) AS INT), 'h', h, 'n', n, 'x', {text}, 'target', {target}, 'most', {most})"
 
 
-def _unit(text: str, boundary: str, target: str, most: str) -> str:
-    """A part of a text: the level of the separator before it (the first part has that of the whole), its size, itself, and the sizes it is cut to."""
-    return _bound(text, "x", f"named_struct('b', {boundary}, 't', {_tokens_sql('x')}, 'x', x, 'target', {target}, 'most', {most})")
+def _unit(text: str, boundary: str, han: str) -> str:
+    """A part of unit `u` that has `han` Han characters."""
+    return _bound(text, "x", _bound(han, "h", _bound("length(x)", "n", _fields(boundary, "x", "u.target", "u.most"))))
+
+
+#: Parts of a text without Han characters are not searched for any.
+HAN_OF_PART = f"CASE WHEN u.h = 0 THEN 0 ELSE {_han_sql('x')} END"
 
 
 def _cut_level(units: str, level: int) -> str:
     """Units that are too large, cut by the separator of `level`; the rest stays."""
     sep = SEPARATORS[level]
     marks = "".join({".": r"\.", "?": r"\?", "\n": r"\n"}.get(c, c) for c in sep)
-    pieces = f"filter(split(u.x, r'{marks if sep in DROPPED else f'(?<={marks})'}'), p -> btrim(p, '{WHITE}') <> '')"
-    part = _unit("p", f"CASE WHEN i = 0 THEN u.b ELSE {level} END", "u.target", "u.most")
+    pieces = f"filter(split(u.x, r'{marks if sep in DROPPED else f'(?<={marks})'}'), p -> trim(LEADING '{WHITE}' FROM p) <> '')"  # stops at the first other character
+    part = _unit("p", f"CASE WHEN i = 0 THEN u.b ELSE {level} END", HAN_OF_PART)
     return f"flatten(transform({units}, u -> CASE WHEN u.t <= u.most THEN array(u) ELSE transform({pieces}, (p, i) -> {part}) END))"
 
 
@@ -94,19 +99,19 @@ def _last_cut(units: str) -> str:
     """What no separator made small enough, by number of characters; then outer white space goes."""
     chars = "CAST(floor(1.5D * u.target) AS INT)"
     pieces = f"transform(sequence(0, CAST(floor((length(u.x) - 1) / {chars}) AS INT)), i -> substring(u.x, i * {chars} + 1, {chars}))"
-    part = _unit("p", f"CASE WHEN i = 0 THEN u.b ELSE {len(SEPARATORS)} END", "u.target", "u.most")
+    part = _unit("p", f"CASE WHEN i = 0 THEN u.b ELSE {len(SEPARATORS)} END", HAN_OF_PART)
     cut = f"flatten(transform({units}, u -> CASE WHEN u.t <= u.most OR length(u.x) <= {chars} THEN array(u) ELSE transform({pieces}, (p, i) -> {part}) END))"
-    bare = _unit(f"btrim(u.x, '{WHITE}')", "u.b", "u.target", "u.most")
-    return f"filter(transform({cut}, u -> CASE WHEN btrim(u.x, '{WHITE}') = u.x THEN u ELSE {bare} END), u -> u.x <> '')"
+    bare = _unit(f"btrim(u.x, '{WHITE}')", "u.b", "u.h")
+    clean = f"locate(substring(u.x, 1, 1), '{WHITE}') = 0 AND locate(substring(u.x, -1, 1), '{WHITE}') = 0"
+    return f"filter(transform({cut}, u -> CASE WHEN {clean} THEN u ELSE {bare} END), u -> u.x <> '')"
 
 
-def _merge_level(units: str, level: int, min_size: int) -> str:
+def _merge_level(units: str, level: int, min_size: int, texts: bool) -> str:
     """Neighbours that one part was cut into at `level` or below join while their sizes add up to their limit at most.
 
     A unit below min_size is judged by the true size of the joined text instead, joiners included. The fold
-    carries sums and starts, not text.
+    carries sums and starts, not text, and a joined unit's counts are sums too. Without `texts` its text is left empty.
     """
-    sized = f"transform(us, u -> named_struct('h', {_han_sql('u.x')}, 'n', length(u.x), 't', u.t, 'b', u.b, 'most', u.most))"
     small = f"v.t < {min_size}"
     total = f"CASE WHEN {small} THEN CAST(floor((a.h + v.h) / 1.5D + (a.o + 2 + v.n - v.h) / 3.5D) AS INT) ELSE a.t + v.t END"
     state = (
@@ -115,9 +120,11 @@ def _merge_level(units: str, level: int, min_size: int) -> str:
         " ELSE named_struct('starts', concat(a.starts, array(a.i)), 'h', v.h, 'o', v.n - v.h, 't', v.t, 'i', a.i + 1) END"
     ).format(level=level)
     zero = "named_struct('starts', CAST(array() AS array<int>), 'h', 0, 'o', 0, 't', 0, 'i', 0)"
-    starts = f"aggregate({sized}, {zero}, (a, v) -> {_bound(total, 'total', state)}, a -> a.starts)"
+    starts = f"aggregate(us, {zero}, (a, v) -> {_bound(total, 'total', state)}, a -> a.starts)"
     run = "slice(us, p + 1, coalesce(get(s, j + 1), size(us)) - p)"
-    joined = _unit("array_join(transform(run, u -> u.x), '\n\n')", "run[0].b", "run[0].target", "run[0].most")
+    text = "array_join(transform(run, u -> u.x), '\n\n')" if texts else "''"
+    fields = _fields("run[0].b", text, "run[0].target", "run[0].most")
+    joined = _bound("aggregate(run, 0, (a, u) -> a + u.h)", "h", _bound("aggregate(run, 2 * size(run) - 2, (a, u) -> a + u.n)", "n", fields))
     part = _bound(run, "run", f"CASE WHEN size(run) = 1 THEN run[0] ELSE {joined} END")
     merged = _bound(starts, "s", f"transform(s, (p, j) -> {part})")
     return _bound(units, "us", f"CASE WHEN exists(us, u -> u.b >= {level}) THEN {merged} ELSE us END")
@@ -127,21 +134,31 @@ def _merge_level(units: str, level: int, min_size: int) -> str:
 LEVELS = 5
 
 
-def refined(df: DataFrame, min_size: int) -> DataFrame:
-    """H8: the units in column `_u` cut from coarse to fine, then merged from fine to coarse over a flat array. Only what was cut here merges."""
-    steps = [lambda u, k=k: _cut_level(u, k) for k in range(len(SEPARATORS))]
-    steps += [_last_cut, *(lambda u, k=k: _merge_level(u, k, min_size) for k in reversed(range(len(SEPARATORS))))]
-    for at in range(0, len(steps), LEVELS):
-        units = "_u"
-        for step in steps[at : at + LEVELS]:
-            units = step(units)
-        df = df.withColumn("_u", F.expr(units))
+def refined(df: DataFrame, min_size: int, texts: bool = True) -> DataFrame:
+    """H8: the units in column `_u` cut from coarse to fine, then merged from fine to coarse over a flat array. Only what was cut here merges.
+
+    Each text is searched and counted where it is cut; merging goes by the counts. Without `texts` joined units keep their counts alone.
+    """
+    cuts = [lambda u, k=k: _cut_level(u, k) for k in range(len(SEPARATORS))]
+    merges = [lambda u, k=k: _merge_level(u, k, min_size, texts) for k in reversed(range(len(SEPARATORS)))]
+    for steps, some in ((cuts, "u.t > u.most"), ([_last_cut], None), (merges, "u.b >= 0")):
+        for at in range(0, len(steps), LEVELS):
+            units = "_u"
+            for step in steps[at : at + LEVELS]:
+                units = step(units)
+            df = df.withColumn("_u", F.expr(f"CASE WHEN exists(_u, u -> {some}) THEN {units} ELSE _u END" if some else units))
     return df
 
 
 def _part(text: Column, target: int, most: int, size: Column | None = None) -> Column:
     """A unit that was not cut by any level."""
-    return bind(text, lambda x: F.struct(F.lit(-1).alias("b"), (est_tokens(x) if size is None else size).alias("t"), x.alias("x"), F.lit(target).alias("target"), F.lit(most).alias("most")))
+    return bind(text, lambda x: bind(han_count(x), lambda h: _uncut(x, h, target, most, size)))
+
+
+def _uncut(x: Column, h: Column, target: int, most: int, size: Column | None = None) -> Column:
+    n = F.length(x)
+    size = F.floor(h / 1.5 + (n - h) / 3.5).cast("int") if size is None else size
+    return F.struct(F.lit(-1).alias("b"), size.alias("t"), h.alias("h"), n.alias("n"), x.alias("x"), F.lit(target).alias("target"), F.lit(most).alias("most"))
 
 
 def _whole(text: Column, target: int, most: int) -> Column:
@@ -331,7 +348,7 @@ def chunk_sweep(docs: DataFrame, targets: Sequence[int] = (256, 512, 768, 1024))
     """For each source the recursive split at every target size, scored and ranked in its row."""
 
     def measured(t: int) -> Column:
-        sizes = F.transform(F.filter("_u", lambda u: u["target"] == t), lambda u: F.length(u["x"]).cast("double"))
+        sizes = F.transform(F.filter("_u", lambda u: u["target"] == t), lambda u: u["n"].cast("double"))
 
         def of(s: Column) -> Column:
             n, total = F.size(s), F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
@@ -341,8 +358,9 @@ def chunk_sweep(docs: DataFrame, targets: Sequence[int] = (256, 512, 768, 1024))
 
         return bind(sizes, of)
 
-    whole = F.concat(*(_whole(empty(F.col("text")), t, 2 * t) for t in targets))
-    units = refined(docs.select("source_file", whole.alias("_u")), 80)
+    every = lambda x: bind(han_count(x), lambda h: F.array(*(_uncut(x, h, t, 2 * t) for t in targets)))
+    whole = bind(empty(F.col("text")), lambda x: F.when(stripped(x) == "", F.array().cast(UNITS)).otherwise(every(x)))
+    units = refined(docs.select("source_file", whole.alias("_u")), 80, texts=False)
     units = exploded(units, ["source_file"], F.array("_u"), "_u")  # made once: an explode is not merged into what follows
     ranked = F.transform(F.sort_array(F.array(*map(measured, targets))), lambda r, i: F.struct((i + 1).alias("rank"), r.alias("r")))
     found = exploded(units, ["source_file"], ranked, "_r").select("source_file", "_r.*")

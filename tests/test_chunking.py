@@ -155,3 +155,14 @@ def test_paragraphs_that_differ_late_and_markdown_marks(spark):
 def test_est_tokens_of_null_and_mixed(spark):
     df = spark.createDataFrame([(None,), ("",), ("退款ab",)], "t string")
     assert [r.n for r in df.select(tx.est_tokens(F.col("t")).alias("n")).collect()] == [0, 0, int(2 / 1.5 + 2 / 3.5)]
+
+
+def test_units_carry_their_counts(spark):
+    """Merging goes by counts made where a text is cut, so a unit's counts are those of its text; without texts the counts stay the same."""
+    texts = ["", " \n ", "一二三四五六七八。" * 30 + "\n\n" + "Some words, and more. " * 40, "　x " * 300 + "汉字，" * 90, "a" * 3000, "One. Two! \n\n Three; four " * 60]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source_file string, text string").withColumn("_u", chunk._whole(F.col("text"), 20, 40))
+    whole, bare = chunk.refined(df, 8), chunk.refined(df, 8, texts=False)
+    rows = tx.exploded(whole, ["source_file"], F.col("_u"), "u").select("u.h", "u.n", "u.t", tx.han_count(F.col("u.x")).alias("han"), F.length("u.x").alias("chars"), tx.est_tokens(F.col("u.x")).alias("size")).collect()
+    assert len(rows) > 20 and all((r.h, r.n, r.t) == (r.han, r.chars, r["size"]) for r in rows)
+    counts = lambda d: sorted(d.select("source_file", F.transform("_u", lambda u: F.struct(u["b"], u["t"], u["h"], u["n"])).alias("c")).collect())
+    assert counts(whole) == counts(bare)
