@@ -41,8 +41,8 @@ QUESTIONS = 512
 MANY, SHARE = 64, 16
 #: (term, question) pairs up to which they are sent to all tasks, some 60 bytes each; beyond it both sides are shuffled.
 SENT = 200_000
-#: Chunks of a stretch.
-STRETCH = 64
+#: Chunks of a stretch, and stretches of the first group that is summed up at once.
+STRETCH, GROUP = 64, 4
 #: Scores are compared after rounding to six digits; bounds allow for that.
 DIGITS, SLACK = 6, 2e-6
 HEAD = ""
@@ -213,39 +213,43 @@ class Postings:
 def block_best(lists: list[Postings], n: int, k: int, order: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
     """(places, scores) of the k best sums of a block that reach `floor`, and how many chunks were brought up.
 
-    Stretches of places are taken by the sum of their lists' highest gains, highest first, and the first that cannot
-    reach the k-th score ends the block. In a stretch, the lists that together cannot reach it bring up no chunk. Equal
-    scores (rounded) go by `order` of the place. The sums of the heaviest short lists alone give a first k-th score: what a
-    chunk has there it has at least in the end.
+    Stretches of places are taken by the sum of their lists' highest gains, highest first, in groups that grow; each group is
+    summed up at once, and the first that cannot reach the k-th score ends the block. In a stretch, the lists that together cannot
+    reach it bring up no chunk. Equal scores (rounded) go by `order` of the place. The sums of the heaviest short lists alone give
+    a first k-th score: what a chunk has there it has at least in the end.
     """
     highest = np.stack([x.highest for x in lists])
     totals = highest.sum(axis=0)
+    rising = np.argsort(highest, axis=0, kind="stable")
+    reach = np.cumsum(np.take_along_axis(highest, rising, axis=0), axis=0)
+    above = np.empty_like(rising)  # a list's place among those of a stretch, by highest gain
+    np.put_along_axis(above, rising, np.arange(len(lists))[:, None], axis=0)
+    at, gains = np.concatenate([x.places for x in lists]), np.concatenate([x.gains for x in lists])
+    cell = np.repeat(np.arange(len(lists)) * len(totals), [len(x.places) for x in lists]) + at // STRETCH
+    above, falling, taken, group = above.ravel(), np.argsort(-totals, kind="stable"), 0, GROUP
     places, scores, least, touched = np.zeros(0, np.int64), np.zeros(0), max(floor, _sure(lists, n, k)), 0
-    for stretch in np.argsort(-totals, kind="stable").tolist():
-        if totals[stretch] < least - SLACK or totals[stretch] == 0:
+    while taken < len(falling):
+        here = falling[taken : taken + group]
+        here = here[(totals[here] >= least - SLACK) & (totals[here] > 0)]
+        if not len(here):
             break
-        at, here = stretch * STRETCH, highest[:, stretch]
-        rising = np.argsort(here, kind="stable")
-        reach = np.cumsum(here[rising])
-        lead = int(np.searchsorted(reach, least - SLACK, side="right"))
-        sums, rest = np.zeros(STRETCH), float(reach[lead - 1]) if lead else 0.0
-        for t in rising[lead:].tolist():
-            x = lists[t]
-            a, b = x.edges[stretch], x.edges[stretch + 1]
-            sums[x.places[a:b] - at] += x.gains[a:b]
-        some = sums > 0
-        touched += int(some.sum())
-        for t in rising[:lead][::-1].tolist():
-            some &= sums + rest > least - SLACK
-            if here[t] == 0 or not some.any():
-                break
-            x = lists[t]
-            a, b = x.edges[stretch], x.edges[stretch + 1]
-            sums[x.places[a:b] - at] += x.gains[a:b]
-            rest -= here[t]
-        found = np.flatnonzero(some & (sums > least - SLACK))
+        taken, group = taken + group, group * 2
+        lead = np.full(len(totals), -1)  # lists of a stretch that bring up nothing; -1 for stretches of other groups
+        lead[here] = (reach[:, here] <= least - SLACK).sum(axis=0)
+        rest = np.where(lead > 0, reach[np.maximum(lead, 1) - 1, np.arange(len(totals))], 0.0)
+        bound = np.tile(lead, len(lists))[cell]
+        own = np.flatnonzero(bound >= 0)
+        brings = above[cell[own]] >= bound[own]
+        some, others = own[brings], own[~brings]
+        sums = np.bincount(at[some], gains[some], n)
+        found = sums > 0
+        touched += int(found.sum())
+        found &= sums + np.repeat(rest, STRETCH)[:n] > least - SLACK
+        others = others[found[at[others]]]
+        sums += np.bincount(at[others], gains[others], n)
+        found = np.flatnonzero(found & (sums > least - SLACK))
         if len(found):
-            places, scores = np.concatenate([places, found + at]), np.concatenate([scores, sums[found]])
+            places, scores = np.concatenate([places, found]), np.concatenate([scores, sums[found]])
             best = np.lexsort((order[places], -np.round(scores, DIGITS)))[:k]
             places, scores = places[best], scores[best]
             least = max(least, float(scores[-1])) if len(scores) == k else least
@@ -254,15 +258,13 @@ def block_best(lists: list[Postings], n: int, k: int, order: np.ndarray, floor:
 
 def _sure(lists: list[Postings], n: int, k: int) -> float:
     """A score that k chunks reach for certain: the k-th of the sums over the heaviest lists that together hold at most an eighth of the block."""
-    sums, held, best = np.zeros(n), 0, 0.0
+    sums, held = np.zeros(n), 0
     for x in sorted(lists, key=lambda x: -x.top):
-        held += len(x.places)
-        if held > n // 8 or n < k:
+        if held + len(x.places) > n // 8 or n < k:
             break
+        held += len(x.places)
         sums[x.places] += x.gains
-        if held >= k:
-            best = float(np.partition(sums, -k)[-k])
-    return best
+    return float(np.partition(sums, -k)[-k]) if held >= k else 0.0
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -14,7 +14,7 @@ from supportlake.operators import orders as od
 from supportlake.operators import retrieve as rt
 from supportlake.operators import sessions as se
 from supportlake.plans.derived import CHUNKS, INDEXED, LOG, chunks, indexed, log, messages, table, vectors
-from supportlake.plans.retrieval import ARMS_SQL, DOT, _arms
+from supportlake.plans.retrieval import ARMS_SQL, DOT, _arms, _bm25
 from supportlake.plans.service import M06_SQL, MSG, N02_SQL, TURNS, _since_epoch, _turns, m06_entities
 from supportlake.sources import files
 from supportlake.streaming import jobs
@@ -58,7 +58,7 @@ SELECT DISTINCT strategy, target_size FROM c WHERE fresh EXCEPT SELECT strategy,
 
 
 def k13_stale_results(spark, sf_dir):
-    a, _ = _arms(spark, sf_dir)
+    a = _bm25(spark, sf_dir, 10)  # the first arm alone
     c = chunks(spark, sf_dir).select("chunk_id", "source_file", "doc_type")
     return ix.stale_results(a.join(c, "chunk_id"), c.filter("doc_type = 'fr'")).select("query_id", "chunk_id")
 

@@ -121,3 +121,14 @@ def test_gate_builds_one_index(spark, monkeypatch):
     built, plain_init = [], lexindex.LexicalIndex.__init__
     monkeypatch.setattr(lexindex.LexicalIndex, "__init__", lambda self, *a: built.append(1) or plain_init(self, *a))
     assert registry.queries()["e11_gate"](spark, "/root/testdata/sf0.001").count() == 3 and len(built) == 1
+
+
+def test_stretches_are_summed_up_in_groups(monkeypatch):
+    """A block of many stretches takes a few sums over whole groups of them, not some for each stretch."""
+    rnd = np.random.RandomState(4)
+    lists = [lexindex.Postings(p, rnd.rand(len(p)), 40_000) for p in (np.flatnonzero(rnd.rand(40_000) < s) for s in (0.3, 0.2, 0.01))]
+    groups, plain_bincount = [], np.bincount
+    monkeypatch.setattr(lexindex.np, "bincount", lambda *a, **k: groups.append(1) or plain_bincount(*a, **k))
+    places, scores, _ = lexindex.block_best(lists, 40_000, 40_000, np.arange(40_000))
+    sums = sum(plain_bincount(x.places, x.gains, 40_000) for x in lists)
+    assert 2 <= len(groups) <= 20 and sorted(places.tolist()) == np.flatnonzero(sums).tolist() and np.allclose(scores, sums[places])
