@@ -24,6 +24,8 @@ from supportlake.functions.tables import OwnTable
 PIVOTS, PER_PIVOT = 256, 50
 #: Vectors and questions that meet in one task.
 VECTORS, QUESTIONS = 20_000, 2_000
+#: Scores of a task at once, and questions whose visits to all cells are listed at once.
+SCORES, VISITS = 2_000_000, 64
 #: Vectors up to which one task a length takes all of them and cells do not pay.
 PLAIN = 5_000
 ROUND = 6
@@ -37,6 +39,13 @@ def _by_length(x: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield dim, at, np.stack([np.asarray(v, np.float64) for v in x.iloc[at]]).reshape(len(at), dim)
 
 
+def _slices(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of at most `rows` rows, so that what is made of one stays small."""
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows]
+
+
 def _centres(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
     return pivots.get(dim, np.zeros((1, dim)))
 
@@ -52,24 +61,26 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: f
     asked = queries.filter("qvec is not null and query_id is not null").select("query_id", F.col("qvec").cast("array<double>").alias("x"))
 
     def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": left.query_id[:0], "chunk_id": right.chunk_id[:0], "raw": np.zeros(0)})]
-        if len(left) and len(right):
-            right = right.sort_values("chunk_id")
-            ids, m = right.chunk_id.to_numpy(), np.stack(right.x.tolist())
-            for at in range(0, len(left), QUESTIONS):
-                some = left.iloc[at : at + QUESTIONS]
-                raw = np.stack(some.x.tolist()) @ m.T
-                if products is not None:
-                    products.add(raw.size)
-                rounded = np.round(raw, ROUND)
-                for q, exact, row in zip(some.query_id, raw, rounded, strict=True):
-                    if len(row) > k:
-                        least = np.partition(row, -k)[-k]
-                        keep = np.concatenate([np.flatnonzero(row > least), np.flatnonzero(row == least)[: k - int((row > least).sum())]])
-                    else:
-                        keep = np.arange(len(row))
-                    out.append(pd.DataFrame({"query_id": q, "chunk_id": ids[keep], "raw": exact[keep]}))
-        return pd.concat(out, ignore_index=True)
+        none = pd.DataFrame({"query_id": left.query_id[:0], "chunk_id": right.chunk_id[:0], "raw": np.zeros(0)})
+        if not len(left) or not len(right):
+            return none
+        right = right.sort_values("chunk_id")
+        ids, m = right.chunk_id.to_numpy(), np.stack(right.x.tolist())
+        kept, scores, sizes = [], [], []
+        for some in _slices([left], min(QUESTIONS, max(1, SCORES // len(m)))):
+            raw = np.stack(some.x.tolist()) @ m.T
+            if products is not None:
+                products.add(raw.size)
+            for exact, row in zip(raw, np.round(raw, ROUND), strict=True):
+                if len(row) > k:
+                    least = np.partition(row, -k)[-k]
+                    keep = np.concatenate([np.flatnonzero(row > least), np.flatnonzero(row == least)[: k - int((row > least).sum())]])
+                else:
+                    keep = np.arange(len(row))
+                kept.append(keep)
+                scores.append(exact[keep])
+                sizes.append(len(keep))
+        return pd.DataFrame({"query_id": np.repeat(left.query_id.to_numpy(), sizes), "chunk_id": ids[np.concatenate(kept)], "raw": np.concatenate(scores)})
 
     def ranked(some: DataFrame) -> DataFrame:
         once = some.groupBy("query_id", "chunk_id").agg(F.max("raw").alias("raw"))
@@ -106,7 +117,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: f
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each question and cell of its length: (…, cell, part, bound, turn)."""
         shape = ["query_id", "x", "dim", "cell", "part", "bound", "turn"]
-        for f in frames:
+        for f in _slices(frames, VISITS):
             out = [pd.DataFrame([], columns=shape)]
             for dim, at, m in _by_length(f.x):
                 if dim not in cells:

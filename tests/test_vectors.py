@@ -1,7 +1,9 @@
 """Vector search by cells against plain products, with and without clusters."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from supportlake.operators import vectors
 
@@ -33,3 +35,17 @@ def test_search_equals_plain_products(spark, tight, alone, monkeypatch):
     assert {(r.query_id, r["rank"]): r.chunk_id for r in got} == plain(asked, rows, 7, 0.1)
     assert counted.value <= (0.45 if tight else 1.01) * 22 * 1506
     assert vectors.dense_topk(q, v.filter("chunk_id < 0"), 7).count() == vectors.dense_topk(q.filter("query_id < 0"), v, 7).count() == 0
+
+
+def test_tasks_hold_small_pieces(spark, monkeypatch):
+    """A task's score matrix and list of visits stay bounded, however many questions meet a cell."""
+    monkeypatch.setattr(vectors, "PLAIN", 0)
+    monkeypatch.setattr(vectors, "SCORES", 1_000, raising=False)
+    rnd = np.random.RandomState(2)
+    rows = [(i, [float(a) for a in rnd.randn(6)]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    most = spark.sparkContext.accumulator(0, type("Most", (AccumulatorParam,), {"zero": lambda self, v: 0, "addInPlace": lambda self, a, b: max(a, b)})())
+    asked = frame.filter("chunk_id < 300").selectExpr("chunk_id AS query_id", "vector AS qvec")
+    got = vectors.dense_topk(asked, frame, 3, 0.1, most).collect()
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in got} == plain(rows[:300], rows, 3, 0.1) and 0 < most.value <= 1_000
+    assert [f.a.tolist() for f in vectors._slices([pd.DataFrame({"a": range(5)}), pd.DataFrame({"a": []})], 2)] == [[0, 1], [2, 3], [4]]
