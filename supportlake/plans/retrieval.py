@@ -54,10 +54,10 @@ R03_SQL = f"""SELECT vec_id AS chunk_id, round(sqrt({DOT.format(a="u", b="u")}),
 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt({DOT.format(a="embedding", b="embedding")})) AS u FROM embeddings)"""
 
 
-def _arms(spark, sf_dir):
+def _arms(spark, sf_dir, k: int = 10):
     """Two full rankings of all chunks for all questions, with different saturation and length constants, scored from one index."""
     index = LexicalIndex(chunks(spark, sf_dir))
-    both = index.search(questions(spark, sf_dir), 10, ((1.2, 0.75), (0.6, 0.3)))
+    both = index.search(questions(spark, sf_dir), k, ((1.2, 0.75), (0.6, 0.3)))
     index.drop()
     return tuple(both.filter(F.col("setting") == i).drop("setting") for i in (0, 1))
 
@@ -146,7 +146,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relev
 
 def r17_cascade(spark, sf_dir):
     """All five stages from two rankings: a third of the questions were decomposed, two rewrites and an expansion scale the second ranking, a fifth have web results."""
-    a, b = _arms(spark, sf_dir)
+    a, b = _arms(spark, sf_dir, 1)  # the highest score of ten is the first's
     top = lambda df, name: df.groupBy("query_id").agg(F.max("score").alias(name))
     s = top(a, "a").join(top(b, "b"), "query_id")
     third, fifth = F.pmod("query_id", F.lit(3)) == 0, F.pmod("query_id", F.lit(5)) == 0

@@ -132,3 +132,9 @@ def test_stretches_are_summed_up_in_groups(monkeypatch):
     places, scores, _ = lexindex.block_best(lists, 40_000, 40_000, np.arange(40_000))
     sums = sum(plain_bincount(x.places, x.gains, 40_000) for x in lists)
     assert 2 <= len(groups) <= 20 and sorted(places.tolist()) == np.flatnonzero(sums).tolist() and np.allclose(scores, sums[places])
+
+
+def test_cascade_ranks_the_first_alone(spark, monkeypatch):
+    asked, plain_search = [], lexindex.LexicalIndex.search
+    monkeypatch.setattr(lexindex.LexicalIndex, "search", lambda self, q, k=20, *a: asked.append(k) or plain_search(self, q, k, *a))
+    assert registry.queries()["r17_cascade"](spark, "/root/testdata/sf0.001").count() > 0 and asked == [1]
