@@ -63,6 +63,23 @@ def test_words_met_again_stay_cached():
     assert asked.count("aa") == 1 and "aa" in small.spaced and "ee\nff" not in small.spaced and "bb" not in small.before
 
 
+def test_words_before_marks_and_lines_are_the_words_themselves():
+    asked, whole = [], []
+    small = tokens.PieceEncoder(lambda p: whole.append(p) or [len(p)], lambda w, spaced: asked.append((w, spaced)) or [len(w) + spaced], 100)
+    ids = small.encode(["x aa, aa. aa\nBb aa;\nBb (aa) it's aa", "aa, aa"])
+    assert [x.tolist() for x in ids] == [[1, 3, 1, 3, 1, 3, 1, 2, 3, 1, 1, 2, 2, 2, 1, 3, 2, 3], [2, 1, 3]]
+    assert asked.count(("aa", True)) == 1 and asked.count(("aa", False)) == 1 and asked.count(("Bb", False)) == 1 and not any("aa" in p for p in whole)
+    assert not {"aa,", "aa."} & set(small.spaced)
+
+
+def test_odd_neighbours_of_cuts_equal_the_library():
+    t, rnd = Tokenizer.from_file(VOCABULARY), random.Random(11)
+    bits = [" ", "  ", "\n", "\r", "\t", "a", "Word", "tok", "I'll", "'s", "'", "''", ".", ",", "(", "7", "²", "\x00", "\x1c", "\x7f", "\x85", "\xa0", "\u3000", "\u2003", "\u1680", "\u200b", "é", "ß", "İ", "ǅ", "«", "–", "日", "\U0001d400", "<|endoftext|>"]
+    odd = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    ours = tokens.library_encoder(VOCABULARY).encode_column(pa.array(["cut off ", None, *odd, None], pa.string()).slice(1))
+    assert [ours[0][a:b].tolist() for a, b in zip(ours[1][:-1], ours[1][1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in (None, *odd, None)]
+
+
 def test_wide_ids():
     wide = tokens.PieceEncoder(lambda p: [70_000], lambda w, spaced: [70_000 + spaced], 80_000)
     assert [x.tolist() for x in wide.encode(["a b", None])] == [[70_000, 70_001], []] and wide.dtype == np.dtype("<u4")
