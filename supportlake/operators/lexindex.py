@@ -8,7 +8,8 @@ weights, so one index serves any constants.
 A search reads only the lists of the questions' terms. Chunks of a block stand in order of length, so that short
 stretches of it hold chunks alike and each list's highest weight in a stretch is a close bound. Stretches are
 taken from the highest sum of bounds down, with a running k-th score; the first that cannot reach it ends the block, and in
-a stretch the terms that together cannot reach it bring up no chunk. With many blocks a first round over a share of
+a stretch the terms that together cannot reach it bring up no chunk. An index that serves one search alone (`bm25_topk`) keeps the lists
+of that search's terms only; it reads the same text, and lengths count all words. With many blocks a first round over a share of
 them gives every question a k-th score that the second round starts from, so whole blocks end at once.
 
 Defined results: a null text holds no term but counts as a chunk; a null chunk_id is dropped; chunks that share a chunk_id are
@@ -19,10 +20,11 @@ terms of all; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,7 +41,7 @@ BATCH, RECORDS = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 QUESTIONS = 512
 #: Blocks from which a first round pays, and its share of them.
 MANY, SHARE = 64, 16
-#: (term, question) pairs up to which they are sent to all tasks, some 60 bytes each; beyond it both sides are shuffled.
+#: (term, question) pairs up to which they, or terms up to which these, are sent to all tasks, some 60 bytes each; beyond it both sides are shuffled.
 SENT = 200_000
 #: Chunks of a stretch, and stretches of the first group that is summed up at once.
 STRETCH, GROUP = 64, 4
@@ -48,38 +50,49 @@ DIGITS, SLACK = 6, 2e-6
 HEAD = ""
 
 
-def _invert(b: pa.RecordBatch, block: int) -> pa.RecordBatch:
-    """The rows of one block from (chunk_id, words), its head first. Places go by length."""
+def _terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term), each pair once."""
+    return queries.select("query_id", F.explode_outer(F.array_distinct(tokens(F.col("query")))).alias("term")).filter("term is not null").distinct()
+
+
+def _invert(b: pa.RecordBatch, block: int, asked: pa.Array | None = None) -> pa.RecordBatch:
+    """The rows of one block from (chunk_id, words), its head first. Places go by length. With `asked` the other words have no lists."""
     lists, n = b["words"], b.num_rows
     starts = lists.offsets.to_numpy().astype(np.int64)
     lengths = np.diff(starts)
     sorted_by = np.argsort(lengths, kind="stable")
     place = np.empty(n, np.int64)
     place[sorted_by] = np.arange(n)
-    coded = lists.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, tfs = np.unique(code * n + np.repeat(place, lengths), return_counts=True)
+    if asked is None:
+        coded = lists.flatten().dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        pairs = code * n + np.repeat(place, lengths)
+    else:
+        code, known = pc.fill_null(pc.index_in(lists.flatten(), value_set=asked), -1).to_numpy(zero_copy_only=False), asked
+        own = np.flatnonzero(code >= 0)
+        pairs = code[own].astype(np.int64) * n + np.repeat(place, lengths)[own]
+    pairs, tfs = np.unique(pairs, return_counts=True)
     first = np.flatnonzero(np.diff(pairs // n, prepend=-1)) if n else np.zeros(0, np.int64)
     edges = np.append(first, len(pairs))
     numbers = lambda x: pa.array(x.astype(np.int32))
     listed = lambda head, flat: pa.ListArray.from_arrays(numbers(np.append(0, edges + len(head))), numbers(np.append(head, flat)))
     ids = pa.ListArray.from_arrays(numbers(np.append(0, np.full(len(first) + 1, n))), b["chunk_id"].take(pa.array(sorted_by)))
-    terms = pa.concat_arrays([pa.array([HEAD]), coded.dictionary.take(pa.array(pairs[first] // n))])
+    terms = pa.concat_arrays([pa.array([HEAD]), known.take(pa.array(pairs[first] // n))])
     none = np.zeros(0, np.int64)
     columns = [pa.array(np.full(len(terms), block)), terms, numbers(np.append(0, np.diff(edges))), listed(none, pairs % n), listed(lengths[sorted_by], tfs), ids]
     return pa.RecordBatch.from_arrays(columns, names=["block", "term", "df", "places", "tfs", "ids"])
 
 
 class LexicalIndex:
-    """The stored index of `chunks` (chunk_id, text)."""
+    """The stored index of `chunks` (chunk_id, text); with `asked`, of these terms alone."""
 
-    def __init__(self, chunks: DataFrame, block: int = BLOCK):
+    def __init__(self, chunks: DataFrame, block: int = BLOCK, asked: Sequence[str] | None = None):
         self.id_type = dict(chunks.dtypes)["chunk_id"]
         conf = chunks.sparkSession.conf
         rows = conf.get(RECORDS)
         conf.set(RECORDS, min(BATCH, int(rows)) if int(rows) > 0 else BATCH)
         try:
-            self.table = OwnTable(self._lists(chunks, block), "lexical-index")
+            self.table = OwnTable(self._lists(chunks, block, asked), "lexical-index")
         finally:
             conf.set(RECORDS, rows)
         self.lists, self.heads = self.table.df.filter(F.col("term") != HEAD), self.table.df.filter(F.col("term") == HEAD)
@@ -87,20 +100,23 @@ class LexicalIndex:
         known = self.heads.agg(F.count("*").alias("blocks"), F.sum(F.size("ids")).alias("n"), F.sum(length).alias("words")).first()
         self.blocks, self.n, self.length = known.blocks, known.n or 0, (known.words or 0) / max(1, known.n or 0)  # `length` is the mean one
 
-    def _lists(self, chunks: DataFrame, block: int) -> DataFrame:
+    def _lists(self, chunks: DataFrame, block: int, asked: Sequence[str] | None) -> DataFrame:
         rows = chunks.filter("chunk_id is not null").select("chunk_id", "text")
         cores = rows.sparkSession.sparkContext.defaultParallelism
         if rows.rdd.getNumPartitions() < 4 * cores:  # a small table, whose rows may lie in one file's only row group
             rows = rows.repartition(2 * cores, "chunk_id")
 
+        sent = None if asked is None else rows.sparkSession.sparkContext.broadcast(list(asked))
+
         def run(frames):
             from pyspark import TaskContext
 
+            wanted = None if sent is None else pa.array(sent.value, pa.string())
             at = TaskContext.get().partitionId() << 32
             held, n, words = [], 0, 0  # slices of batches that make up the next block
 
             def inverted() -> pa.RecordBatch:
-                out = _invert(pa.Table.from_batches(held).combine_chunks().to_batches()[0], at)
+                out = _invert(pa.Table.from_batches(held).combine_chunks().to_batches()[0], at, wanted)
                 held.clear()
                 return out
 
@@ -135,7 +151,7 @@ class LexicalIndex:
         return found.df
 
     def _search(self, queries: DataFrame, k: int, settings: tuple[tuple[float, float], ...], scored) -> DataFrame:
-        terms = queries.select("query_id", F.explode_outer(F.array_distinct(tokens(F.col("query")))).alias("term")).filter("term is not null").distinct()
+        terms = _terms(queries)
         groups = max(1, -(-queries.select("query_id").distinct().count() // QUESTIONS))
         df = self.lists.select("term", "df").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -174,11 +190,13 @@ class LexicalIndex:
                 order = np.argsort(np.asarray(ids.to_pylist(), dtype=object), kind="stable").argsort()
                 floor = {h["query_id"]: dict(h["floors"]) for h in right["held"][0].as_py() or []}
                 askers, idf = left["askers"].to_pylist(), left["idf"].to_pylist()
-                raw = [(p.values.to_numpy(), t.values.to_numpy()) for p, t in zip(left["places"], left["tfs"], strict=True)]
+                joined = lambda name: pa.concat_arrays(left[name].chunks)
+                listed, edges = joined("places").flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(joined("places")).to_numpy()))
+                tfs, weights = joined("tfs").flatten().to_numpy(), np.repeat(idf, np.diff(edges))
                 for number, (k1, b) in enumerate(settings):
                     of, drag = defaultdict(list), k1 * (1 - b + b * lengths / mean) if mean else np.zeros(len(lengths))
-                    for (places, tfs), w, who in zip(raw, idf, askers, strict=True):
-                        entry = Postings(places, w * tfs * (k1 + 1) / (tfs + drag[places]), len(lengths))
+                    entries = Postings.several(listed, weights * tfs * (k1 + 1) / (tfs + drag[listed]), edges, len(lengths))
+                    for entry, who in zip(entries, askers, strict=True):
                         for q in who:
                             of[q].append(entry)
                     for q, held in of.items():
@@ -198,23 +216,33 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
 
 
 class Postings:
-    """One term's list in a block, with where each stretch of STRETCH places begins and the highest gain in it."""
+    """One term's list in a block, with the highest gain in each stretch of STRETCH places."""
 
-    __slots__ = ("edges", "gains", "highest", "places", "top")
+    __slots__ = ("gains", "highest", "places", "top")
 
     def __init__(self, places: np.ndarray, gains: np.ndarray, n: int):
-        self.places, self.gains, self.top = places, gains, float(gains.max())
-        self.edges = np.searchsorted(places, np.arange(0, n + STRETCH, STRETCH))
-        self.highest = np.zeros(len(self.edges) - 1)
-        some = np.flatnonzero(np.diff(self.edges))
-        self.highest[some] = np.maximum.reduceat(gains, self.edges[some])
+        whole = next(iter(self.several(places, gains, np.array([0, len(places)]), n)))
+        self.places, self.gains, self.highest, self.top = whole.places, whole.gains, whole.highest, whole.top
+
+    @classmethod
+    def several(cls, places: np.ndarray, gains: np.ndarray, edges: np.ndarray, n: int) -> Iterator[Postings]:
+        """The lists of a block that stand one after another, each not empty and from `edges` on."""
+        stretches = -(-n // STRETCH)
+        cell = np.repeat(np.arange(len(edges) - 1) * stretches, np.diff(edges)) + places // STRETCH
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        highest = np.zeros((len(edges) - 1, stretches))
+        highest.ravel()[cell[first]] = np.maximum.reduceat(gains, first)
+        for start, end, row, top in zip(edges[:-1].tolist(), edges[1:].tolist(), highest, highest.max(axis=1).tolist(), strict=True):
+            one = cls.__new__(cls)
+            one.places, one.gains, one.highest, one.top = places[start:end], gains[start:end], row, top
+            yield one
 
 
 def block_best(lists: list[Postings], n: int, k: int, order: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
     """(places, scores) of the k best sums of a block that reach `floor`, and how many chunks were brought up.
 
-    Stretches of places are taken by the sum of their lists' highest gains, highest first, in groups that grow; each group is
-    summed up at once, and the first that cannot reach the k-th score ends the block. In a stretch, the lists that together cannot
+    Stretches of places are taken by the sum of their lists' highest gains, highest first, in groups that grow (with a floor, which other
+    blocks gave, all that reach it are one group); each group is summed up at once, and the first that cannot reach the k-th score ends the block. In a stretch, the lists that together cannot
     reach it bring up no chunk. Equal scores (rounded) go by `order` of the place. The sums of the heaviest short lists alone give
     a first k-th score: what a chunk has there it has at least in the end.
     """
@@ -226,21 +254,21 @@ def block_best(lists: list[Postings], n: int, k: int, order: np.ndarray, floor:
     np.put_along_axis(above, rising, np.arange(len(lists))[:, None], axis=0)
     at, gains = np.concatenate([x.places for x in lists]), np.concatenate([x.gains for x in lists])
     cell = np.repeat(np.arange(len(lists)) * len(totals), [len(x.places) for x in lists]) + at // STRETCH
-    above, falling, taken, group = above.ravel(), np.argsort(-totals, kind="stable"), 0, GROUP
-    places, scores, least, touched = np.zeros(0, np.int64), np.zeros(0), max(floor, _sure(lists, n, k)), 0
+    falling, taken, group = np.argsort(-totals, kind="stable"), 0, GROUP if floor <= 0 else len(totals)
+    places, scores, least, touched = np.zeros(0, np.int64), np.zeros(0), floor if floor > 0 else _sure(lists, n, k), 0
     while taken < len(falling):
         here = falling[taken : taken + group]
         here = here[(totals[here] >= least - SLACK) & (totals[here] > 0)]
         if not len(here):
             break
         taken, group = taken + group, group * 2
-        lead = np.full(len(totals), -1)  # lists of a stretch that bring up nothing; -1 for stretches of other groups
+        lead = np.zeros(len(totals), np.int64)  # lists of a stretch that bring up nothing
         lead[here] = (reach[:, here] <= least - SLACK).sum(axis=0)
         rest = np.where(lead > 0, reach[np.maximum(lead, 1) - 1, np.arange(len(totals))], 0.0)
-        bound = np.tile(lead, len(lists))[cell]
-        own = np.flatnonzero(bound >= 0)
-        brings = above[cell[own]] >= bound[own]
-        some, others = own[brings], own[~brings]
+        part = np.zeros(above.shape, np.uint8)  # of a list in a stretch: 2 brings up, 1 adds to what is brought up, 0 for stretches of other groups
+        part[:, here] = 1 + (above[:, here] >= lead[here])
+        part = part.ravel()[cell]
+        some, others = np.flatnonzero(part == 2), np.flatnonzero(part == 1)
         sums = np.bincount(at[some], gains[some], n)
         found = sums > 0
         touched += int(found.sum())
@@ -269,7 +297,8 @@ def _sure(lists: list[Postings], n: int, k: int) -> float:
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R1 for one ranking: index, search, and drop the index. (query_id, chunk_id, score, rank); ties by chunk_id."""
-    index = LexicalIndex(chunks)
+    asked = [r.term for r in _terms(queries).select("term").distinct().limit(SENT + 1).collect()]
+    index = LexicalIndex(chunks, BLOCK, asked if len(asked) <= SENT else None)
     found = index.search(queries, k, ((k1, b),)).drop("setting")
     index.drop()
     return found

@@ -138,3 +138,28 @@ def test_cascade_ranks_the_first_alone(spark, monkeypatch):
     asked, plain_search = [], lexindex.LexicalIndex.search
     monkeypatch.setattr(lexindex.LexicalIndex, "search", lambda self, q, k=20, *a: asked.append(k) or plain_search(self, q, k, *a))
     assert registry.queries()["r17_cascade"](spark, "/root/testdata/sf0.001").count() > 0 and asked == [1]
+
+
+def test_single_search_keeps_lists_of_its_terms(data, monkeypatch):
+    """The index of one search alone holds no other terms, and gives the same rows as one of all terms."""
+    texts, asked, chunked, queries = data
+    held, plain_search = [], lexindex.LexicalIndex.search
+    monkeypatch.setattr(lexindex.LexicalIndex, "search", lambda self, q, k=20, *a: held.append({r.term for r in self.lists.select("term").distinct().collect()}) or plain_search(self, q, k, *a))
+    want = plain(texts, asked, 7, 1.2, 0.75)
+    for sent in (lexindex.SENT, 3):
+        monkeypatch.setattr(lexindex, "SENT", sent)
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in lexindex.bm25_topk(queries, chunked, 7).collect()}
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    every = {w for _, t in texts for w in words(t)} | {"w1"}
+    assert held == [every & {w for _, t in asked for w in words(t)}, every] and len(held[0]) < len(held[1])
+
+
+def test_a_floor_makes_one_group(monkeypatch):
+    """Where other blocks gave a k-th score, all stretches that reach it are summed up at once."""
+    rnd = np.random.RandomState(6)
+    lists = [lexindex.Postings(p, rnd.rand(len(p)), 40_000) for p in (np.flatnonzero(rnd.rand(40_000) < s) for s in (0.3, 0.2, 0.01))]
+    places, scores, _ = lexindex.block_best(lists, 40_000, 5, np.arange(40_000))
+    sums, plain_bincount = [], np.bincount
+    monkeypatch.setattr(lexindex.np, "bincount", lambda *a, **k: sums.append(1) or plain_bincount(*a, **k))
+    again = lexindex.block_best(lists, 40_000, 5, np.arange(40_000), float(scores[-1]) / 2)
+    assert len(sums) == 2 and again[0].tolist() == places.tolist() and again[1].tolist() == scores.tolist()
