@@ -115,7 +115,8 @@ def _talks(spark, sf_dir):
     """Conversations as one text each: a user's turn is a question, a paragraph begins after each full stop."""
     said = F.regexp_replace(tx.empty(F.col("text")), r"\.\s+", ".\n\n")
     line = F.concat(F.when(F.col("role") == "user", F.concat(F.lit("## Q"), F.col("turn").cast("string"), F.lit(": "))).otherwise(""), said)
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", tx.empty(F.col("text")).alias("text"), line.alias("x"))))
+    place = [x for c in ("turn", "role") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]  # nulls last, as in the SQL
+    ordered = F.sort_array(F.collect_list(F.struct(*place, tx.empty(F.col("text")).alias("text"), line.alias("x"))))
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("source_file")).agg(F.array_join(F.transform(ordered, lambda r: r["x"]), "\n").alias("text"))
 
 
